@@ -41,12 +41,16 @@ def order_products(t: Tables) -> DataFrame:
     so a customer holding a large share of all lines is still combined
     map-side) and then joined back, instead of a window that would sort a
     whole customer inside one task."""
-    lines = (t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber")
+    # (date, order, line number, part) may tie; the remaining line columns
+    # break ties so that exactly one line per (customer, brand) is first
+    tie_breakers = ["l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                    "l_returnflag", "l_linestatus", "l_shipdate"]
+    lines = (t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", *tie_breakers)
              .join(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"),
                    F.col("l_orderkey") == F.col("o_orderkey"))
              .join(t.part.select("p_partkey", "p_brand"),
                    F.col("l_partkey") == F.col("p_partkey")))
-    order_key = F.struct("o_orderdate", "o_orderkey", "l_linenumber", "l_partkey")
+    order_key = F.struct("o_orderdate", "o_orderkey", "l_linenumber", "l_partkey", *tie_breakers)
     first = (lines.groupBy("o_custkey", "p_brand")
              .agg(F.min(order_key).alias("_first")))
     return (lines.withColumn("_key", order_key)
