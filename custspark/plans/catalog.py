@@ -46,5 +46,5 @@ def round_doubles(df: DataFrame, places: int = 4) -> DataFrame:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import (queries_audit, queries_basket, queries_core, queries_models,  # noqa: F401
-                   queries_profile, queries_whatif)
+    from . import (queries_audit, queries_basket, queries_core, queries_io,  # noqa: F401
+                   queries_models, queries_profile, queries_whatif)
