@@ -85,22 +85,28 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # P8-P11 ------------------------------------------------------------------
 
-def column_medians(df: DataFrame, cols: Sequence[str], exact: bool = True) -> Column:
-    """One-row statistic as a scalar-subquery struct ``{col: median}``.
+def column_medians(df: DataFrame, cols: Sequence[str], exact: bool = True) -> dict[str, float | None]:
+    """Fit step of a median fill: one aggregate for all columns, read back as
+    one row (a handful of numbers, like the surrogates of an ML imputer).
 
     ``exact`` uses the interpolating ``median`` (pandas semantics; its buffer
     holds a count per distinct value).  ``exact=False`` switches to
     ``percentile_approx`` with a fixed memory bound for columns whose
     distinct count grows with the data."""
     def med(c):
-        return F.median(c) if exact else F.percentile_approx(c, 0.5, 10000).cast("double")
-    return df.agg(F.struct(*[med(c).alias(c) for c in cols]).alias("m")).scalar()
-
-
-def fill_median(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """P8 (fill part): nulls take the column median of the same table."""
-    m = column_medians(df, cols, exact)
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), m[c]) for c in cols})
+        x = F.col(c).cast("double")
+        return F.median(x) if exact else F.percentile_approx(x, 0.5, 10000).cast("double")
+    row = df.agg(*[med(c).alias(c) for c in cols]).first()
+    return {c: row[c] for c in cols}
+
+
+def fill_median(df: DataFrame, cols: Sequence[str], exact: bool = True,
+                medians: Mapping[str, float | None] | None = None) -> DataFrame:
+    """P8 (fill part) / P9: nulls take the column median of the same table,
+    or the given (training) medians.  The values enter the plan as
+    literals, so filters on the filled columns push down cleanly."""
+    m = dict(medians) if medians is not None else column_medians(df, cols, exact)
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m[c]).cast("double")) for c in cols})
 
 
 def truncate_to_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -20,6 +20,11 @@ from ..operators.sampling import majority_downsample
 from ..sources import adapters
 from ..sources.tables import Tables
 
+# The churn source's columns and its numeric columns.
+CHURN_COLUMNS = ["Customer_ID", "Preferred_Login_Device", "City_Tier", "Preferred_Payment_Mode",
+                 "Hours_Spend_On_Website", "Total_Devices_Registered", "Satisfaction_Score", "Marital_Status",
+                 "Complain_Count_In_Last_Month", "Order_Amount_Hike_From_Last_Year", "Discount_Coupon_Used_Count",
+                 "Days_Since_Last_Order", "Average_Cash_Back", "Churn"]
 CHURN_NUMERIC = ["Hours_Spend_On_Website", "Order_Amount_Hike_From_Last_Year",
                  "Discount_Coupon_Used_Count", "Days_Since_Last_Order", "Average_Cash_Back",
                  "Total_Devices_Registered", "Satisfaction_Score"]
@@ -29,12 +34,12 @@ def clean_churn(churn: DataFrame, cap: int | None = None) -> DataFrame:
     """Churn source cleaning: merge device spellings (P6), coerce the numeric
     columns (P7), median fill (P8), whole numbers except cash back, keep
     rows with fewer than two gaps (P5), optional majority down-sampling to
-    ``cap`` rows (W5), target last (P3)."""
+    ``cap`` rows (W5), target last (P3).  Extra columns pass through."""
     df = clean.merge_categories(churn, "Preferred_Login_Device", {"Phone": "Mobile Phone"})
     df = clean.coerce_numeric(df, CHURN_NUMERIC)
     df = clean.fill_median(df, CHURN_NUMERIC)
     df = clean.truncate_to_long(df, [c for c in CHURN_NUMERIC if c != "Average_Cash_Back"])
-    df = clean.keep_rows_with_few_nulls(df, 2)
+    df = clean.keep_rows_with_few_nulls(df, 2, [c for c in CHURN_COLUMNS if c in df.columns])
     if cap is not None:
         df = majority_downsample(df, "Customer_ID", "Churn", cap)
     return clean.target_last(df, "Churn")
@@ -60,17 +65,14 @@ def purchase_rollup(purchases: DataFrame) -> DataFrame:
 def preferred_department(orders: DataFrame, order_products: DataFrame, products: DataFrame,
                          departments: DataFrame) -> DataFrame:
     """The department a customer bought most often; ties go to the
-    lowest department id.  Counted with a grouped aggregate and reduced with
-    ``max`` over a (count, -id) struct: both steps combine map-side, no
-    per-customer sort, no hot task for a customer with most of the lines."""
+    lowest department id (the stable sort of the original).  One grouped
+    ``mode`` (deterministic: smallest of the most frequent): its per-customer
+    value->count map combines map-side, so there is no per-customer sort and
+    no hot task for a customer with most of the lines."""
     lines = (orders.select("Customer_ID", "Order_ID")
              .join(order_products.select("Order_ID", "Product_ID"), "Order_ID")
              .join(products.select("Product_ID", "Department_ID"), "Product_ID"))
-    counts = lines.groupBy("Customer_ID", "Department_ID").agg(F.count(F.lit(1)).alias("Dept_Count"))
-    best = (counts.groupBy("Customer_ID")
-            .agg(F.max(F.struct(F.col("Dept_Count"), (-F.col("Department_ID")).alias("neg")))
-                 .alias("b"))
-            .select("Customer_ID", (-F.col("b.neg")).alias("Preferred_Order_Category")))
+    best = lines.groupBy("Customer_ID").agg(F.mode("Department_ID", True).alias("Preferred_Order_Category"))
     names = departments.select(F.col("Department_ID").alias("Preferred_Order_Category"),
                                F.col("Department_Name").alias("Preferred_Order_Category_Name"))
     return best.join(names, "Preferred_Order_Category", "left").select(
@@ -82,15 +84,54 @@ def orders_per_customer(orders: DataFrame) -> DataFrame:
     return orders.groupBy("Customer_ID").agg(F.count(F.lit(1)).alias("Total_Orders_This_Month"))
 
 
+def line_rollup(t: Tables) -> DataFrame:
+    """Purchase roll-up (A1) and preferred department (W1) in ONE aggregate
+    over the order lines: modal age, spend and returns, and the modal
+    department (``mode`` with ties to the smallest value is exactly "most
+    lines, lowest id first").  ``mode`` keeps a small value->count map per
+    customer and merges it map-side, so a customer holding a large share of
+    all lines is reduced before the shuffle.  Lines whose product has no
+    department still count for spend, not for the department."""
+    pc = adapters.purchase_columns()
+    dept = adapters.products(t).select(F.col("Product_ID").alias("l_partkey"), "Department_ID")
+    lines = adapters.order_lines(t).join(dept, "l_partkey", "left")
+    return lines.groupBy(pc["Customer_ID"].alias("Customer_ID")).agg(
+        F.mode(pc["Customer_Age"], True).alias("Customer_Age"),
+        F.round(F.sum(pc["Amount_Spent"]), 6).alias("Total_Amount_Spent"),
+        F.sum(pc["Order_Returns"]).alias("Total_Returns"),
+        F.mode(F.col("Department_ID"), True).alias("Preferred_Order_Category"))
+
+
 def customer_360(t: Tables, churn_cap: int | None = None) -> DataFrame:
-    """The wide customer table of the profiling step."""
-    churn = clean_churn(adapters.churn(t), churn_cap)
-    cltv = clean_cltv(adapters.cltv(t))
-    purchases = purchase_rollup(adapters.purchases(t))
-    orders = adapters.orders(t)
-    merged = churn.join(cltv, "Customer_ID").join(purchases, "Customer_ID")
-    pref = preferred_department(orders, adapters.order_products(t), adapters.products(t),
-                                adapters.departments(t))
+    """The wide customer table of the profiling step.
+
+    Churn and value attributes are projections of one customer x recency
+    join, so they are derived side by side instead of being joined back
+    together; purchase and department figures are one aggregate over the
+    order lines.  Shuffles: orders by customer (recency), lines by order
+    (join with orders) and by part (department), line roll-up by customer,
+    and the customer-level joins (small sides broadcast by AQE)."""
+    base = adapters.customer_base(t)
+    wide = base.select(*adapters.churn_columns(), *adapters.cltv_columns(with_id=False),
+                       "Total_Orders_This_Month")
+    wide = clean_cltv(clean_churn(wide, churn_cap))
+    names = adapters.departments(t).select(F.col("Department_ID").alias("Preferred_Order_Category"),
+                                           F.col("Department_Name").alias("Preferred_Order_Category_Name"))
+    lines = line_rollup(t).join(names, "Preferred_Order_Category", "left")
+    merged = wide.join(lines, "Customer_ID")
+    merged = clean.fill_constant(merged, {"Preferred_Order_Category": "Unknown",
+                                          "Preferred_Order_Category_Name": "Unknown"})
+    return merged.withColumn("Total_Orders_This_Month",
+                             F.coalesce(F.col("Total_Orders_This_Month"), F.lit(0)).cast("long"))
+
+
+def merge_sources(churn: DataFrame, cltv: DataFrame, purchases: DataFrame, orders: DataFrame,
+                  order_products: DataFrame, products: DataFrame, departments: DataFrame) -> DataFrame:
+    """The same table from separately delivered sources (J1, J3, A1, A3, W1):
+    inner joins of the customer-level sources, left joins of the derived
+    figures."""
+    merged = churn.join(cltv, "Customer_ID").join(purchase_rollup(purchases), "Customer_ID")
+    pref = preferred_department(orders, order_products, products, departments)
     merged = merged.join(pref, "Customer_ID", "left")
     merged = clean.fill_constant(merged, {"Preferred_Order_Category": "Unknown",
                                           "Preferred_Order_Category_Name": "Unknown"})

@@ -83,19 +83,27 @@ def basket_lines(t: Tables) -> DataFrame:
                     F.col("p_type").alias("Department_Name")))
 
 
-def purchases(t: Tables) -> DataFrame:
-    """One row per transaction (order line)."""
-    return (t.lineitem.select("l_orderkey", "l_extendedprice", "l_discount",
+def purchase_columns() -> dict[str, Column]:
+    """Transaction attributes of an order line joined to its order."""
+    return {"Customer_ID": F.col("o_custkey"),
+            "Amount_Spent": F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount")),
+            "Customer_Age": (F.lit(18) + F.col("o_custkey") % 50
+                             + F.when(F.col("l_linenumber") == 1, F.lit(1)).otherwise(F.lit(0))),
+            "Order_Returns": F.when(F.col("l_returnflag") == "R", F.lit(1)).otherwise(F.lit(0))}
+
+
+def order_lines(t: Tables) -> DataFrame:
+    """Order lines joined to their order (one join, shared by the purchase
+    and department figures)."""
+    return (t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount",
                               "l_linenumber", "l_returnflag")
             .join(t.orders.select("o_orderkey", "o_custkey"),
-                  F.col("l_orderkey") == F.col("o_orderkey"))
-            .select(F.col("o_custkey").alias("Customer_ID"),
-                    (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("Amount_Spent"),
-                    (F.lit(18) + F.col("o_custkey") % 50
-                     + F.when(F.col("l_linenumber") == 1, F.lit(1)).otherwise(F.lit(0)))
-                    .alias("Customer_Age"),
-                    F.when(F.col("l_returnflag") == "R", F.lit(1)).otherwise(F.lit(0))
-                    .alias("Order_Returns")))
+                  F.col("l_orderkey") == F.col("o_orderkey")))
+
+
+def purchases(t: Tables) -> DataFrame:
+    """One row per transaction (order line)."""
+    return order_lines(t).select(*[c.alias(n) for n, c in purchase_columns().items()])
 
 
 def last_order_date(t: Tables) -> Column:
@@ -114,44 +122,57 @@ def recency(t: Tables) -> DataFrame:
                  F.round(F.sum("o_totalprice"), 6).alias("Total_Amount_Spent")))
 
 
+def customer_base(t: Tables) -> DataFrame:
+    """One row per customer with orders: customer columns next to recency
+    figures.  ``churn`` and ``cltv`` are projections of this one join."""
+    c = t.customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return c.join(recency(t), F.col("c_custkey") == F.col("Customer_ID")).drop("Customer_ID")
+
+
+def churn_columns() -> list[Column]:
+    """Churn attributes, with gaps and dirty text as in the raw file."""
+    k = F.col("c_custkey")
+    return [k.alias("Customer_ID"),
+            _case_mod(k, 3, ["Phone", "Mobile Phone", "Computer"]).alias("Preferred_Login_Device"),
+            (F.lit(1) + F.col("c_nationkey") % 3).alias("City_Tier"),
+            F.col("c_mktsegment").alias("Preferred_Payment_Mode"),
+            F.when(k % 11 == 0, F.lit(None).cast("string"))
+            .otherwise(F.concat((k % 5).cast("string"), F.lit("h"))).alias("Hours_Spend_On_Website"),
+            (F.lit(1) + k % 6).alias("Total_Devices_Registered"),
+            (F.lit(1) + (k * 7) % 5).alias("Satisfaction_Score"),
+            _case_mod(k, 3, ["Single", "Married", "Divorced"]).alias("Marital_Status"),
+            F.when(k % 4 == 0, F.lit(1)).otherwise(F.lit(0)).alias("Complain_Count_In_Last_Month"),
+            F.when(k % 13 == 0, F.lit(None).cast("long")).otherwise(F.lit(11) + k % 16)
+            .alias("Order_Amount_Hike_From_Last_Year"),
+            (k % 8).alias("Discount_Coupon_Used_Count"),
+            F.col("Days_Since_Last_Order"),
+            (F.abs(F.col("c_acctbal")) / F.lit(20)).alias("Average_Cash_Back"),
+            F.when(F.col("Days_Since_Last_Order") > 365, F.lit(1)).otherwise(F.lit(0)).alias("Churn")]
+
+
+def cltv_columns(with_id: bool = True) -> list[Column]:
+    """Membership attributes and lifetime value."""
+    k = F.col("c_custkey")
+    cols = [k.alias("Customer_ID")] if with_id else []
+    return cols + [
+        _case_mod(k, 2, ["Urban", "Rural"]).alias("Customer_Residence_Type"),
+        _case_mod(k, 3, ["Platinum", "Gold", "Silver"]).alias("Membership_Type"),
+        _case_mod(k, 4, ["<=2L", "2L-5L", "5L-10L", "More than 10L"]).alias("Customer_Income"),
+        _case_mod(k, 2, ["F", "M"]).alias("Customer_Gender"),
+        _case_mod(k, 3, ["Bachelor", "High School", "Others"]).alias("Customer_Qualification"),
+        F.when(k % 3 == 0, F.lit("1")).otherwise(F.lit("More than 1")).alias("Total_Subscriptions"),
+        ((k * 37) % 10000).alias("Loyalty_Engagement_Score"),
+        (F.col("Total_Amount_Spent") / F.lit(10)).alias("Customer_Live_Time_Value")]
+
+
 def churn(t: Tables) -> DataFrame:
     """One row per customer, with gaps and dirty text as in the raw file."""
-    k = F.col("c_custkey")
-    c = t.customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    r = recency(t).select("Customer_ID", "Days_Since_Last_Order")
-    return (c.join(r, k == F.col("Customer_ID"))
-            .select(k.alias("Customer_ID"),
-                    _case_mod(k, 3, ["Phone", "Mobile Phone", "Computer"]).alias("Preferred_Login_Device"),
-                    (F.lit(1) + F.col("c_nationkey") % 3).alias("City_Tier"),
-                    F.col("c_mktsegment").alias("Preferred_Payment_Mode"),
-                    F.when(k % 11 == 0, F.lit(None).cast("string"))
-                    .otherwise(F.concat((k % 5).cast("string"), F.lit("h"))).alias("Hours_Spend_On_Website"),
-                    (F.lit(1) + k % 6).alias("Total_Devices_Registered"),
-                    (F.lit(1) + (k * 7) % 5).alias("Satisfaction_Score"),
-                    _case_mod(k, 3, ["Single", "Married", "Divorced"]).alias("Marital_Status"),
-                    F.when(k % 4 == 0, F.lit(1)).otherwise(F.lit(0)).alias("Complain_Count_In_Last_Month"),
-                    F.when(k % 13 == 0, F.lit(None).cast("long")).otherwise(F.lit(11) + k % 16)
-                    .alias("Order_Amount_Hike_From_Last_Year"),
-                    (k % 8).alias("Discount_Coupon_Used_Count"),
-                    F.col("Days_Since_Last_Order"),
-                    (F.abs(F.col("c_acctbal")) / F.lit(20)).alias("Average_Cash_Back"),
-                    F.when(F.col("Days_Since_Last_Order") > 365, F.lit(1)).otherwise(F.lit(0)).alias("Churn")))
+    return customer_base(t).select(*churn_columns())
 
 
 def cltv(t: Tables) -> DataFrame:
     """One row per customer: membership attributes and lifetime value."""
-    k = F.col("c_custkey")
-    r = recency(t).select("Customer_ID", "Total_Amount_Spent")
-    return (t.customer.select("c_custkey").join(r, k == F.col("Customer_ID"))
-            .select(k.alias("Customer_ID"),
-                    _case_mod(k, 2, ["Urban", "Rural"]).alias("Customer_Residence_Type"),
-                    _case_mod(k, 3, ["Platinum", "Gold", "Silver"]).alias("Membership_Type"),
-                    _case_mod(k, 4, ["<=2L", "2L-5L", "5L-10L", "More than 10L"]).alias("Customer_Income"),
-                    _case_mod(k, 2, ["F", "M"]).alias("Customer_Gender"),
-                    _case_mod(k, 3, ["Bachelor", "High School", "Others"]).alias("Customer_Qualification"),
-                    F.when(k % 3 == 0, F.lit("1")).otherwise(F.lit("More than 1")).alias("Total_Subscriptions"),
-                    ((k * 37) % 10000).alias("Loyalty_Engagement_Score"),
-                    (F.col("Total_Amount_Spent") / F.lit(10)).alias("Customer_Live_Time_Value")))
+    return customer_base(t).select(*cltv_columns())
 
 
 def green(t: Tables) -> DataFrame:
