@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clip, is_text_one, threshold
+from ..functions.scalar import clip, is_text_one, pct_change, threshold
 from .ranking import row_number_distributed
 
 Scorer = Callable[[DataFrame], DataFrame]  # adds _churn_prob, _cltv
@@ -217,6 +217,9 @@ def whatif_kpis(sim: DataFrame) -> DataFrame:
         "avg_cltv_change": F.col("sim_cltv_mean") - F.col("base_cltv_mean"),
         "revenue_diff": F.col("sim_revenue") - F.col("base_revenue"),
         "churn_diff": F.col("sim_churn_count") - F.col("base_churn_count"),
+        # card deltas in percent of the baseline (0 when the base is 0)
+        "cltv_change_pct": pct_change("sim_cltv_mean", "base_cltv_mean"),
+        "revenue_change_pct": pct_change("sim_revenue", "base_revenue"),
     })
 
 

@@ -345,3 +345,46 @@ def churn_by_segment(t):
     scored = model.transform(df).select("Customer_ID", F.col("prediction").alias("Predicted_Churn")).join(seg, "Customer_ID")
     return scored.groupBy("Segment_Label").agg(F.avg("Predicted_Churn").alias("churn_rate"),
                                                 F.count(F.lit(1)).alias("customers"))
+
+
+@query("segment_eco_lookup", sql="with " + _NAMES_SQL + "," + _XTAB_SQL + """,
+sm as (select Segment_Label, count(Customer_ID) as Count, avg(Total_Amount_Spent) as Total_Amount_Spent,
+  avg(Days_Since_Last_Order) as Days_Since_Last_Order, avg(Satisfaction_Score) as Satisfaction_Score,
+  avg(Total_Orders_This_Month) as Total_Orders_This_Month from seg group by 1)
+select sm.Segment_Label, sm.Count, round(sm.Total_Amount_Spent, 6) as Total_Amount_Spent,
+  round(sm.Days_Since_Last_Order, 6) as Days_Since_Last_Order, round(sm.Satisfaction_Score, 6) as Satisfaction_Score,
+  round(sm.Total_Orders_This_Month, 6) as Total_Orders_This_Month,
+  coalesce(xt.Eco_Conscious, 0) as Eco_Conscious, coalesce(xt.Eco_Warrior, 0) as Eco_Warrior,
+  coalesce(xt.Low_Interest, 0) as Low_Interest,
+  round(coalesce((case when xt.Eco_Warrior + xt.Eco_Conscious + xt.Low_Interest > 0
+        then (2 * xt.Eco_Warrior + xt.Eco_Conscious - 2 * xt.Low_Interest) / (xt.Eco_Warrior + xt.Eco_Conscious + xt.Low_Interest)
+        else 0.0 end + 1) / 3 * 100, 0.0), 9) as Eco_Strength_Pct
+from sm left join xt on sm.Segment_Label = xt.Segment_Label""")
+def segment_eco_lookup(t):
+    """A10 + A11 + A12 joined on the segment label, gaps as 0 (J9): the
+    segment / eco lookup table of the training step."""
+    from ..operators.joins import join_summaries
+    seg = _fixed_segments(t)
+    summary = segments.segment_summary(seg).drop("Share_Pct")
+    eco = segments.eco_strength(segments.eco_crosstab(seg)).select(
+        "Segment_Label", "Eco_Conscious", "Eco_Warrior", "Low_Interest", "Eco_Strength_Pct")
+    out = join_summaries(summary, eco, "Segment_Label")
+    return out.withColumns({c: F.round(c, 6) for c in ["Total_Amount_Spent", "Days_Since_Last_Order",
+                                                        "Satisfaction_Score", "Total_Orders_This_Month"]}
+                           ).withColumn("Eco_Strength_Pct", F.round("Eco_Strength_Pct", 9))
+
+
+@query("whatif_model_scenario")
+def whatif_model_scenario(t):
+    """The scenario re-scored by the trained churn and value models.  The
+    customer table and the scored baseline are each read many times (two
+    fits, two scorings, lever statistics), so both are checkpointed."""
+    from ..session import cut_lineage
+    df = cut_lineage(c360.customer_360(t))
+    churn_model = models.churn_pipeline(_CHURN_SPEC, max_iter=20).fit(models.class_weights(df, "Churn"))
+    cltv_model = models.value_pipeline(_CLTV_SPEC, max_iter=20).fit(
+        df.withColumn("log_cltv", F.log1p("Customer_Live_Time_Value")))
+    scorer = whatif.model_scorer(churn_model, cltv_model)
+    base = cut_lineage(whatif.with_baseline(df, scorer))
+    sim = whatif.simulate(base, whatif.Levers(cashback=10, support=20, price=5, subscription=30), scorer)
+    return whatif.whatif_kpis(sim)

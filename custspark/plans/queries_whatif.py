@@ -166,7 +166,11 @@ _KPI_DOUBLES = ["base_cltv_mean", "base_churn_pct", "base_revenue", "sim_cltv_me
 @query("whatif_kpis", sql=_KPI_SQL + " select * replace (" + ", ".join(
     f"round({c}, 4) as {c}" for c in _KPI_DOUBLES[:7]) +
     "), round(sim_cltv_mean - base_cltv_mean, 4) as avg_cltv_change, round(sim_revenue - base_revenue, 4) as revenue_diff,"
-    " sim_churn_count - base_churn_count as churn_diff from k")
+    " sim_churn_count - base_churn_count as churn_diff,"
+    " round(case when base_cltv_mean = 0 then 0.0 else (sim_cltv_mean - base_cltv_mean) / base_cltv_mean * 100 end, 4)"
+    " as cltv_change_pct,"
+    " round(case when base_revenue = 0 then 0.0 else (sim_revenue - base_revenue) / base_revenue * 100 end, 4)"
+    " as revenue_change_pct from k")
 def whatif_kpis(t):
     """before/after KPIs of the scenario."""
     k = wi.whatif_kpis(wi.simulate(_base(t), SCENARIO, wi.linear_scorer))
