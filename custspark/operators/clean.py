@@ -89,14 +89,14 @@ def column_medians(df: DataFrame, cols: Sequence[str], exact: bool = True) -> di
     """Fit step of a median fill: one aggregate for all columns, read back as
     one row (a handful of numbers, like the surrogates of an ML imputer).
 
-    ``exact`` uses the interpolating ``median`` (pandas semantics; its buffer
-    holds a count per distinct value).  ``exact=False`` switches to
-    ``percentile_approx`` with a fixed memory bound for columns whose
-    distinct count grows with the data."""
-    def med(c):
-        x = F.col(c).cast("double")
-        return F.median(x) if exact else F.percentile_approx(x, 0.5, 10000).cast("double")
-    row = df.agg(*[med(c).alias(c) for c in cols]).first()
+    ``exact`` gives the interpolating median of pandas by bounded-memory
+    histogram refinement (:mod:`.quantiles`); ``exact=False`` is one
+    ``percentile_approx`` pass."""
+    if exact:
+        from .quantiles import medians
+        return medians(df, list(cols))
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).cast("double").alias(c)
+                   for c in cols]).first()
     return {c: row[c] for c in cols}
 
 
@@ -138,29 +138,33 @@ def auto_fill(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """P10: numeric columns get the median, all others the mode (ties go to
     the smallest value, as ``mode()[0]``).  Returns the filled table and an
     action table ``(column, method, value)`` that lists only columns which
-    had gaps.  An all-null column stays null."""
-    num = set(numeric_columns(df))
+    had gaps.  An all-null column stays null.  Fit step: one aggregate of
+    gap counts and modes plus exact medians, read back as a few values."""
+    from .quantiles import medians
+    num = [c for c in numeric_columns(df)]
     cols = df.columns
-    stats = df.agg(*[
-        F.struct(
-            F.count_if(F.col(c).isNull()).alias("nulls"),
-            (F.median(c) if c in num else F.lit(None).cast("double")).alias("median"),
-            (F.lit(None).cast("string") if c in num
-             else F.mode(F.col(c).cast("string"), True)).alias("mode"),
-        ).alias(c) for c in cols])
-    s = stats.select(F.struct(*cols).alias("s")).scalar()
-    filled = df.withColumns({
-        c: (F.coalesce(F.col(c), s[c]["median"].cast(dict(df.dtypes)[c])) if c in num
-            else F.coalesce(F.col(c), s[c]["mode"].cast(dict(df.dtypes)[c])))
-        for c in cols})
-    actions = (stats.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"),
-                 F.lit("median" if c in num else "mode").alias("method"),
-                 (F.col(c)["median"].cast("string") if c in num else F.col(c)["mode"]).alias("value"),
-                 F.col(c)["nulls"].alias("nulls"))
-        for c in cols])).alias("a"))
-        .select("a.*").where(F.col("nulls") > 0).drop("nulls"))
-    return filled, actions
+    dtypes = dict(df.dtypes)
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(cols)],
+                 *[F.mode(F.col(c).cast("string"), True).alias(f"m_{i}") for i, c in enumerate(cols)
+                   if c not in num]).first()
+    gaps = [c for i, c in enumerate(cols) if row[f"n_{i}"] > 0]
+    med = medians(df, [c for c in gaps if c in num]) if any(c in num for c in gaps) else {}
+    fills, actions = {}, []
+    for i, c in enumerate(cols):
+        if c not in gaps:
+            continue
+        if c in num:
+            v = med.get(c)
+            actions.append((c, "median", None if v is None else str(float(v))))
+            if v is not None:
+                fills[c] = F.coalesce(F.col(c), F.lit(v).cast(dtypes[c]))
+        else:
+            v = row[f"m_{i}"]
+            actions.append((c, "mode", v))
+            if v is not None:
+                fills[c] = F.coalesce(F.col(c), F.lit(v).cast(dtypes[c]))
+    action_df = df.sparkSession.createDataFrame(actions, "column string, method string, value string")
+    return df.withColumns(fills), action_df
 
 
 # P12, P13 ----------------------------------------------------------------

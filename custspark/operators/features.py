@@ -31,15 +31,16 @@ def one_hot_stages(cats: Sequence[str], prefix: str = "_oh_") -> list:
 
 def robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """M2 (exact form): ``(x - median) / IQR`` with interpolated quartiles
-    (``RobustScaler`` semantics); an IQR of 0 leaves the centred value."""
-    q = df.agg(F.struct(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-                          .alias(f"q{i}") for i, c in enumerate(cols)]).alias("q")).scalar()
+    (``RobustScaler`` semantics); an IQR of 0 leaves the centred value.  The
+    quartiles are fitted once (bounded memory) and applied as literals."""
+    from .quantiles import quantiles
+    q = quantiles(df, list(cols), [0.25, 0.5, 0.75])
     out = {}
-    for i, c in enumerate(cols):
-        qq = q[f"q{i}"]
-        iqr = qq[2] - qq[0]
-        centred = F.col(c).cast("double") - qq[1]
-        out[f"{c}{suffix}"] = F.when(iqr == 0, centred).otherwise(centred / iqr)
+    for c in cols:
+        q1, med, q3 = q[c]
+        centred = F.col(c).cast("double") - F.lit(med)
+        iqr = (q3 - q1) if q1 is not None else 0.0
+        out[f"{c}{suffix}"] = centred if iqr == 0 else centred / F.lit(iqr)
     return df.withColumns(out)
 
 

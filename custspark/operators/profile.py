@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .clean import null_count, numeric_columns, string_columns
+from .quantiles import medians, quantiles
 
 
 def _long(row: DataFrame, structs: list[Column]) -> DataFrame:
@@ -130,18 +131,17 @@ def cardinality(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """``describe()``: count, mean, sample std, min, quartiles, max.
-    ``exact`` quartiles interpolate like pandas; ``exact=False`` uses
-    ``percentile_approx`` (bounded memory)."""
+    ``exact`` quartiles interpolate like pandas (bounded-memory refinement,
+    :mod:`.quantiles`); ``exact=False`` uses one ``percentile_approx``."""
     cols = list(cols or numeric_columns(df))
-
-    def q(c):
-        if exact:
-            return F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], 10000)
-
+    if exact:
+        qs = quantiles(df, cols, [0.25, 0.5, 0.75])
+        qcol = {c: F.array(*[F.lit(v).cast("double") for v in qs[c]]) for c in cols}
+    else:
+        qcol = {c: F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], 10000) for c in cols}
     structs = [F.struct(F.lit(c).alias("column"), F.count(c).alias("count"),
                         F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                        F.min(F.col(c).cast("double")).alias("min"), q(c).alias("_q"),
+                        F.min(F.col(c).cast("double")).alias("min"), qcol[c].alias("_q"),
                         F.max(F.col(c).cast("double")).alias("max")).alias(f"s_{i}")
                for i, c in enumerate(cols)]
     return (_long(df.agg(*structs), [F.col(f"s_{i}") for i in range(len(cols))])
@@ -153,12 +153,13 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
 def skew_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean, median and bias-corrected skew (pandas ``skew``).  Spark's
     ``skewness`` is the population form g1; G1 = g1 * sqrt(n(n-1)) / (n-2)."""
+    med = medians(df, list(cols))
     structs = []
     for i, c in enumerate(cols):
         n = F.count(c).cast("double")
         g1 = F.skewness(c)
         structs.append(F.struct(F.lit(c).alias("column"), F.avg(c).alias("mean"),
-                                F.median(c).alias("median"),
+                                F.lit(med[c]).cast("double").alias("median"),
                                 F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"))
                        .alias(f"s_{i}"))
     return _long(df.agg(*structs), [F.col(f"s_{i}") for i in range(len(cols))])
@@ -207,20 +208,21 @@ def predicate_share(df: DataFrame, pred: Column, out: str = "share_pct") -> Data
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column the count of values outside the 1.5 IQR
-    fences (strict); columns without outliers are left out.  Pass 1 is one
-    aggregate of quartiles (a scalar subquery), pass 2 one aggregate of
-    conditional counts."""
+    fences (strict); columns without outliers are left out.  Pass 1 finds
+    the exact quartiles (bounded memory), pass 2 is one aggregate of
+    conditional counts against literal fences."""
     cols = list(cols or numeric_columns(df))
-    qs = df.agg(F.struct(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))
-                           .alias(f"q{i}") for i, c in enumerate(cols)]).alias("q")).scalar()
+    qs = quantiles(df, cols, [0.25, 0.75])
     aggs = []
     for i, c in enumerate(cols):
-        q1, q3 = qs[f"q{i}"][0], qs[f"q{i}"][1]
-        iqr = q3 - q1
+        q1, q3 = qs[c]
         x = F.col(c).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column"),
-                             F.count_if((x < q1 - F.lit(1.5) * iqr) | (x > q3 + F.lit(1.5) * iqr))
-                             .alias("outliers")).alias(f"o{i}"))
+        if q1 is None:
+            cnt = F.lit(0).cast("long")
+        else:
+            iqr = q3 - q1
+            cnt = F.count_if((x < F.lit(q1 - 1.5 * iqr)) | (x > F.lit(q3 + 1.5 * iqr)))
+        aggs.append(F.struct(F.lit(c).alias("column"), cnt.alias("outliers")).alias(f"o{i}"))
     return (_long(df.agg(*aggs), [F.col(f"o{i}") for i in range(len(cols))])
             .where(F.col("outliers") > 0))
 

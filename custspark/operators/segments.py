@@ -44,8 +44,8 @@ def segment_input(df: DataFrame, medians: dict | None = None) -> tuple[DataFrame
     parameters of P9)."""
     base = cut_lineage(df)
     if medians is None:
-        row = base.agg(*[F.median(c).alias(c) for c in SEGMENT_FEATURES]).first()
-        medians = {c: float(row[c]) if row[c] is not None else 0.0 for c in SEGMENT_FEATURES}
+        from .quantiles import medians as exact_medians
+        medians = {c: (v if v is not None else 0.0) for c, v in exact_medians(base, SEGMENT_FEATURES).items()}
     filled = base.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in SEGMENT_FEATURES})
     lambdas = fe.fit_yeo_johnson(filled, SEGMENT_FEATURES)
     yj = fe.apply_yeo_johnson(filled, lambdas)

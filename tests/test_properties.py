@@ -57,3 +57,16 @@ def test_fingerprint_order_insensitive(spark):
     from custspark.sources.io import fingerprint
     df = spark.range(0, 100).select(F.col("id"), (F.col("id") * 3).alias("x"))
     assert fingerprint(df).first() == fingerprint(df.orderBy(F.desc("id")).repartition(3)).first()
+
+
+@pytest.mark.parametrize("bins,final_rows", [(4, 10), (16, 50), (1024, 20000)])
+def test_exact_quantiles_refinement(spark, bins, final_rows):
+    import numpy as np
+    from custspark.operators.quantiles import quantiles
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([rng.normal(0, 1, 700), np.full(200, 0.25), rng.exponential(5, 100)]).round(3)
+    rows = [(float(v),) for v in vals] + [(None,)] * 5
+    df = spark.createDataFrame(rows, "x double")
+    got = quantiles(df, ["x"], [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0], bins=bins, final_rows=final_rows)["x"]
+    want = np.quantile(vals, [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0])
+    assert np.allclose(got, want, rtol=0, atol=1e-12)
