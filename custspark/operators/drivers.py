@@ -224,11 +224,32 @@ def contributions(df: DataFrame, model, feature_names: Sequence[str], features_c
     return src.mapInPandas(run, schema)
 
 
+def mean_abs_contributions(df: DataFrame, model, feature_names: Sequence[str],
+                           features_col: str = "features") -> DataFrame:
+    """``(feature, mean_abs_contribution)``: every Arrow batch emits only its
+    per-feature sums of |contribution| and its row count, so the shuffle
+    carries (#batches x #features) rows instead of (#rows x #features)."""
+    compiled = compile_trees(trees_of(model))
+    names = list(feature_names)
+    src = df.select(vector_to_array(features_col).alias("_x"))
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.vstack(pdf["_x"].to_numpy())
+            phi = contributions_numpy(x, compiled)
+            yield pd.DataFrame({"feature": np.array(names[:x.shape[1]], dtype=object),
+                                "abs_sum": np.abs(phi).sum(axis=0), "rows": np.full(x.shape[1], len(x))})
+
+    parts = src.mapInPandas(run, "feature string, abs_sum double, rows long")
+    return parts.groupBy("feature").agg((F.sum("abs_sum") / F.sum("rows")).alias("mean_abs_contribution"))
+
+
 def top_drivers(df: DataFrame, model, feature_names: Sequence[str], n: int = 8,
                 features_col: str = "features") -> DataFrame:
     """The ``n`` features with the largest mean absolute contribution."""
-    c = contributions(df, model, feature_names, features_col)
-    return (c.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"))
+    return (mean_abs_contributions(df, model, feature_names, features_col)
             .orderBy(F.desc("mean_abs_contribution"), "feature").limit(n))
 
 

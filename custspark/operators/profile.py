@@ -119,10 +119,13 @@ def null_count_distribution(df: DataFrame) -> DataFrame:
             .groupBy("nulls_in_row").agg(F.count(F.lit(1)).alias("rows")))
 
 
-def cardinality(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Distinct non-null values of every text column."""
+def cardinality(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+    """Distinct non-null values of every text column.  Exact distinct
+    counts of several columns expand the rows once per column before the
+    shuffle; ``approx`` (HyperLogLog++) needs one small sketch per column."""
     cols = list(cols or string_columns(df))
-    row = df.agg(*[F.countDistinct(c).alias(f"c_{i}") for i, c in enumerate(cols)])
+    f = (lambda c: F.approx_count_distinct(c, 0.01)) if approx else (lambda c: F.countDistinct(c))
+    row = df.agg(*[f(c).alias(f"c_{i}") for i, c in enumerate(cols)])
     return _long(row, [F.struct(F.lit(c).alias("column"), F.col(f"c_{i}").alias("distinct_values"))
                        for i, c in enumerate(cols)])
 
