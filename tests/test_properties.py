@@ -70,3 +70,33 @@ def test_exact_quantiles_refinement(spark, bins, final_rows):
     got = quantiles(df, ["x"], [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0], bins=bins, final_rows=final_rows)["x"]
     want = np.quantile(vals, [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0])
     assert np.allclose(got, want, rtol=0, atol=1e-12)
+
+
+def test_model_roundtrip_and_score_guard(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from pyspark.ml.feature import VectorAssembler
+    from custspark.operators import models
+    from custspark.sources import io
+    df = spark.range(0, 60).select(F.col("id").alias("Customer_ID"), (F.col("id") % 7).cast("double").alias("a"),
+                                   (F.col("id") * 2.0).alias("y"))
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="features"),
+                            DecisionTreeRegressor(labelCol="y", maxDepth=3)])
+    model = pipe.fit(df)
+    path = str(tmp_path / "m")
+    io.save_model(model, path)
+    back = io.load_pipeline_model(path)
+    assert back.transform(df).select("prediction").collect() == model.transform(df).select("prediction").collect()
+    scored, notice = models.score_guard(df.drop("a"), back, ["a"], "pred")
+    assert notice.count() == 1 and scored.where(F.col("pred").isNotNull()).count() == 0
+    scored, notice = models.score_guard(df, back, ["a"], "pred")
+    assert notice.count() == 0 and scored.where(F.col("pred").isNull()).count() == 0
+
+
+def test_csv_reader_bom_and_null_tokens(spark, tmp_path):
+    from custspark.sources import io
+    p = tmp_path / "x.csv"
+    p.write_text("\ufeffid,name\n1,NA\n2,bob\n", encoding="utf-8")
+    df = io.read_csv(spark, str(p))
+    assert df.columns == ["id", "name"]
+    assert sorted(df.collect(), key=lambda r: r[0]) == [(1, None), (2, "bob")]
