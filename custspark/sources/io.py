@@ -89,7 +89,7 @@ def load_params(spark: SparkSession, path: str) -> DataFrame:
 
 
 AUDIT_SCHEMA = ("user_email string, role string, organization_id string, action_type string, "
-                "page_name string, file_name string, details string, timestamp timestamp")
+                "page_name string, file_name string, details string, timestamp timestamp_ntz")
 
 
 def append_audit(events: DataFrame, path: str) -> None:
@@ -105,7 +105,8 @@ def log_event(spark: SparkSession, path: str, user_email: str, role: str, organi
     row = spark.createDataFrame([(user_email, role, organization_id, action_type, page_name, file_name, details)],
                                 "user_email string, role string, organization_id string, action_type string, "
                                 "page_name string, file_name string, details string")
-    append_audit(row.withColumn("timestamp", F.current_timestamp()), path)
+    # naive UTC wall time, as the original stamp (utcnow)
+    append_audit(row.withColumn("timestamp", F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())), path)
 
 
 def read_audit(spark: SparkSession, path: str, organization_id: str | None = None) -> DataFrame:
