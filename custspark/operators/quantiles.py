@@ -50,18 +50,17 @@ def _inside(x: Column, t: _Target) -> Column:
 
 
 def order_statistics(df: DataFrame, wanted: dict[str, list[int]], bins: int = 1024,
-                     final_rows: int = 20000, max_passes: int = 12) -> dict[tuple[str, int], float]:
-    """Exact values of the given 0-based ranks (ascending, nulls ignored)."""
+                     final_rows: int = 20000, max_passes: int = 12,
+                     summary: dict[str, tuple] | None = None) -> dict[tuple[str, int], float]:
+    """Exact values of the given 0-based ranks (ascending, nulls ignored).
+    ``summary`` may carry ``{col: (min, max, count)}`` from an earlier pass."""
     targets = [_Target(c, r) for c, ranks in wanted.items() for r in sorted(set(ranks))]
     if not targets:
         return {}
     cols = sorted({t.col for t in targets})
-    mm = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(cols)],
-                *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(cols)],
-                *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    summary = summary or column_summary(df, cols)
     for t in targets:
-        i = cols.index(t.col)
-        t.lo, t.hi, t.rows = mm[f"lo{i}"], mm[f"hi{i}"], mm[f"n{i}"]
+        t.lo, t.hi, t.rows = summary[t.col]
         if t.lo is None or t.lo == t.hi:
             t.value = t.lo
     for _ in range(max_passes):
@@ -114,13 +113,21 @@ def order_statistics(df: DataFrame, wanted: dict[str, list[int]], bins: int = 10
     return {(t.col, t.rank): t.value for t in targets}
 
 
+def column_summary(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
+    """``{col: (min, max, non-null count)}`` in one aggregate."""
+    mm = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(cols)],
+                *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(cols)],
+                *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    return {c: (mm[f"lo{i}"], mm[f"hi{i}"], mm[f"n{i}"]) for i, c in enumerate(cols)}
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles per column (pandas semantics)."""
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    summary = column_summary(df, list(cols))
     wanted: dict[str, list[int]] = {}
     plan = {}
-    for i, c in enumerate(cols):
-        n = counts[f"n{i}"]
+    for c in cols:
+        n = summary[c][2]
         plan[c] = []
         for p in probs:
             if n == 0:
@@ -131,7 +138,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw)
             hi = min(lo + 1, n - 1)
             plan[c].append((lo, hi, pos - lo))
             wanted.setdefault(c, []).extend([lo, hi])
-    stats = order_statistics(df, wanted, **kw)
+    stats = order_statistics(df, wanted, summary=summary, **kw)
     out: dict[str, list[float | None]] = {}
     for c in cols:
         vals = []

@@ -54,7 +54,7 @@ def segment_input(df: DataFrame, medians: dict | None = None) -> tuple[DataFrame
     return cut_lineage(vec), medians
 
 
-def kmeans_segments(vec: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 50):
+def kmeans_segments(vec: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 20):
     """M6: k-means|| with a fixed seed; returns (model, frame with
     ``KMeans_Segment``)."""
     km = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="KMeans_Segment")

@@ -147,3 +147,12 @@ def segmentation_features(df: DataFrame) -> DataFrame:
         "Recency": fx.recency(),
         "Avg_Spend_Per_Order": fx.avg_spend_per_order(),
     })
+
+
+def customer_360_materialized(t: Tables, churn_cap: int | None = None) -> DataFrame:
+    """The customer table written once to the shared checkpoint folder.
+    Operators that read it several times (quantile passes, statistics
+    followed by the main pass, model fits, lever statistics) then scan a
+    customer-level file instead of re-running the order-line joins."""
+    from ..session import cut_lineage
+    return cut_lineage(customer_360(t, churn_cap))

@@ -22,7 +22,7 @@ from .catalog import query, round_doubles
 
 
 def _customers(t):
-    return c360.segmentation_features(c360.customer_360(t))
+    return c360.segmentation_features(c360.customer_360_materialized(t))
 
 
 def _fixed_segments(t):
@@ -157,7 +157,7 @@ from a_customer360, (select quantile_cont(cast(Average_Cash_Back as double), [0.
   quantile_cont(cast(Loyalty_Engagement_Score as double), [0.25, 0.5, 0.75]) as r from a_customer360)""")
 def robust_scale(t):
     """M2: (x - median) / IQR with exact quartiles."""
-    df = features.robust_scale(c360.customer_360(t), ["Average_Cash_Back", "Loyalty_Engagement_Score"])
+    df = features.robust_scale(c360.customer_360_materialized(t), ["Average_Cash_Back", "Loyalty_Engagement_Score"])
     return round_doubles(df.select("Customer_ID", "Average_Cash_Back", "Loyalty_Engagement_Score"), 9)
 
 
@@ -180,7 +180,7 @@ def yeo_johnson_apply(t):
 # --- metrics of the closed-form scores ---------------------------------------------
 
 def _scored(t):
-    s = whatif.linear_scorer(c360.customer_360(t))
+    s = whatif.linear_scorer(c360.customer_360_materialized(t))
     return s.withColumn("pred", fx.threshold("_churn_prob"))
 
 
@@ -240,7 +240,7 @@ select round(1 - sum((y - p) * (y - p)) / sum((y - my) * (y - my)), 6) as r2_log
   round(avg(abs(ey - ep)), 6) as mae from e, m""")
 def regression_report(t):
     """R^2 and MAE of the value score on log and original scales."""
-    s = whatif.linear_scorer(c360.customer_360(t)).select(
+    s = whatif.linear_scorer(c360.customer_360_materialized(t)).select(
         F.log1p("Customer_Live_Time_Value").alias("y"), F.log1p("_cltv").alias("p"))
     return round_doubles(metrics.regression_report(s, "y", "p", log_target=True), 6)
 
@@ -271,7 +271,7 @@ def pca_2d(t):
 
 
 def _churn_data(t):
-    df = c360.customer_360(t)
+    df = c360.customer_360_materialized(t)
     return models.class_weights(df, "Churn")
 
 
@@ -293,7 +293,7 @@ def churn_scores(t):
 @query("cltv_scores")
 def cltv_scores(t):
     """Predicted lifetime value (log1p target, expm1 back)."""
-    df = c360.customer_360(t).withColumn("log_cltv", F.log1p("Customer_Live_Time_Value"))
+    df = c360.customer_360_materialized(t).withColumn("log_cltv", F.log1p("Customer_Live_Time_Value"))
     model = models.value_pipeline(_CLTV_SPEC, max_iter=20).fit(df)
     return model.transform(df).select("Customer_ID", "Customer_Live_Time_Value",
                                       F.expm1("prediction").alias("Predicted_CLTV"))
@@ -380,7 +380,7 @@ def whatif_model_scenario(t):
     customer table and the scored baseline are each read many times (two
     fits, two scorings, lever statistics), so both are checkpointed."""
     from ..session import cut_lineage
-    df = cut_lineage(c360.customer_360(t))
+    df = c360.customer_360_materialized(t)
     churn_model = models.churn_pipeline(_CHURN_SPEC, max_iter=20).fit(models.class_weights(df, "Churn"))
     cltv_model = models.value_pipeline(_CLTV_SPEC, max_iter=20).fit(
         df.withColumn("log_cltv", F.log1p("Customer_Live_Time_Value")))

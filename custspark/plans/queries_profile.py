@@ -160,7 +160,7 @@ _SKEW_COLS = ["Total_Amount_Spent", "Days_Since_Last_Order", "Total_Orders_This_
     f"from a_customer360" for c in _SKEW_COLS), ["mean", "median", "skew"]))
 def skew_profile(t):
     """Mean, median and bias-corrected skew of spend, recency, orders."""
-    return round_doubles(profile.skew_profile(c360.customer_360(t), _SKEW_COLS), 6)
+    return round_doubles(profile.skew_profile(c360.customer_360_materialized(t), _SKEW_COLS), 6)
 
 
 _CORR_COLS = ["Cultural_Eco_Alignment", "Emotional_Guilt_Score", "Time_Spent_on_Green_Products",
@@ -222,7 +222,7 @@ _IQR_COLS = ["Total_Amount_Spent", "Days_Since_Last_Order", "Average_Cash_Back",
     for c in _IQR_COLS) + ") where outliers > 0")
 def iqr_outliers(t):
     """Outliers beyond 1.5 IQR per numeric column of the customer table."""
-    return profile.iqr_outliers(c360.customer_360(t), _IQR_COLS)
+    return profile.iqr_outliers(c360.customer_360_materialized(t), _IQR_COLS)
 
 
 @query("class_ratio", sql=rsql("""

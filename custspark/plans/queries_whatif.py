@@ -102,7 +102,7 @@ def _score_sql(src: str) -> str:
 
 
 def _base(t):
-    return wi.with_baseline(c360.customer_360(t), wi.linear_scorer)
+    return wi.with_baseline(c360.customer_360_materialized(t), wi.linear_scorer)
 
 
 _LEVER_COLS = {
@@ -126,7 +126,7 @@ def _register_lever(name, levers, cols):
 
     @query(name, sql=sql)
     def run(t):
-        return wi.apply_levers(c360.customer_360(t), levers).select("Customer_ID", *cols)
+        return wi.apply_levers(c360.customer_360_materialized(t), levers).select("Customer_ID", *cols)
     run.__doc__ = f"C1-C4: lever {levers} applied to the customer table."
     return run
 
