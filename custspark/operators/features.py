@@ -87,7 +87,7 @@ def yeo_johnson(x: Column, lam) -> Column:
 
 
 def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], lo: float = -5.0, hi: float = 5.0,
-                    points: int = 41, passes: int = 4) -> dict[str, float]:
+                    points: int = 21, passes: int = 5) -> dict[str, float]:
     """M4 fit: the lambda maximising the Yeo-Johnson log-likelihood
     ``-n/2 log(var_pop(y)) + (lam - 1) sum(sign(x) log1p(|x|))`` per column.
     Each pass evaluates a grid of lambdas for all columns in ONE aggregate;
