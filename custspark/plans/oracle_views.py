@@ -8,7 +8,7 @@ they never shadow a base table).
 
 from __future__ import annotations
 
-DD = "date_diff('day', max(o_orderdate), (select max(o_orderdate) from orders))"
+DD = "cast(date_diff('day', max(o_orderdate), (select max(o_orderdate) from orders)) as integer)"
 
 VIEW_CTES = {
     "a_orders": "select o_orderkey as Order_ID, o_custkey as Customer_ID from orders",

@@ -33,7 +33,7 @@ rules as (select r.a, r.c, fa.support as sA, fc.support as sC, r.sAC from r
           join freq fa on fa.items = r.a join freq fc on fc.items = r.c),
 m as (select array_to_string(a, ', ') as antecedents, array_to_string(c, ', ') as consequents,
         sA as antecedent_support, sC as consequent_support, sAC as support, sAC / sA as confidence,
-        sAC / sA / sC as lift, 1.0 as representativity, sAC - sA * sC as leverage,
+        sAC / sA / sC as lift, cast(1.0 as double) as representativity, sAC - sA * sC as leverage,
         case when sAC / sA >= 1 then 'inf'::double else (1 - sC) / (1 - sAC / sA) end as conviction,
         case when greatest(sAC * (1 - sA), sA * (sC - sAC)) = 0 then 0.0
              else (sAC - sA * sC) / greatest(sAC * (1 - sA), sA * (sC - sAC)) end as zhangs_metric,
@@ -57,7 +57,7 @@ def _type_rules(t):
 
 
 @query("baskets", sql="with " + _BASKETS_SQL.format(src="a_basket_lines") +
-       " select Order_ID, array_to_string(items, ', ') as items, len(items) as n_items from b")
+       " select Order_ID, array_to_string(items, ', ') as items, cast(len(items) as integer) as n_items from b")
 def baskets(t):
     """B1: one sorted item list per order (part types)."""
     b = basket.baskets(adapters.basket_lines(t))

@@ -194,7 +194,7 @@ _SCORE_SQL = """(select Customer_ID, Churn, Customer_Live_Time_Value,
 
 @query("confusion", sql=f"""
 with s as (select cast(Churn as double) as label, cast(p > 0.5 as double) as prediction from {_SCORE_SQL}),
-g as (select * from (values (0.0), (1.0)) a(label), (values (0.0), (1.0)) b(prediction))
+g as (select * from (values (0.0::double), (1.0::double)) a(label), (values (0.0::double), (1.0::double)) b(prediction))
 select g.label, g.prediction, count(s.label) as count from g left join s on g.label = s.label and g.prediction = s.prediction
 group by 1, 2""")
 def confusion(t):
@@ -209,12 +209,12 @@ c as (select cls, count(*) filter (where label = cls and prediction = cls) as tp
 m as (select cls, support, case when pred_n > 0 then tp / pred_n else 0.0 end as precision,
         case when support > 0 then tp / support else 0.0 end as recall from c),
 f as (select *, case when precision + recall > 0 then 2.0 * precision * recall / (precision + recall) else 0.0 end as f1 from m),
-acc as (select sum(tp) * 1.0 / sum(support) as a, sum(support) as n from c)
+acc as (select sum(tp) * 1.0 / sum(support) as a, cast(sum(support) as bigint) as n from c)
 select cast(cls as varchar) as class, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1, support from f
 union all select 'accuracy', round(a, 9), round(a, 9), round(a, 9), n from acc
-union all select 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), sum(support) from f
+union all select 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), cast(sum(support) as bigint) from f
 union all select 'weighted avg', round(sum(precision * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9),
-  round(sum(f1 * support) / sum(support), 9), sum(support) from f""")
+  round(sum(f1 * support) / sum(support), 9), cast(sum(support) as bigint) from f""")
 def classification_report(t):
     """Precision / recall / F1 per class and averages."""
     return round_doubles(metrics.classification_report(_scored(t), "Churn", "pred"), 9)
