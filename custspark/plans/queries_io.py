@@ -64,3 +64,15 @@ def audit_stream_ingest(t):
 def table_fingerprint(t):
     """Order-insensitive fingerprint of the order table."""
     return io.fingerprint(t.orders)
+
+
+@query("audit_export", sql="""
+select "timestamp", user_email, role, action_type, page_name, file_name, details from a_audit
+where organization_id = '0' and action_type = 'upload'""")
+def audit_export(t):
+    """L4: the filtered audit log exported as CSV (one file per task) and read back."""
+    from ..operators import audit
+    path = io.unique_scratch(t.spark, "audit-export")
+    io.write_csv(audit.audit_filtered(adapters.audit_logs(t), "0", {"action_type": "upload"}), path)
+    return io.read_csv(t.spark, path, "timestamp timestamp_ntz, user_email string, role string, action_type string, "
+                                      "page_name string, file_name string, details string")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 
 NULL_TOKENS = ("", "NA", "NaN", "nan", "null", "NULL")
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -24,7 +25,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     cluster path); without one, types are inferred (user uploads).  A
     byte-order mark on the first header name is removed.  Missing-value
     tokens map to NULL."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("nullValue", "")
+    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("nullValue", "")
+              .option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
     first = df.columns[0] if df.columns else None
@@ -35,9 +37,6 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
                            for c in strings})
 
 
-TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-
-
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines with microsecond timestamps (the default keeps only ms)."""
     df.write.mode(mode).option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT).json(path)
@@ -56,7 +55,8 @@ def read_json(spark: SparkSession, path: str, multiline: bool = False,
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV sink with a header (one file per task; no coalesce to one
     file, which would funnel the table through one task)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    (df.write.mode(mode).option("header", True).option("timestampFormat", TS_FORMAT)
+     .option("timestampNTZFormat", TS_FORMAT).csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
