@@ -171,13 +171,13 @@ def auto_fill(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def dedupe_with_counts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Whole-row de-duplication and a one-row count report
-    ``(rows_before, rows_after, removed)``; both counts come from a single
-    aggregate over the grouped rows."""
+    ``(rows_before, rows_after, removed)``.  Both come from the same grouped
+    aggregate (one shuffle on all columns, reused by both outputs)."""
     cols = df.columns
     grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     report = grouped.agg(F.sum("_n").alias("rows_before"), F.count(F.lit(1)).alias("rows_after"))
     report = report.withColumn("removed", F.col("rows_before") - F.col("rows_after"))
-    return df.dropDuplicates(), report
+    return grouped.select(*cols), report
 
 
 def stamp_lineage(df: DataFrame, tag: str = "Auto_Validated_v2", when=None) -> DataFrame:

@@ -26,6 +26,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoint files of DataFrames that are gone are removed by the cleaner
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # local runs only: the driver JVM is the whole "cluster" there
     "spark.driver.memory": "8g",
     "spark.ui.showConsoleProgress": "false",
