@@ -371,3 +371,39 @@ def sorted_customers(t):
     """Customers by spend, largest first, missing values last."""
     df = c360.customer_360(t).select("Customer_ID", "Total_Amount_Spent", "Days_Since_Last_Order")
     return setops.sort_nulls_last(df, ["Total_Amount_Spent", "Customer_ID"], [False, True])
+
+
+@query("train_median_fill", sql="""
+with s as (select *, case when row_number() over (partition by Churn order by md5(cast(Customer_ID as varchar)), Customer_ID)
+  <= floor(count(*) over (partition by Churn) * 0.2 + 0.5) then 'test' else 'train' end as split from a_churn),
+m as (select median(Order_Amount_Hike_From_Last_Year) as med from s where split = 'train')
+select Customer_ID, coalesce(cast(Order_Amount_Hike_From_Last_Year as double), m.med) as Order_Amount_Hike_From_Last_Year
+from s, m where split = 'test'""")
+def train_median_fill(t):
+    """Gaps of the test part filled with medians fitted on the training part."""
+    raw = adapters.churn(t)
+    split = sampling.stratified_split(raw, "Customer_ID", "Churn", 0.2)
+    train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+    med = clean.column_medians(train, ["Order_Amount_Hike_From_Last_Year"])
+    filled = clean.fill_median(test, ["Order_Amount_Hike_From_Last_Year"], medians=med)
+    return filled.select("Customer_ID", "Order_Amount_Hike_From_Last_Year")
+
+
+@query("format_audit_dates", sql="""
+with d as (select cast(o_orderdate as varchar) as order_date,
+  case when o_orderkey % 97 = 0 then 'not a date' else cast(o_orderdate as varchar) end as ship_date_text from orders)
+select 'order_date' as column, 'date_parse' as "check",
+  count(*) filter (where order_date is not null and try_cast(order_date as timestamp) is null) as bad_rows,
+  case when count(*) filter (where order_date is not null and try_cast(order_date as timestamp) is null) = 0
+       then 'ok' else 'invalid' end as status from d
+union all
+select 'ship_date_text', 'date_parse',
+  count(*) filter (where ship_date_text is not null and try_cast(ship_date_text as timestamp) is null),
+  case when count(*) filter (where ship_date_text is not null and try_cast(ship_date_text as timestamp) is null) = 0
+       then 'ok' else 'invalid' end from d""")
+def format_audit_dates(t):
+    """Date-named text columns checked by a lenient timestamp parse."""
+    d = t.orders.select(F.col("o_orderdate").cast("string").alias("order_date"),
+                        F.when(F.col("o_orderkey") % 97 == 0, F.lit("not a date"))
+                        .otherwise(F.col("o_orderdate").cast("string")).alias("ship_date_text"))
+    return clean.format_audit(d)
