@@ -20,6 +20,16 @@ def customer_360(t):
     return c360.customer_360(t)
 
 
+@query("customer_360_from_sources", sql="select * from a_customer360")
+def customer_360_from_sources(t):
+    """The same table from separately delivered sources
+    (cleaned churn and value tables, transactions, orders, order lines,
+    products, departments) joined on the customer key."""
+    return c360.merge_sources(c360.clean_churn(adapters.churn(t)), c360.clean_cltv(adapters.cltv(t)),
+                              adapters.purchases(t), adapters.orders(t), adapters.order_products(t),
+                              adapters.products(t), adapters.departments(t))
+
+
 @query("customer_rollup", sql="""
 select * from a_purchase_agg""")
 def customer_rollup(t):
