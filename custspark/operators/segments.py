@@ -89,7 +89,8 @@ def davies_bouldin(assigned: DataFrame, cluster_col: str = "KMeans_Segment",
 
 
 def k_sweep(vec: DataFrame, ks: Sequence[int] = range(2, 9), seed: int = 42) -> DataFrame:
-    """M7: for each k the silhouette, Davies-Bouldin index and k-means cost.
+    """M7: for each k the silhouette (Spark's squared-Euclidean form, named so),
+    the exact Davies-Bouldin index and the k-means cost.
     The feature frame is cached once for the sweep; each k is a Spark job,
     the result is a k-row table."""
     vec = vec.select("features").cache()
@@ -101,7 +102,8 @@ def k_sweep(vec: DataFrame, ks: Sequence[int] = range(2, 9), seed: int = 42) ->
             rows.append((int(k), float(silhouette(assigned)), float(db), float(model.summary.trainingCost)))
     finally:
         vec.unpersist()
-    return vec.sparkSession.createDataFrame(rows, "k int, silhouette double, davies_bouldin double, cost double")
+    return vec.sparkSession.createDataFrame(
+        rows, "k int, silhouette_sq_euclidean double, davies_bouldin double, cost double")
 
 
 def segment_stats(assigned: DataFrame, cluster_col: str = "KMeans_Segment") -> DataFrame:
