@@ -204,6 +204,12 @@ def equal_width_bins(df: DataFrame, col: str, bins: int = 10, right_closed: bool
             .withColumn("upper", lo + F.col("bin") * width))
 
 
+def conditional_counts(df: DataFrame, predicates: dict[str, Column], total: str = "total") -> DataFrame:
+    """Row count and one ``count_if`` per named predicate, one pass."""
+    return df.agg(F.count(F.lit(1)).alias(total),
+                  *[F.count_if(F.coalesce(p, F.lit(False))).alias(n) for n, p in predicates.items()])
+
+
 def predicate_share(df: DataFrame, pred: Column, out: str = "share_pct") -> DataFrame:
     """Percent of rows meeting a predicate."""
     return df.agg((F.avg(F.coalesce(pred, F.lit(False)).cast("int")) * F.lit(100.0)).alias(out))

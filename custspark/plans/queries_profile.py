@@ -203,6 +203,18 @@ def histogram_bins(t):
                                                   right_closed=False), 6)
 
 
+@query("cond_counts", sql="""
+select count(*) as total, count(*) filter (where event_type = 'purchase') as purchases,
+  count(*) filter (where event_type = 'signup') as signups, count(*) filter (where event_type = 'error') as errors,
+  count(*) filter (where event_type = 'purchase' and value > 100) as large_purchases from events""")
+def cond_counts(t):
+    """Conditional counts over the event stream in one pass."""
+    e = F.col("event_type")
+    return profile.conditional_counts(t.events, {
+        "purchases": e == "purchase", "signups": e == "signup", "errors": e == "error",
+        "large_purchases": (e == "purchase") & (F.col("value") > 100)})
+
+
 @query("predicate_share", sql=rsql("""
 select avg(case when Complain_Count_In_Last_Month = 0 then 1 else 0 end) * 100.0 as share_pct
 from a_churn_clean""", ["share_pct"]))
