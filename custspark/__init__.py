@@ -11,3 +11,18 @@ streaming  incremental audit-log ingestion with Structured Streaming
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Python code that runs inside tasks (``mapInPandas`` steps) is pickled
+    by value, so executors need not have this package installed or on
+    their path."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # pragma: no cover - older cloudpickle
+        pass
+
+
+_ship_by_value()

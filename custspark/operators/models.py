@@ -115,6 +115,18 @@ def random_search(pipeline: Pipeline, estimator_stage, grid: dict, n_iter: int,
     return model, table
 
 
+def feature_slot_names(model: PipelineModel, cats: Sequence[str], nums: Sequence[str]) -> list[str]:
+    """Names of the assembled feature slots: ``column=level`` for every kept
+    one-hot slot (indexer labels in order; the dropped last slot is the
+    unseen bucket), then the numeric columns."""
+    from pyspark.ml.feature import StringIndexerModel
+    labels = {st.getInputCol(): list(st.labels) for st in model.stages if isinstance(st, StringIndexerModel)}
+    names = []
+    for c in cats:
+        names += [f"{c}={v}" for v in labels.get(c, [])]
+    return names + list(nums)
+
+
 def auc_evaluator(label: str) -> BinaryClassificationEvaluator:
     return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC",
                                          numBins=0)

@@ -332,7 +332,7 @@ def top_drivers(t):
     df = _churn_data(t)
     model = models.churn_pipeline(_CHURN_SPEC, max_iter=20).fit(df)
     scored = model.transform(df)
-    names = drivers.vector_slot_names(scored)
+    names = models.feature_slot_names(model, _CHURN_SPEC.cats, _CHURN_SPEC.nums)
     return drivers.top_drivers(scored, model.stages[-1], names, 8)
 
 
