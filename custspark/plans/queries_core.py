@@ -26,7 +26,7 @@ def customer_360_from_sources(t):
     (cleaned churn and value tables, transactions, orders, order lines,
     products, departments) joined on the customer key."""
     return c360.merge_sources(c360.clean_churn(adapters.churn(t)), c360.clean_cltv(adapters.cltv(t)),
-                              adapters.purchases(t), adapters.orders(t), adapters.order_products(t),
+                              adapters.purchases(t), adapters.orders(t), adapters.order_items(t),
                               adapters.products(t), adapters.departments(t))
 
 
@@ -40,7 +40,7 @@ def customer_rollup(t):
 @query("preferred_department", sql="select * from a_pref_dept")
 def preferred_department(t):
     """Most frequent department per customer, ties to the lowest id."""
-    return c360.preferred_department(adapters.orders(t), adapters.order_products(t),
+    return c360.preferred_department(adapters.orders(t), adapters.order_items(t),
                                      adapters.products(t), adapters.departments(t))
 
 
@@ -139,7 +139,7 @@ select count(*) as rows_before, (select count(*) from (select distinct Order_ID,
 from a_order_products""")
 def dedupe_counts(t):
     """Duplicate (order, product) lines removed and counted."""
-    _, report = clean.dedupe_with_counts(adapters.order_products(t).select("Order_ID", "Product_ID"))
+    _, report = clean.dedupe_with_counts(adapters.order_items(t))
     return report
 
 
@@ -215,7 +215,7 @@ from a_orders o join a_order_products op on o.Order_ID = op.Order_ID
 join a_products p on op.Product_ID = p.Product_ID join a_departments d on p.Department_ID = d.Department_ID""")
 def order_product_department(t):
     """Order -> product -> department chain."""
-    return (adapters.orders(t).join(adapters.order_products(t).select("Order_ID", "Product_ID"), "Order_ID")
+    return (adapters.orders(t).join(adapters.order_items(t), "Order_ID")
             .join(adapters.products(t).select("Product_ID", "Department_ID"), "Product_ID")
             .join(joins.broadcast_bounded(adapters.departments(t), 10000), "Department_ID")
             .select("Order_ID", "Customer_ID", "Product_ID", "Department_ID", "Department_Name"))
@@ -225,7 +225,7 @@ def order_product_department(t):
 select op.Order_ID, op.Product_ID, p.Product_Name from a_order_products op left join a_products p on op.Product_ID = p.Product_ID""")
 def left_lookup(t):
     """Product names looked up for every order line."""
-    return (adapters.order_products(t).select("Order_ID", "Product_ID")
+    return (adapters.order_items(t)
             .join(adapters.products(t).select("Product_ID", "Product_Name"), "Product_ID", "left"))
 
 
@@ -234,7 +234,7 @@ select c.Customer_ID, d.Department_Name as Preferred_Name from a_pref_dept c
 left join a_departments d on c.Preferred_Order_Category = d.Department_ID""")
 def department_name_lookup(t):
     """Left join on differently named keys."""
-    pref = c360.preferred_department(adapters.orders(t), adapters.order_products(t), adapters.products(t),
+    pref = c360.preferred_department(adapters.orders(t), adapters.order_items(t), adapters.products(t),
                                      adapters.departments(t))
     d = adapters.departments(t)
     return (pref.join(d, pref["Preferred_Order_Category"] == d["Department_ID"], "left")
@@ -245,7 +245,7 @@ def department_name_lookup(t):
 select * from a_orders o where exists (select 1 from a_order_products op where op.Order_ID = o.Order_ID)""")
 def semi_join_orders(t):
     """Orders that have at least one line."""
-    return joins.semi_join(adapters.orders(t), adapters.order_products(t), "Order_ID")
+    return joins.semi_join(adapters.orders(t), adapters.order_items(t), "Order_ID")
 
 
 @query("orders_without_lines", sql="""
@@ -253,7 +253,7 @@ select (select count(distinct Order_ID) from a_orders o where not exists (select
   (select count(distinct Product_ID) from a_products p where not exists (select 1 from a_order_products op where op.Product_ID = p.Product_ID)) as products_never_ordered""")
 def orders_without_lines(t):
     """Orders with no line, products never ordered."""
-    op = adapters.order_products(t)
+    op = adapters.order_items(t)
     a = joins.anti_join(adapters.orders(t), op, "Order_ID").agg(F.countDistinct("Order_ID").alias("orders_without_lines"))
     b = joins.anti_join(adapters.products(t), op, "Product_ID").agg(F.countDistinct("Product_ID"))
     return a.withColumn("products_never_ordered", b.scalar())
@@ -372,7 +372,7 @@ def union_missing_cols(t):
 select distinct Product_ID from a_products except select Product_ID from a_order_products""")
 def key_difference(t):
     """Products that were never ordered (set difference of keys)."""
-    return setops.key_difference(adapters.products(t), adapters.order_products(t), "Product_ID")
+    return setops.key_difference(adapters.products(t), adapters.order_items(t), "Product_ID")
 
 
 @query("sorted_customers", sql="""

@@ -34,7 +34,7 @@ select Product_ID, count(*) as count from a_order_products group by 1
 order by count desc, Product_ID limit 20""")
 def value_counts_top(t):
     """A4: the 20 most ordered products."""
-    return profile.value_counts(adapters.order_products(t), "Product_ID", top=20)
+    return profile.value_counts(adapters.order_items(t), "Product_ID", top=20)
 
 
 @query("value_share", sql="""
@@ -91,7 +91,7 @@ from a_orders o join a_order_products op on o.Order_ID = op.Order_ID
 join a_products p on op.Product_ID = p.Product_ID""")
 def entity_counts(t):
     """Distinct orders, customers, products, departments in the order lines."""
-    lines = (adapters.orders(t).join(adapters.order_products(t), "Order_ID")
+    lines = (adapters.orders(t).join(adapters.order_items(t), "Order_ID")
              .join(adapters.products(t), "Product_ID"))
     return profile.entity_counts(lines, ["Order_ID", "Customer_ID", "Product_ID", "Department_ID"])
 

@@ -61,6 +61,15 @@ def order_products(t: Tables) -> DataFrame:
                     .alias("Was_Product_Reordered")))
 
 
+def order_items(t: Tables) -> DataFrame:
+    """``order_products`` without the re-order flag: every order line as an
+    (order, product) pair, for uses that do not need the flag (which costs a
+    second pass over the lines).  ``order_products`` keeps only lines whose
+    order and part exist, as its flag needs both; on the given tables every
+    line has both."""
+    return t.lineitem.select(F.col("l_orderkey").alias("Order_ID"), F.col("l_partkey").alias("Product_ID"))
+
+
 def products(t: Tables) -> DataFrame:
     """One row per product; the department is the brand number."""
     return t.part.select(F.col("p_partkey").alias("Product_ID"),
