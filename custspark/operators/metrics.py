@@ -77,15 +77,14 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def regression_report(df: DataFrame, label: str, pred: str, log_target: bool = False) -> DataFrame:
-    """R^2 and MAE; with ``log_target`` the figures are given on the
-    log1p scale and on the original scale (``expm1`` of both)."""
+    """R^2 and MAE in one aggregate (the total sum of squares is
+    n * var_pop(y), Spark's stable online form); with ``log_target`` the
+    figures are given on the log1p scale and on the original scale
+    (``expm1`` of both)."""
     def stats(y, p, tag):
-        mean_y = df.agg(F.avg(y)).scalar()
-        return df.agg((F.lit(1.0) - F.sum((y - p) * (y - p)) / F.sum((y - mean_y) * (y - mean_y))).alias(f"r2{tag}"),
-                      F.avg(F.abs(y - p)).alias(f"mae{tag}"))
+        return [(F.lit(1.0) - F.sum((y - p) * (y - p)) / (F.count(y) * F.var_pop(y))).alias(f"r2{tag}"),
+                F.avg(F.abs(y - p)).alias(f"mae{tag}")]
     y, p = F.col(label).cast("double"), F.col(pred).cast("double")
     if not log_target:
-        return stats(y, p, "")
-    a = stats(y, p, "_log")
-    b = stats(F.expm1(y), F.expm1(p), "")
-    return a.withColumns({"r2": b.select("r2").scalar(), "mae": b.select("mae").scalar()})
+        return df.agg(*stats(y, p, ""))
+    return df.agg(*stats(y, p, "_log"), *stats(F.expm1(y), F.expm1(p), ""))
