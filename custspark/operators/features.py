@@ -44,12 +44,6 @@ def robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFr
     return df.withColumns(out)
 
 
-def robust_scale_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """The fitted median / IQR table of :func:`robust_scale` (saved with a model)."""
-    return df.agg(*[F.struct(F.median(c).alias("median"),
-                             (F.percentile(c, 0.75) - F.percentile(c, 0.25)).alias("iqr")).alias(c) for c in cols])
-
-
 def feature_pipeline(cats: Sequence[str], nums: Sequence[str], scale: bool = True,
                      features_col: str = "features") -> Pipeline:
     """M3: the column transformer as one Spark ML pipeline: one-hot for the

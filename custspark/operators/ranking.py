@@ -64,13 +64,6 @@ def row_number_distributed(df: DataFrame, order: Sequence[Column | str],
                   *[f"_s_{i}" for i in range(len(strata))]))
 
 
-def row_number_window(df: DataFrame, order: Sequence[Column | str],
-                      strata: Sequence[str] = (), out: str = "row_number") -> DataFrame:
-    """Plain window form; only for inputs whose strata are known to be small."""
-    w = (Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))).orderBy(*_as_cols(order))
-    return df.withColumn(out, F.row_number().over(w))
-
-
 def dense_ids(df: DataFrame, id_col: str, out: str = "new_id") -> DataFrame:
     """Mapping ``(id_col, out)`` numbering the *distinct* ids 1..n in
     ascending order.  Built from the distinct ids only, then joined (J7)."""
