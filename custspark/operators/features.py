@@ -84,9 +84,10 @@ def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], lo: float = -5.0, hi: fl
                     points: int = 21, passes: int = 5) -> dict[str, float]:
     """M4 fit: the lambda maximising the Yeo-Johnson log-likelihood
     ``-n/2 log(var_pop(y)) + (lam - 1) sum(sign(x) log1p(|x|))`` per column.
-    Each pass evaluates a grid of lambdas for all columns in ONE aggregate;
-    the grid then narrows around the best point (``passes`` times).  Only
-    the small table of variances is read back (points x columns numbers)."""
+    Each pass evaluates a grid of lambdas for all columns in one grouped
+    aggregate; the grid then narrows around the best point (``passes``
+    times).  Only the small table of variances is read back (points x
+    columns numbers)."""
     cols = list(cols)
     xs = {c: F.col(c).cast("double") for c in cols}
     base = df.agg(*[F.sum(F.signum(xs[c]) * F.log1p(F.abs(xs[c]))).alias(f"s{i}") for i, c in enumerate(cols)],
@@ -96,16 +97,22 @@ def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], lo: float = -5.0, hi: fl
     for _ in range(passes):
         grids = {c: [bounds[c][0] + (bounds[c][1] - bounds[c][0]) * k / (points - 1) for k in range(points)]
                  for c in cols}
-        aggs = []
-        for i, c in enumerate(cols):
-            for k, lam in enumerate(grids[c]):
-                aggs.append(F.var_pop(yeo_johnson(xs[c], lam)).alias(f"v{i}_{k}"))
-        row = df.agg(*aggs).first()
+        # one generated row per (value, column, lambda) and ONE transform
+        # expression with lambda as a column: the plan stays small however
+        # long the grid, and the partial aggregate folds the generated rows
+        # inside each task before the (tiny) shuffle
+        cands = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(k).alias("k"), F.lit(float(lam)).alias("lam"),
+                                   xs[c].alias("x"))
+                          for i, c in enumerate(cols) for k, lam in enumerate(grids[c])])
+        rows = (df.select(F.explode(cands).alias("g")).where(F.col("g.x").isNotNull())
+                .groupBy("g.c", "g.k").agg(F.var_pop(yeo_johnson(F.col("g.x"), F.col("g.lam"))).alias("v"))
+                .collect())
+        var = {(r["c"], r["k"]): r["v"] for r in rows}
         for i, c in enumerate(cols):
             n, s = base[f"n{i}"], base[f"s{i}"] or 0.0
             scores = []
             for k, lam in enumerate(grids[c]):
-                v = row[f"v{i}_{k}"]
+                v = var.get((i, k))
                 ll = -math.inf if (v is None or v <= 0 or math.isnan(v)) else -n / 2 * math.log(v) + (lam - 1) * s
                 scores.append(ll)
             kbest = max(range(points), key=lambda k: scores[k])
