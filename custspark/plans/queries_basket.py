@@ -162,8 +162,7 @@ with b as (select op.Order_ID, list_sort(list_distinct(list(case when op.Was_Pro
        " select array_to_string(items, ', ') as items, freq, round(support, 9) as support from freq")
 def reordered_baskets(t):
     """Itemsets of re-ordered brands; orders without re-orders stay in N."""
-    lines = (adapters.order_products(t).join(adapters.products(t), "Product_ID")
-             .join(adapters.departments(t), "Department_ID"))
+    lines = adapters.order_products(t, with_department=True)
     b = basket.flagged_baskets(lines, "Order_ID", "Department_Name", "Was_Product_Reordered")
     its = basket.frequent_itemsets(b, 0.01)
     return round_doubles(its.select(items_text("items").alias("items"), "freq", "support"), 9)
@@ -175,8 +174,7 @@ from a_order_products op join a_products p on op.Product_ID = p.Product_ID
 join a_departments d on p.Department_ID = d.Department_ID group by 1""")
 def reorder_rate(t):
     """Share of re-ordered lines per department."""
-    lines = (adapters.order_products(t).join(adapters.products(t), "Product_ID")
-             .join(adapters.departments(t), "Department_ID"))
+    lines = adapters.order_products(t, with_department=True)
     return round_doubles(basket.reorder_rate(lines, "Department_Name"), 9)
 
 

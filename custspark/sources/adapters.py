@@ -34,9 +34,10 @@ def orders(t: Tables) -> DataFrame:
                            F.col("o_custkey").alias("Customer_ID"))
 
 
-def order_products(t: Tables) -> DataFrame:
+def order_products(t: Tables, with_department: bool = False) -> DataFrame:
     """One row per order line; ``Was_Product_Reordered`` = the customer bought
-    this brand on an earlier line.  The first line per (customer, brand) is
+    this brand on an earlier line (``with_department`` keeps the brand as
+    ``Department_Name``).  The first line per (customer, brand) is
     found with a grouped ``min`` of the ordering tuple (partial aggregation,
     so a customer holding a large share of all lines is still combined
     map-side) and then joined back, instead of a window that would sort a
@@ -53,12 +54,16 @@ def order_products(t: Tables) -> DataFrame:
     order_key = F.struct("o_orderdate", "o_orderkey", "l_linenumber", "l_partkey", *tie_breakers)
     first = (lines.groupBy("o_custkey", "p_brand")
              .agg(F.min(order_key).alias("_first")))
-    return (lines.withColumn("_key", order_key)
-            .join(first, ["o_custkey", "p_brand"])
-            .select(F.col("l_orderkey").alias("Order_ID"),
-                    F.col("l_partkey").alias("Product_ID"),
-                    F.when(F.col("_key") == F.col("_first"), F.lit(0)).otherwise(F.lit(1))
-                    .alias("Was_Product_Reordered")))
+    out = (lines.withColumn("_key", order_key)
+           .join(first, ["o_custkey", "p_brand"])
+           .select(F.col("l_orderkey").alias("Order_ID"),
+                   F.col("l_partkey").alias("Product_ID"),
+                   F.when(F.col("_key") == F.col("_first"), F.lit(0)).otherwise(F.lit(1))
+                   .alias("Was_Product_Reordered"),
+                   F.col("p_brand").alias("Department_Name")))
+    # the brand is already joined for the flag; callers that want the
+    # department name keep it instead of joining products and departments
+    return out if with_department else out.drop("Department_Name")
 
 
 def order_items(t: Tables) -> DataFrame:
