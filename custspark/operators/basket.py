@@ -50,6 +50,9 @@ def frequent_itemsets(basket_df: DataFrame, min_support: float, items_col: str =
     runs with a hair lower threshold and the exact ratio test is applied
     after, so a float rounding in ``ceil(minSupport * n)`` cannot drop an
     itemset that sits exactly on the threshold."""
+    # the baskets feed FP-growth and the basket count; checkpointed once so
+    # the order-line joins behind them run a single time
+    basket_df = cut_lineage(basket_df.select(items_col))
     fp = FPGrowth(itemsCol=items_col, minSupport=max(min_support - 1e-9, 0.0), minConfidence=1.0)
     if num_partitions:
         fp = fp.setNumPartitions(num_partitions)
