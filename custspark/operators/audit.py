@@ -53,7 +53,11 @@ def audit_filtered(logs: DataFrame, organization_id: str | None = None,
 def quality_report(df: DataFrame) -> DataFrame:
     """P19 + A19 + A27 as one tidy table ``(check, column, value)``:
     missing percent per column, format verdicts of text columns, outlier
-    counts of numeric columns (only those with outliers)."""
+    counts of numeric columns (only those with outliers).  The audit makes
+    several passes (gaps, formats, quartiles, outliers), so the input is
+    checkpointed once first."""
+    from ..session import cut_lineage
+    df = cut_lineage(df)
     missing = profile.missing_report(df).select(
         F.lit("missing_pct").alias("check"), "column", F.col("missing_pct").cast("string").alias("value"))
     fmt = clean.format_audit(df).where(F.col("status") != "ok").select(
