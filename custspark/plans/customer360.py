@@ -111,7 +111,10 @@ def customer_360(t: Tables, churn_cap: int | None = None) -> DataFrame:
     order lines.  Shuffles: orders by customer (recency), lines by order
     (join with orders) and by part (department), line roll-up by customer,
     and the customer-level joins (small sides broadcast by AQE)."""
-    base = adapters.customer_base(t)
+    # customer x recency is read by the median fit (two passes) and by the
+    # main plan: checkpointed once, so the order table is aggregated once
+    from ..session import cut_lineage
+    base = cut_lineage(adapters.customer_base(t))
     wide = base.select(*adapters.churn_columns(), *adapters.cltv_columns(with_id=False),
                        "Total_Orders_This_Month")
     wide = clean_cltv(clean_churn(wide, churn_cap))
