@@ -29,6 +29,18 @@ from ..session import cut_lineage
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition index << 33 | row
 
 
+def _partitions(spark, num_partitions: int | None) -> int:
+    """Range-partition count: the given one, else the session's shuffle
+    width, else the default parallelism (a width may be set to "auto")."""
+    if num_partitions:
+        return num_partitions
+    conf = spark.conf.get("spark.sql.shuffle.partitions", None)
+    try:
+        return max(int(conf), 1)
+    except (TypeError, ValueError):
+        return max(spark.sparkContext.defaultParallelism, 1)
+
+
 def _as_cols(cols: Sequence[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
@@ -38,7 +50,7 @@ def row_number_distributed(df: DataFrame, order: Sequence[Column | str],
                            num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based row number in ``order`` within each stratum."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _partitions(spark, num_partitions)
     strata = list(strata)
     order_cols = _as_cols(order)
     keys = [F.col(s) for s in strata] + order_cols
@@ -82,7 +94,7 @@ def running_sum_distributed(df: DataFrame, order: Sequence[Column | str], value_
     required) over the whole table, without a one-task window: sums inside
     each range partition plus the totals of all earlier partitions."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _partitions(spark, num_partitions)
     order_cols = _as_cols(order)
     tagged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id()))
