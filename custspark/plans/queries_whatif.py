@@ -7,7 +7,6 @@ scenario is registered separately without a twin.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators import whatif as wi
 from . import customer360 as c360
