@@ -9,11 +9,15 @@ broadcast joins only after Spark has measured them.
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: set[str] = set()
+
 # Settings a cluster deployment would carry in spark-defaults; tests use them
 # on local[*].  AQE coalesces small shuffles, splits skewed partitions of
 # sort-merge joins and turns a join side into a broadcast only when its
@@ -51,14 +55,21 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when none is set
-    (local tests) create a scratch folder for it."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.  Only
+    a local master, where driver and executors are one process, may go
+    without the setting and gets a temporary folder; elsewhere such a folder
+    would be invisible to the executors, so the call fails."""
     sc = spark.sparkContext
-    configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all "
+                             f"executors share (master {sc.master})")
         configured = tempfile.mkdtemp(prefix="custspark-ckpt-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(configured)
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
@@ -70,6 +81,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    """A fresh path under the shared checkpoint folder for an intermediate
+    table.  The tables go when the driver program ends."""
+    base = f"{ensure_checkpoint_dir(spark)}/tables"
+    if base not in _SCRATCH:
+        _SCRATCH.add(base)
+        atexit.register(_remove, spark, base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm, sc = spark._jvm, spark.sparkContext
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session is gone: the cluster's own cleaning is left
+        pass
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared folder and read it
+    back: lineage is cut, a lost executor costs nothing, and later scans are
+    pruned to the columns they use (which a row checkpoint is not)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
