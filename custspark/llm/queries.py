@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import Tables
 
@@ -44,6 +45,30 @@ def op6(t: Tables) -> DataFrame:
     return separators.token_counts(t.documents, tokenizer_path(), end_id=50256)
 
 
+@query("op5_shards")
+def op5(t: Tables) -> DataFrame:
+    """Every document in one of 16 shards of nearly equal size."""
+    from . import shards
+    return shards.shard(t.documents, 16)
+
+
+@query("op8_contamination")
+def op8(t: Tables) -> DataFrame:
+    """Words of every document inside windows of the benchmark items."""
+    from . import suffixes
+    found = suffixes.contamination(t.documents, t.benchmark)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_at", "longest_item")
+
+
+@query("op9_warc")
+def op9(t: Tables) -> DataFrame:
+    """Every page as a WARC record, archives read back by their index."""
+    from . import warc
+    return warc.archive(t.pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 @query("op10_bpe_roundtrip")
 def op10(t: Tables) -> DataFrame:
     """Every text encoded by forced boundaries and decoded again, as digests."""
