@@ -45,6 +45,16 @@ def op6(t: Tables) -> DataFrame:
     return separators.token_counts(t.documents, tokenizer_path(), end_id=50256)
 
 
+@query("op2_toxicity")
+def op2(t: Tables) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    from . import toxicity
+    model = toxicity.fit(t.documents, t.labels)
+    return toxicity.score(t.documents, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 @query("op5_shards")
 def op5(t: Tables) -> DataFrame:
     """Every document in one of 16 shards of nearly equal size."""

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SAMPLE = 8192
-RANGES = 1024
+RANGES = 256
 #: A range may hold this many times its share of rows or bytes.
 OVERFULL = 4
-_COARSE = 32
+_COARSE = 16
 _SALT = 7919
 
 
