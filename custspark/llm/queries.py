@@ -62,6 +62,13 @@ def op5(t: Tables) -> DataFrame:
     return shards.shard(t.documents, 16)
 
 
+@query("op7_embedding_dedup")
+def op7(t: Tables) -> DataFrame:
+    """Groups of vectors with a cosine of 0.9 or more."""
+    from . import hyperplane
+    return hyperplane.near_duplicates(t.embeddings, 0.9)
+
+
 @query("op8_contamination")
 def op8(t: Tables) -> DataFrame:
     """Words of every document inside windows of the benchmark items."""
