@@ -55,6 +55,13 @@ def op2(t: Tables) -> DataFrame:
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+@query("op3_jaccard_join")
+def op3(t: Tables) -> DataFrame:
+    """Classes of documents linked by a Jaccard similarity of 0.75 over 5-word shingles."""
+    from . import jaccard
+    return jaccard.near_duplicates(t.documents).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op5_shards")
 def op5(t: Tables) -> DataFrame:
     """Every document in one of 16 shards of nearly equal size."""
