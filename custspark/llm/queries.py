@@ -62,6 +62,14 @@ def op3(t: Tables) -> DataFrame:
     return jaccard.near_duplicates(t.documents).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op4_substring_dedup")
+def op4(t: Tables) -> DataFrame:
+    """Documents without the words of windows of 35 words that occur twice."""
+    from . import substring
+    return substring.deduplicate(t.documents).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op5_shards")
 def op5(t: Tables) -> DataFrame:
     """Every document in one of 16 shards of nearly equal size."""
