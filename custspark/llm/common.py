@@ -154,6 +154,14 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return _mix((sums[k:] - sums[:-k]) * down[:n - k + 1] + np.uint64(k))
 
 
+def spans(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hash of the ``n`` hashes that begin at ``first``, for each pair."""
+    up, down = _powers(_WORD_BASE, len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[:-1], out=sums[1:], dtype=np.uint64)
+    return _mix((sums[first + n] - sums[first]) * down[first] + n.astype(np.uint64))
+
+
 def whole_rows(words: Words, k: int) -> np.ndarray:
     """Mask over the windows of length ``k``: those within one row."""
     n = len(words.start) - k + 1

@@ -12,9 +12,13 @@ input); the sketches are merged by adding.  A cell's count is at least the
 count of any window whose anchor falls in it, so windows in cells counted
 once occur once: none is lost.
 
-Second pass.  Only windows in cells counted twice or more are hashed (128
-bits) and grouped exactly, with partial counts before the shuffle; those
-that repeat are sent back to their texts as positions.
+Second pass.  Windows in cells counted twice or more are grouped exactly, a
+run of windows with one anchor at a time: the run's whole stretch of words
+(128 bits, with the anchor) is counted first, with partial counts before
+the shuffle.  A stretch that repeats has nothing but repeated windows.  An
+anchor with several different stretches gives one text of each back to be
+hashed window by window, which finds the windows that only part of two
+stretches share.
 
 Null and empty texts have no words.  A text equal to another repeats all
 its windows; texts shorter than a window have none and stay whole.
@@ -29,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import (Words, _mix, gather, keyed, materialize, space_class, text_buffers, text_steps, to_int64, whole_rows,
-                     windows)
+from .common import (Words, _mix, gather, keyed, materialize, space_class, spans, text_buffers, text_steps, to_int64,
+                     whole_rows, windows)
 
 WINDOW = 35
 GRAM = 12
-#: Sketch cells for each expected anchor.
-CELLS = 16
+#: Sketch cells for each expected anchor (only cells in use take space, so a wide sketch costs nothing).
+CELLS = 1 << 10
 _PLACE_BITS = 28
 
 
@@ -97,25 +101,27 @@ def sketch(rows: DataFrame, bits: int, window: int, gram: int) -> DataFrame:
             .where(F.col("n") > 1).select("cell"))
 
 
-def _candidates(rows: DataFrame, cells: DataFrame, bits: int, window: int, gram: int) -> DataFrame:
-    """``(id, tag, runs)``: runs of windows of each row that the sketch takes for repeated."""
+_N, _TAG = 1 << 8, 1 << 21  # a place packs first word, tag of the row and windows of the run
+
+
+def _runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """``(anchor, stretch, id, place)`` of every run of windows that have one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_steps(batches, "text"):
             words = Words(*text_buffers(b.column(2)), space_class())
-            anchor, first, n = anchors(words, words.hashes(), window, gram)
+            h = words.hashes()
+            anchor, first, n = anchors(words, h, window, gram)
             doc = words.doc[first] if len(first) else first
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_cell(anchor, bits)), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)),
-                 pa.array((first - words.first[doc]).astype(np.int64)), pa.array(n.astype(np.int32))],
-                ["cell", "id", "tag", "first", "n"])
+            place = ((first - words.first[doc]) * _TAG + b.column(1).to_numpy().astype(np.int64)[doc]) * _N + n
+            yield pa.RecordBatch.from_arrays([to_int64(_mix(anchor)), to_int64(spans(h, first, n + window - 1)),
+                                              b.column(0).take(pa.array(doc)), pa.array(place)], ["anchor", "stretch", "id", "place"])
 
-    runs = rows.mapInArrow(run, "cell long, id long, tag int, first long, n int").join(cells, "cell", "left_semi")
-    return runs.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    return rows.mapInArrow(run, "anchor long, stretch long, id long, place long")
 
 
 def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
-    """``(h1, h2, id, tag, place)`` of all candidate windows."""
+    """``(anchor, h, id, place, single)`` of all windows of the given runs; ``place`` as of a run with one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_steps(batches, "text"):
@@ -123,43 +129,59 @@ def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
             h = words.hashes()
             if len(h) < window:
                 continue
-            runs = b.column(3)
-            off = runs.offsets.to_numpy().astype(np.int64)
-            flat = runs.flatten()
+            off = b.column(3).offsets.to_numpy().astype(np.int64)
+            flat = b.column(3).flatten()
             doc = np.repeat(np.arange(b.num_rows), np.diff(off))
-            first, n = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64)
-            place = gather(first, n)
-            at = place + np.repeat(words.first[doc], n)
-            row = pa.array(np.repeat(doc, n))
-            h1, h2 = windows(h, window)[at], windows(_mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), window)[at]
-            yield pa.RecordBatch.from_arrays([to_int64(h1), to_int64(h2), b.column(0).take(row), b.column(1).take(row),
-                                              pa.array(place)], ["h1", "h2", "id", "tag", "place"])
+            place = flat.field(1).to_numpy().astype(np.int64)
+            n, first = place % _N, place // _N // _TAG
+            at = gather(first, n)
+            of = np.repeat(np.arange(len(n)), n)
+            value = windows(_mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), window)[at + words.first[doc][of]]
+            row = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [flat.field(0).take(row), to_int64(value), b.column(0).take(pa.array(doc[of])),
+                 pa.array((at * _TAG + (place // _N % _TAG)[of]) * _N + 1), flat.field(2).take(row)],
+                ["anchor", "h", "id", "place", "single"])
 
-    return texts.mapInArrow(run, "h1 long, h2 long, id long, tag int, place long")
+    return texts.mapInArrow(run, "anchor long, h long, id long, place long, single boolean")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """``(id, tag, places)``: first words of the repeated windows of each row that has some."""
+    """``(id, tag, runs)``: the runs ``(first, n)`` of repeated windows of each row that has some."""
+    if window - gram + 1 >= _N:
+        raise ValueError(f"a window may hold {_N - 1} grams at most")
     rows = _rows(docs, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about one anchor for every 12 words, or 60 bytes
     bits = min(60, max(16, (total // 60 * CELLS).bit_length()))
     cells = materialize(sketch(rows, bits, window, gram), "repeated-cells")
-    texts = rows.join(_candidates(rows, cells, bits, window, gram), ["id", "tag"])
-    hashed = materialize(_window_hashes(texts, window), "candidate-windows")
-    repeated = materialize(hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("h1", "h2"),
-                           "repeated-windows")
-    return (hashed.join(repeated, ["h1", "h2"], "left_semi").groupBy("id", "tag")
-            .agg(F.collect_set("place").alias("places")))
-
-
-def _kept(words: Words, places: pa.Array, window: int) -> np.ndarray:
+    runs = materialize(_runs(rows, window, gram).join(
+        cells, F.shiftrightunsigned("anchor", 64 - bits) == F.col("cell"), "left_semi"), "candidate-runs")
+    stretches = materialize(runs.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "place")).alias("one")),
+                            "stretches")
+    mixed = stretches.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("anchor")
+    # one run of each stretch of those anchors, hashed window by window
+    tag = F.expr(f"cast(place div {_N} % {_TAG} as int)")
+    wanted = (stretches.join(mixed, "anchor", "left_semi")
+              .select("anchor", F.col("one.id").alias("id"), F.col("one.place").alias("place"), (F.col("c") == 1).alias("single"))
+              .groupBy("id", tag.alias("tag")).agg(F.collect_list(F.struct("anchor", "place", "single")).alias("runs")))
+    hashed = materialize(_window_hashes(rows.join(wanted, ["id", "tag"]), window), "candidate-windows")
+    shared = hashed.groupBy("anchor", "h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("anchor", "h")
+    shared = materialize(shared, "shared-windows")
+    edges = hashed.where("single").join(shared, ["anchor", "h"], "left_semi").select("id", "place")
+    whole = runs.join(stretches.where(F.col("c") > 1).select("anchor", "stretch"), ["anchor", "stretch"], "left_semi").select("id", "place")
+    return (whole.union(edges).groupBy("id", tag.alias("tag"))
+            .agg(F.collect_list(F.struct(F.expr(f"place div {_N} div {_TAG}").alias("first"), (F.col("place") % _N).alias("n"))).alias("runs")))
+
+
+def _kept(words: Words, runs: pa.Array, window: int) -> np.ndarray:
     """Mask of the words that no repeated window covers."""
-    off = places.offsets.to_numpy().astype(np.int64)
-    first = np.repeat(words.first[:-1], np.diff(off)) + places.flatten().to_numpy()
-    edge = np.bincount(first, minlength=len(words.start) + 1)[:len(words.start) + 1].astype(np.int64)
-    edge -= np.bincount(first + window, minlength=len(words.start) + 1)[:len(words.start) + 1]
+    off = runs.offsets.to_numpy().astype(np.int64)
+    flat = runs.flatten()
+    first = np.repeat(words.first[:-1], np.diff(off)) + flat.field(0).to_numpy()
+    size = len(words.start) + 1
+    edge = np.bincount(first, minlength=size)[:size] - np.bincount(first + flat.field(1).to_numpy() + window - 1, minlength=size)[:size]
     return np.cumsum(edge)[:len(words.start)] == 0
 
 
@@ -173,21 +195,21 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col:
     own: Column = F.coalesce(F.col(id_col).cast("long"), key)
     tag = (F.pmod(key, F.lit(1 << 20)) * 2 + F.col(id_col).isNull().cast("long")).cast("int")
     joined = docs.withColumns({"__id": own, "__tag": tag, "__text": text}).join(
-        found.toDF("__fid", "__ftag", "__places"), (F.col("__id") == F.col("__fid")) & (F.col("__tag") == F.col("__ftag")), "left")
-    none = F.array().cast("array<long>")
-    joined = joined.withColumn("__places", F.coalesce("__places", none)).drop("__id", "__tag", "__fid", "__ftag")
+        found.toDF("__fid", "__ftag", "__runs"), (F.col("__id") == F.col("__fid")) & (F.col("__tag") == F.col("__ftag")), "left")
+    none = F.array().cast("array<struct<first:long,n:long>>")
+    joined = joined.withColumn("__runs", F.coalesce("__runs", none)).drop("__id", "__tag", "__fid", "__ftag")
     if replace:
         names, schema = docs.columns, docs.schema
-        given = joined.select(*docs.columns, "__text", "__places")
+        given = joined.select(*docs.columns, "__text", "__runs")
     else:
         names, schema = [], "doc_id long, n_words long, n_removed long, kept string"
-        given = joined.select(F.col(id_col).cast("long").alias("doc_id"), "__text", "__places")
+        given = joined.select(F.col(id_col).cast("long").alias("doc_id"), "__text", "__runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_steps(batches, "__text"):
             col = b.column(b.schema.get_field_index("__text"))
             words = Words(*text_buffers(col), space_class())
-            stays = _kept(words, b.column(b.schema.get_field_index("__places")), window)
+            stays = _kept(words, b.column(b.schema.get_field_index("__runs")), window)
             sums = np.concatenate([[0], np.cumsum(~stays)])
             removed = sums[words.first[1:]] - sums[words.first[:-1]]
             raw = words.data.tobytes()
