@@ -155,8 +155,8 @@ def rule_summary(rules: DataFrame) -> DataFrame:
 
 
 def reorder_rate(lines: DataFrame, by: str, flag: str = "Was_Product_Reordered") -> DataFrame:
-    """Share of re-ordered lines per group."""
-    return lines.groupBy(by).agg(F.avg(flag).alias("reorder_rate"), F.count(F.lit(1)).alias("lines"))
+    """Share of re-ordered lines per group (a null is no group)."""
+    return lines.where(F.col(by).isNotNull()).groupBy(by).agg(F.avg(flag).alias("reorder_rate"), F.count(F.lit(1)).alias("lines"))
 
 
 def require_basket_columns(df: DataFrame, cols=("Order_ID", "Customer_ID", "Department_Name")) -> DataFrame:

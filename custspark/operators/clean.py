@@ -138,28 +138,27 @@ def auto_fill(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """P10: numeric columns get the median, all others the mode (ties go to
     the smallest value, as ``mode()[0]``).  Returns the filled table and an
     action table ``(column, method, value)`` that lists only columns which
-    had gaps.  An all-null column stays null.  Fit step: one aggregate of
-    gap counts and modes plus exact medians, read back as a few values."""
+    had gaps.  A numeric column with gaps becomes double, as a median may be half
+    a unit.  An all-null column stays null.  Fit step: one aggregate of gap counts,
+    exact medians, and the most frequent value of each other column with gaps."""
     from .quantiles import medians
-    num = [c for c in numeric_columns(df)]
-    cols = df.columns
-    dtypes = dict(df.dtypes)
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(cols)],
-                 *[F.mode(F.col(c).cast("string"), True).alias(f"m_{i}") for i, c in enumerate(cols)
-                   if c not in num]).first()
-    gaps = [c for i, c in enumerate(cols) if row[f"n_{i}"] > 0]
-    med = medians(df, [c for c in gaps if c in num]) if any(c in num for c in gaps) else {}
+    num = set(numeric_columns(df))
+    cols, dtypes = df.columns, dict(df.dtypes)
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
+    gaps = [c for i, c in enumerate(cols) if row[f"n_{i}"]]
+    med = medians(df, [c for c in gaps if c in num])
     fills, actions = {}, []
-    for i, c in enumerate(cols):
-        if c not in gaps:
-            continue
+    for c in gaps:
         if c in num:
             v = med.get(c)
             actions.append((c, "median", None if v is None else str(float(v))))
             if v is not None:
-                fills[c] = F.coalesce(F.col(c), F.lit(v).cast(dtypes[c]))
+                fills[c] = F.coalesce(F.col(c).cast("double"), F.lit(float(v)))
         else:
-            v = row[f"m_{i}"]
+            # counted like any group, so no task holds all values of the column
+            most = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+                    .orderBy(F.desc("n"), "v").first())
+            v = most and most["v"]
             actions.append((c, "mode", v))
             if v is not None:
                 fills[c] = F.coalesce(F.col(c), F.lit(v).cast(dtypes[c]))

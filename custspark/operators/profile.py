@@ -43,27 +43,29 @@ def value_counts(df: DataFrame, col: str, top: int | None = None, dropna: bool =
 
 
 def value_share(df: DataFrame, col: str, places: int = 2) -> DataFrame:
-    """A5: percent of rows per value (half-even to ``places``).  The row total
-    is a scalar subquery, not a window over the whole table."""
+    """A5: percent of rows per value (half-even to ``places``), rows without a value left
+    out of the list and of the total.  The total is a scalar subquery, not a window over
+    the whole table."""
+    df = df.where(F.col(col).isNotNull())
     total = df.agg(F.count(F.lit(1))).scalar()
     return (df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
             .withColumn("share_pct", F.bround(F.col("count") * F.lit(100.0) / total, places)))
 
 
 def count_of_counts(df: DataFrame, key: str, out: str = "n") -> DataFrame:
-    """How many keys occur ``n`` times."""
-    return (df.groupBy(key).agg(F.count(F.lit(1)).alias(out))
+    """How many keys occur ``n`` times (a null is no key)."""
+    return (df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(out))
             .groupBy(out).agg(F.count(F.lit(1)).alias("groups")))
 
 
 def rate_by_category(df: DataFrame, cat: str, flag: str, out: str = "rate") -> DataFrame:
-    """Mean of a 0/1 flag per category."""
-    return df.groupBy(cat).agg(F.avg(flag).alias(out), F.count(F.lit(1)).alias("rows"))
+    """Mean of a 0/1 flag per category (a null is no category)."""
+    return df.where(F.col(cat).isNotNull()).groupBy(cat).agg(F.avg(flag).alias(out), F.count(F.lit(1)).alias("rows"))
 
 
 def top_sums(df: DataFrame, cat: str, col: str, top: int = 10, out: str = "total") -> DataFrame:
-    """Sum per category, the ``top`` largest (ties by category)."""
-    return (df.groupBy(cat).agg(F.sum(col).alias(out))
+    """Sum per category, the ``top`` largest (ties by category; a null is no category)."""
+    return (df.where(F.col(cat).isNotNull()).groupBy(cat).agg(F.sum(col).alias(out))
             .orderBy(F.desc(out), F.asc(cat)).limit(top))
 
 
@@ -186,22 +188,21 @@ def equal_width_bins(df: DataFrame, col: str, bins: int = 10, right_closed: bool
     """Equal-width bins over [min, max] with counts.
     ``right_closed`` = ``pd.cut`` (bins (a, b], the minimum falls in bin 1);
     otherwise the numpy ``histogram`` form [a, b) with the maximum in the
-    last bin.  Empty bins are not listed."""
-    mm = df.agg(F.struct(F.min(col).cast("double").alias("lo"),
-                         F.max(col).cast("double").alias("hi")).alias("m")).scalar()
-    lo, hi = mm["lo"], mm["hi"]
-    width = (hi - lo) / F.lit(float(bins))
+    last bin.  Empty bins count 0; a column without values has no bins."""
     x = F.col(col).cast("double")
-    pos = (x - lo) / width
-    if right_closed:
-        b = F.greatest(F.lit(1), F.ceil(pos))
-    else:
-        b = F.floor(pos) + F.lit(1)
+    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    mm = ends.select(F.struct("lo", "hi").alias("m")).scalar()
+    width = (mm["hi"] - mm["lo"]) / F.lit(float(bins))
+    pos = (x - mm["lo"]) / width
+    b = F.greatest(F.lit(1), F.ceil(pos)) if right_closed else F.floor(pos) + F.lit(1)
     b = F.when(width == 0, F.lit(1)).otherwise(F.least(F.lit(bins), b)).cast("int")
-    return (df.where(x.isNotNull()).select(b.alias("bin"))
-            .groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-            .withColumn("lower", lo + (F.col("bin") - 1) * width)
-            .withColumn("upper", lo + F.col("bin") * width))
+    counts = df.where(x.isNotNull()).select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    # one row a bin, whether it holds rows or not
+    every = (ends.where(F.col("lo").isNotNull()).select("lo", step.alias("step"), F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")))
+    return every.join(counts, "bin", "left").select(
+        "bin", F.coalesce("n", F.lit(0)).alias("count"), (F.col("lo") + (F.col("bin") - 1) * F.col("step")).alias("lower"),
+        (F.col("lo") + F.col("bin") * F.col("step")).alias("upper"))
 
 
 def conditional_counts(df: DataFrame, predicates: dict[str, Column], total: str = "total") -> DataFrame:
@@ -254,8 +255,8 @@ def suffix_counts(df: DataFrame, col: str) -> DataFrame:
 
 def contingency(df: DataFrame, a: str, b: str, b_values: Sequence) -> DataFrame:
     """``pd.crosstab(a, b)``: one row per value of ``a``, one count
-    column per listed value of ``b`` (absent pairs are 0)."""
-    return (df.groupBy(a).pivot(b, list(b_values)).agg(F.count(F.lit(1))).na.fill(0)
+    column per listed value of ``b`` (absent pairs are 0; rows with a null are left out)."""
+    return (df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a).pivot(b, list(b_values)).agg(F.count(F.lit(1))).na.fill(0)
             .withColumnsRenamed({str(v): f"{b}_{v}" for v in b_values}))
 
 

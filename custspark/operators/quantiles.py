@@ -2,126 +2,65 @@
 
 Spark's exact ``percentile`` keeps a value->count map of the whole column
 in one final task, which does not survive a continuous column with
-billions of distinct values.  Here an exact order statistic is found by
-histogram refinement:
-
-1. one aggregate gives count, min and max of every column;
-2. each pass histograms, for every wanted rank, only the rows still inside
-   its current bucket (``bins`` equal-width buckets, counted by a grouped
-   aggregate that combines map-side) and keeps the bucket that holds the
-   rank, so each pass narrows the interval by a factor ``bins``;
-3. once a bucket holds at most ``final_rows`` rows, those values are read
-   back (a bounded slice) and the rank is picked exactly.
-
-Membership in a bucket is always decided by the same floor expression of
-every earlier pass, so counts never drift with float rounding.  Results
-equal pandas' linear interpolation (``quantile``, ``median``).
+billions of distinct values.  Here the values of all columns are counted
+(ties merge before the shuffle), and a distributed running sum over the
+distinct values, in order, tells which value holds each wanted rank.  The
+number of passes is fixed, whatever the values, and one row comes back for
+each rank.
+
+Nulls and NaN are no values.  Results equal pandas' linear interpolation
+(``quantile``, ``median``).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import running_sum_distributed
 
-class _Target:
-    def __init__(self, col: str, rank: int):
-        self.col, self.rank = col, rank
-        self.conds: list[tuple[float, float, int, int]] = []  # (lo, width, bins, bucket)
-        self.lo = self.hi = None
-        self.below = 0
-        self.rows = None
-        self.value = None
 
+def _value(col: str) -> Column:
+    x = F.col(col).cast("double")
+    return F.when(~F.isnan(x), x)
 
-def _bucket(x: Column, lo: float, width: float, bins: int) -> Column:
-    return F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(0)), F.lit(bins - 1)).cast("int")
 
-
-def _inside(x: Column, t: _Target) -> Column:
-    conds = [x.isNotNull()]
-    for lo, width, bins, b in t.conds:
-        conds.append(_bucket(x, lo, width, bins) == b)
-    return reduce(lambda a, c: a & c, conds)
-
-
-def order_statistics(df: DataFrame, wanted: dict[str, list[int]], bins: int = 1024,
-                     final_rows: int = 20000, max_passes: int = 12,
+def order_statistics(df: DataFrame, wanted: dict[str, list[int]],
                      summary: dict[str, tuple] | None = None) -> dict[tuple[str, int], float]:
-    """Exact values of the given 0-based ranks (ascending, nulls ignored).
+    """Exact values of the given 0-based ranks (ascending, missing values ignored).
     ``summary`` may carry ``{col: (min, max, count)}`` from an earlier pass."""
-    targets = [_Target(c, r) for c, ranks in wanted.items() for r in sorted(set(ranks))]
-    if not targets:
+    cols = sorted(c for c, ranks in wanted.items() if ranks)
+    if not cols:
         return {}
-    cols = sorted({t.col for t in targets})
     summary = summary or column_summary(df, cols)
-    for t in targets:
-        t.lo, t.hi, t.rows = summary[t.col]
-        if t.lo is None or t.lo == t.hi:
-            t.value = t.lo
-    for _ in range(max_passes):
-        active = [t for t in targets if t.value is None and t.rows > final_rows]
-        if not active:
-            break
-        structs = []
-        for k, t in enumerate(active):
-            x = F.col(t.col).cast("double")
-            width = (t.hi - t.lo) / bins
-            structs.append(F.when(_inside(x, t), F.struct(F.lit(k).alias("k"),
-                                                          _bucket(x, t.lo, width, bins).alias("b"))))
-        hist = (df.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
-                .groupBy("s.k", "s.b").agg(F.count(F.lit(1)).alias("n")).collect())
-        counts: dict[int, dict[int, int]] = {}
-        for r in hist:
-            counts.setdefault(r["k"], {})[r["b"]] = r["n"]
-        for k, t in enumerate(active):
-            width = (t.hi - t.lo) / bins
-            need = t.rank - t.below
-            acc = 0
-            for b in sorted(counts.get(k, {})):
-                n = counts[k][b]
-                if acc + n > need:
-                    t.conds.append((t.lo, width, bins, b))
-                    t.below += acc
-                    t.rows = n
-                    new_lo = t.lo + b * width
-                    new_hi = t.hi if b == bins - 1 else t.lo + (b + 1) * width
-                    t.lo, t.hi = new_lo, new_hi
-                    if not (new_hi > new_lo) or width == 0:
-                        t.value = new_lo
-                    break
-                acc += n
-    # final: read the few values still in each target's bucket
-    pending = [t for t in targets if t.value is None]
-    if pending:
-        parts = []
-        for k, t in enumerate(pending):
-            x = F.col(t.col).cast("double")
-            parts.append(F.when(_inside(x, t), F.struct(F.lit(k).alias("k"), x.alias("v"))))
-        rows = (df.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("s"))
-                .select("s.k", "s.v").collect())
-        values: dict[int, list[float]] = {}
-        for r in rows:
-            values.setdefault(r["k"], []).append(r["v"])
-        for k, t in enumerate(pending):
-            vs = sorted(values.get(k, []))
-            t.value = vs[t.rank - t.below] if 0 <= t.rank - t.below < len(vs) else None
-    return {(t.col, t.rank): t.value for t in targets}
+    before, places = 0, {}
+    for c in cols:
+        places.update({before + r: (c, r) for r in wanted[c] if 0 <= r < summary[c][2]})
+        before += summary[c][2]
+    if not places:
+        return {}
+    values = F.array(*[F.struct(F.lit(k).alias("k"), _value(c).alias("x")) for k, c in enumerate(cols)])
+    counts = (df.select(F.explode(F.filter(values, lambda v: v["x"].isNotNull())).alias("v"))
+              .groupBy("v.k", "v.x").agg(F.count(F.lit(1)).alias("n")))
+    upto = running_sum_distributed(counts, ["k", "x"], ["n"])
+    ranks = F.array(*[F.lit(g).cast("long") for g in sorted(places)])
+    held = F.filter(ranks, lambda g: (g >= F.col("n_cum") - F.col("n")) & (g < F.col("n_cum")))
+    rows = upto.select("x", F.explode(held).alias("g")).collect()  # one row a rank
+    return {places[r["g"]]: r["x"] for r in rows}
 
 
 def column_summary(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
-    """``{col: (min, max, non-null count)}`` in one aggregate."""
-    mm = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(cols)],
-                *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(cols)],
-                *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    """``{col: (min, max, count of values)}`` in one aggregate."""
+    mm = df.agg(*[F.min(_value(c)).alias(f"lo{i}") for i, c in enumerate(cols)],
+                *[F.max(_value(c)).alias(f"hi{i}") for i, c in enumerate(cols)],
+                *[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     return {c: (mm[f"lo{i}"], mm[f"hi{i}"], mm[f"n{i}"]) for i, c in enumerate(cols)}
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict[str, list[float | None]]:
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles per column (pandas semantics)."""
     summary = column_summary(df, list(cols))
     wanted: dict[str, list[int]] = {}
@@ -138,7 +77,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw)
             hi = min(lo + 1, n - 1)
             plan[c].append((lo, hi, pos - lo))
             wanted.setdefault(c, []).extend([lo, hi])
-    stats = order_statistics(df, wanted, summary=summary, **kw)
+    stats = order_statistics(df, wanted, summary=summary)
     out: dict[str, list[float | None]] = {}
     for c in cols:
         vals = []
@@ -153,6 +92,6 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw)
     return out
 
 
-def medians(df: DataFrame, cols: Sequence[str], **kw) -> dict[str, float | None]:
-    q = quantiles(df, cols, [0.5], **kw)
+def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    q = quantiles(df, cols, [0.5])
     return {c: q[c][0] for c in cols}

@@ -70,7 +70,7 @@ def quality_report(t):
 select * replace (
   coalesce(Hours_Spend_On_Website, (select Hours_Spend_On_Website from a_churn where Hours_Spend_On_Website is not null
      group by 1 order by count(*) desc, 1 limit 1)) as Hours_Spend_On_Website,
-  coalesce(Order_Amount_Hike_From_Last_Year, cast((select median(Order_Amount_Hike_From_Last_Year) from a_churn) as bigint))
+  coalesce(cast(Order_Amount_Hike_From_Last_Year as double), (select median(Order_Amount_Hike_From_Last_Year) from a_churn))
      as Order_Amount_Hike_From_Last_Year),
   'Auto_Validated_v2' as data_lineage, timestamp '2024-01-01 00:00:00' as audit_timestamp
 from (select distinct * from a_churn)""")

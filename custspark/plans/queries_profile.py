@@ -179,8 +179,9 @@ with m as (select cast(min({c}) as double) lo, cast(max({c}) as double) hi from
 b as (select case when (m.hi - m.lo) / 10.0 = 0 then 1 else
         least(10, {expr}) end as bin, m.lo, (m.hi - m.lo) / 10.0 as w
       from {t}, m where {c} is not null)
-select cast(bin as int) as bin, count(*) as count, any_value(lo) + (bin - 1) * any_value(w) as lower,
-  any_value(lo) + bin * any_value(w) as upper from b group by bin"""
+select cast(g.bin as int) as bin, (select count(*) from b where b.bin = g.bin) as count,
+  m.lo + (g.bin - 1) * ((m.hi - m.lo) / 10.0) as lower, m.lo + g.bin * ((m.hi - m.lo) / 10.0) as upper
+from range(1, 11) g(bin), m where m.lo is not null"""
 
 
 @query("equal_width_bins", sql=rsql(_BINS_SQL.format(

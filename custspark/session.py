@@ -74,10 +74,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a
-    local checkpoint, which dies with its executor)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` from here on as a table of the shared folder (see :func:`materialize`)."""
+    return materialize(df, "cut")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,20 +21,44 @@ TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header.  With a schema no inference pass runs (the
-    cluster path); without one, types are inferred (user uploads).  A
-    byte-order mark on the first header name is removed.  Missing-value
-    tokens map to NULL."""
+    """CSV with a header, columns by place.  With a schema no inference pass
+    runs (the cluster path); without one, types are inferred (user uploads).  A
+    byte-order mark on the first header name is removed.  Missing-value tokens
+    are NULL in columns of any type."""
     reader = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("nullValue", "")
               .option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT))
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
-    first = df.columns[0] if df.columns else None
+    text = reader.csv(path)
+    first = text.columns[0] if text.columns else None
     if first and first.startswith("\ufeff"):
-        df = df.withColumnRenamed(first, first.lstrip("\ufeff"))
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: F.when(F.col(c).isin(*NULL_TOKENS), F.lit(None)).otherwise(F.col(c))
-                           for c in strings})
+        text = text.withColumnRenamed(first, first.lstrip("\ufeff"))
+    # tokens go while everything is text, so they neither change a type nor become NaN
+    text = text.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in text.columns])
+    if schema is not None:
+        fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        if len(fields) != len(text.columns):
+            raise ValueError(f"{len(text.columns)} columns in the file, {len(fields)} in the schema")
+        types = [(c, f.name, f.dataType) for c, f in zip(text.columns, fields)]
+    else:
+        types = [(c, c, t) for c, t in _inferred(text)]
+    return text.select(*[_typed(F.col(f"`{c}`"), t).alias(name) for c, name, t in types])
+
+
+def _typed(col: Column, kind: T.DataType) -> Column:
+    """A text column as another type; what cannot be read is NULL."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.coalesce(F.try_to_timestamp(col, F.lit(TS_FORMAT)).cast(kind), col.try_cast(kind))
+    return col.try_cast(kind)
+
+
+def _inferred(text: DataFrame) -> list[tuple[str, T.DataType]]:
+    """The narrowest of long, double, boolean and timestamp that reads every value of a column, else text; one
+    aggregate over the table."""
+    kinds = (T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType())
+    col = lambda c: F.col(f"`{c}`")
+    row = text.agg(F.lit(0), *[F.max(F.when(col(c).isNotNull(), col(c).try_cast(k).isNull())).alias(f"{i}_{j}")
+                               for i, c in enumerate(text.columns) for j, k in enumerate(kinds)]).first()
+    return [(c, next((k for j, k in enumerate(kinds) if row[f"{i}_{j}"] is False), T.StringType()))
+            for i, c in enumerate(text.columns)]
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,5 +1,6 @@
 """Properties of the distributed building blocks."""
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -59,17 +60,24 @@ def test_fingerprint_order_insensitive(spark):
     assert fingerprint(df).first() == fingerprint(df.orderBy(F.desc("id")).repartition(3)).first()
 
 
-@pytest.mark.parametrize("bins,final_rows", [(4, 10), (16, 50), (1024, 20000)])
-def test_exact_quantiles_refinement(spark, bins, final_rows):
-    import numpy as np
+@pytest.mark.parametrize("shape", ["ties at the minimum", "wide", "few"])
+def test_exact_quantiles(spark, shape):
+    """Ranks on ties at 0 with minimum 0, values 300 orders of magnitude apart, single values; NaN and null are no values."""
     from custspark.operators.quantiles import quantiles
-    rng = np.random.default_rng(3)
-    vals = np.concatenate([rng.normal(0, 1, 700), np.full(200, 0.25), rng.exponential(5, 100)]).round(3)
-    rows = [(float(v),) for v in vals] + [(None,)] * 5
-    df = spark.createDataFrame(rows, "x double")
-    got = quantiles(df, ["x"], [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0], bins=bins, final_rows=final_rows)["x"]
-    want = np.quantile(vals, [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0])
-    assert np.allclose(got, want, rtol=0, atol=1e-12)
+    rng = np.random.default_rng(7)
+    vals = {"ties at the minimum": (rng.random(4000) > 0.75).astype(float), "few": np.array([3.0, 1.0]),
+            "wide": np.concatenate([rng.random(500), rng.random(500) * 1e300, -rng.random(300)])}[shape]
+    df = spark.createDataFrame([(float(v), None) for v in vals] + [(float("nan"), None), (None, None)], "x double, y double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = quantiles(df, ["x", "y"], probs)
+    assert np.allclose(got["x"], np.quantile(vals, probs), rtol=1e-12, atol=0) and got["y"] == [None] * len(probs)
+
+
+def test_quantiles_read_back_one_row_a_rank(spark):
+    from custspark.operators import quantiles as q
+    df = spark.range(200_000).selectExpr("cast(id % 4 = 0 as double) x")
+    assert q.quantiles(df, ["x"], [0.25, 0.5, 0.75])["x"] == [0.0, 0.0, 0.25]
+    assert len(q.order_statistics(df, {"x": [0, 99_999, 150_000]})) == 3
 
 
 def test_model_roundtrip_and_score_guard(spark, tmp_path):
