@@ -31,11 +31,8 @@ def audit_overview(logs: DataFrame) -> DataFrame:
 def audit_filter_values(logs: DataFrame) -> DataFrame:
     """Sorted distinct values offered by each filter, long form
     ``(filter, value)``."""
-    parts = [logs.select(F.lit(c).alias("filter"), F.col(c).cast("string").alias("value"))
-             .where(F.col("value").isNotNull()) for c in FILTER_COLUMNS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    pairs = F.array(*[F.struct(F.lit(c).alias("filter"), F.col(c).cast("string").alias("value")) for c in FILTER_COLUMNS])
+    out = logs.select(F.explode(pairs).alias("p")).select("p.filter", "p.value").where(F.col("value").isNotNull())
     return out.distinct().orderBy("filter", "value")
 
 

@@ -159,6 +159,12 @@ def reorder_rate(lines: DataFrame, by: str, flag: str = "Was_Product_Reordered")
     return lines.where(F.col(by).isNotNull()).groupBy(by).agg(F.avg(flag).alias("reorder_rate"), F.count(F.lit(1)).alias("lines"))
 
 
+def reorder_rate_of(counts: DataFrame, by: str) -> DataFrame:
+    """B9 from counts of ``lines`` and ``reorders``."""
+    return (counts.where(F.col(by).isNotNull()).groupBy(by)
+            .agg((F.sum("reorders") / F.sum("lines")).alias("reorder_rate"), F.sum("lines").alias("lines")))
+
+
 def require_basket_columns(df: DataFrame, cols=("Order_ID", "Customer_ID", "Department_Name")) -> DataFrame:
     """The input rule of the basket page, plus ``Order_ID`` which the
     engine needs; rows with gaps in them are dropped."""

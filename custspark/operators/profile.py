@@ -303,26 +303,26 @@ def _chi2_sf(x: float, dof: int) -> float:
 
 def chi_square(df: DataFrame, a: str, b: str, with_p: bool = True) -> DataFrame:
     """Chi-square test of independence of two columns.  Cells, row and
-    column totals are grouped counts; expected counts come from joins of
-    the (small) margin tables.  With one degree of freedom Yates'
+    column totals are grouped counts; expected counts of the cells that
+    occur come from joins of the margin tables, the others from the totals.  With one degree of freedom Yates'
     continuity correction is applied (as the usual scipy default).  The
     p-value of the one-row result is a small Arrow-batched Python step."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(
         F.count(F.lit(1)).alias("o"))
     ra = cells.groupBy(a).agg(F.sum("o").alias("ra"))
     cb = cells.groupBy(b).agg(F.sum("o").alias("cb"))
-    # full grid, zero cells kept: every a-row takes the (categorical, so
-    # bounded) list of b values, then its b margin by an equi-join
-    b_values = cells.agg(F.array_sort(F.collect_set(b))).scalar()
-    grid = ra.withColumn(b, F.explode(b_values)).join(cb, b)
     tot = cells.agg(F.sum("o")).scalar()
     dims = cells.agg(F.struct(F.countDistinct(a).alias("r"), F.countDistinct(b).alias("c")).alias("d")).scalar()
     dof = (dims["r"] - 1) * (dims["c"] - 1)
-    full = grid.join(cells, [a, b], "left").withColumn("o", F.coalesce("o", F.lit(0)))
     e = F.col("ra") * F.col("cb") / tot
     diff = F.abs(F.col("o") - e)
-    diff = F.when(dof == 1, F.greatest(diff - F.lit(0.5), F.lit(0.0))).otherwise(diff)
-    stat = full.agg(F.sum(diff * diff / e).alias("statistic")).withColumn("dof", dof.cast("long"))
+    sums = cells.join(ra, a).join(cb, b).agg(F.sum(diff * diff / e).alias("x"), F.sum(e).alias("e"), F.max(diff).alias("d"))
+    # an empty cell adds its expected count, and all of those together are what the other cells leave of the total;
+    # the four cells of a 2 x 2 table differ equally from their expected counts
+    plain = F.col("x") + F.greatest(tot - F.col("e"), F.lit(0.0))
+    inverse = ra.agg(F.sum(1 / F.col("ra"))).scalar() * cb.agg(F.sum(1 / F.col("cb"))).scalar() * tot
+    yates = F.pow(F.greatest(F.col("d") - F.lit(0.5), F.lit(0.0)), 2) * inverse
+    stat = sums.select(F.when(dof == 1, yates).otherwise(plain).alias("statistic"), dof.cast("long").alias("dof"))
     if not with_p:
         return stat
 

@@ -2,7 +2,7 @@
 
 K-means runs as Spark ML's k-means|| on a cached feature vector.  Cluster
 statistics, names and eco-profile summaries work on the k-row stats table
-(bounded by k), so windows over it never see more than k rows.
+(bounded by k).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ECO_CONSCIOUS, ECO_WARRIOR, LOW_INTEREST
@@ -118,20 +118,24 @@ def name_clusters(stats: DataFrame, cluster_col: str = "KMeans_Segment",
     """Greedy names: the cluster with most orders gets ``names[0]``;
     of the rest, the highest recency ``names[1]``; of the rest, the highest
     spend ``names[2]``; all others ``names[3]``.  Ties go to the lower
-    cluster id.  Works on the k-row stats table only."""
-    def pick(df, metric):
-        w = Window.partitionBy(F.lit(0)).orderBy(F.desc(metric), F.asc(cluster_col))  # k rows
-        return df.withColumn("_r", F.row_number().over(w))
-    s1 = pick(stats, "orders")
-    first = s1.where("_r = 1").select(cluster_col, F.lit(names[0]).alias("Segment_Label"))
-    rest1 = s1.where("_r > 1").drop("_r")
-    s2 = pick(rest1, "recency")
-    second = s2.where("_r = 1").select(cluster_col, F.lit(names[1]).alias("Segment_Label"))
-    rest2 = s2.where("_r > 1").drop("_r")
-    s3 = pick(rest2, "spend")
-    third = s3.where("_r = 1").select(cluster_col, F.lit(names[2]).alias("Segment_Label"))
-    others = s3.where("_r > 1").select(cluster_col, F.lit(names[3]).alias("Segment_Label"))
-    return first.unionByName(second).unionByName(third).unionByName(others)
+    cluster id.  The k rows travel as one array, so the table is aggregated once."""
+    def best(rest, metric):
+        ranked = F.transform(rest, lambda c: F.struct(c[metric].alias("m"), (-c[cluster_col]).alias("t"),
+                                                      c[cluster_col].alias("c")))
+        return F.array_max(ranked)["c"]
+
+    def without(rest, taken):
+        return F.filter(rest, lambda c: c[cluster_col] != F.col(taken))
+
+    k = stats.agg(F.collect_list(F.struct(cluster_col, "orders", "recency", "spend")).alias("all")).withColumn("rest", F.col("all"))
+    for i, metric in enumerate(("orders", "recency", "spend")):
+        k = k.withColumn(f"n{i}", best(F.col("rest"), metric))
+        k = k.withColumn("rest", without("rest", f"n{i}"))
+    rows = k.select("n0", "n1", "n2", F.explode("all").alias("c")).select("n0", "n1", "n2", F.col(f"c.{cluster_col}").alias(cluster_col))
+    label = F.lit(names[3])
+    for i in (2, 1, 0):
+        label = F.when(F.col(cluster_col) == F.col(f"n{i}"), F.lit(names[i])).otherwise(label)
+    return rows.select(cluster_col, label.alias("Segment_Label"))
 
 
 def label_segments(assigned: DataFrame, cluster_col: str = "KMeans_Segment",

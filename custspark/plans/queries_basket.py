@@ -91,7 +91,7 @@ def association_rules(t):
        f" where confidence >= {DEFAULT_CONFIDENCE} and lift >= {DEFAULT_LIFT}")
 def rules_default_thresholds(t):
     """B5 at the default thresholds on brand baskets: an empty, fully typed result."""
-    lines = (adapters.order_products(t).join(adapters.products(t), "Product_ID")
+    lines = (adapters.order_items(t).join(adapters.products(t), "Product_ID")
              .join(adapters.departments(t), "Department_ID").select("Order_ID", "Department_Name"))
     rules, _, _ = basket.mine_rules(lines, DEFAULT_SUPPORT, DEFAULT_CONFIDENCE, DEFAULT_LIFT)
     return round_doubles(basket.rules_as_text(rules).drop("rule"), 9)
@@ -162,7 +162,7 @@ with b as (select op.Order_ID, list_sort(list_distinct(list(case when op.Was_Pro
        " select array_to_string(items, ', ') as items, freq, round(support, 9) as support from freq")
 def reordered_baskets(t):
     """Itemsets of re-ordered brands; orders without re-orders stay in N."""
-    lines = adapters.order_products(t, with_department=True)
+    lines = adapters.brand_orders(t)
     b = basket.flagged_baskets(lines, "Order_ID", "Department_Name", "Was_Product_Reordered")
     its = basket.frequent_itemsets(b, 0.01)
     return round_doubles(its.select(items_text("items").alias("items"), "freq", "support"), 9)
@@ -174,8 +174,7 @@ from a_order_products op join a_products p on op.Product_ID = p.Product_ID
 join a_departments d on p.Department_ID = d.Department_ID group by 1""")
 def reorder_rate(t):
     """Share of re-ordered lines per department."""
-    lines = adapters.order_products(t, with_department=True)
-    return round_doubles(basket.reorder_rate(lines, "Department_Name"), 9)
+    return round_doubles(basket.reorder_rate_of(adapters.brand_purchases(t), "Department_Name"), 9)
 
 
 @query("reorder_rate_by_customer", sql="""
@@ -183,5 +182,4 @@ select o.Customer_ID, round(avg(op.Was_Product_Reordered), 9) as reorder_rate, c
 from a_order_products op join a_orders o on op.Order_ID = o.Order_ID group by 1""")
 def reorder_rate_by_customer(t):
     """Share of re-ordered lines per customer."""
-    lines = adapters.order_products(t).join(adapters.orders(t), "Order_ID")
-    return round_doubles(basket.reorder_rate(lines, "Customer_ID"), 9)
+    return round_doubles(basket.reorder_rate_of(adapters.brand_purchases(t), "Customer_ID"), 9)

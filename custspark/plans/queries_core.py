@@ -346,6 +346,38 @@ def split_side_tables(t):
     return sampling.split_side_tables(split, adapters.orders(t), "Customer_ID", "train")
 
 
+_SPLIT_SQL = """
+with s as (select Customer_ID, case when row_number() over (partition by Churn order by md5(cast(Customer_ID as varchar)), Customer_ID)
+  <= floor(count(*) over (partition by Churn) * 0.2 + 0.5) then 'test' else 'train' end as split from a_churn_clean)"""
+
+
+def _split(t):
+    return sampling.stratified_split(c360.clean_churn(adapters.churn(t)).select("Customer_ID", "Churn"), "Customer_ID", "Churn", 0.2)
+
+
+@query("split_green_train", sql=_SPLIT_SQL + """
+select g.Customer_ID, g.Referral_Source, g.Green_Consumption_Score, g.Green_Purchase_Made from a_green g
+where g.Customer_ID in (select Customer_ID from s where split = 'train')""")
+def split_green_train(t):
+    """Green rows of the training customers."""
+    return sampling.split_side_tables(_split(t), adapters.green(t), "Customer_ID", "train").select(
+        "Customer_ID", "Referral_Source", "Green_Consumption_Score", "Green_Purchase_Made")
+
+
+@query("split_test_baskets", sql=_SPLIT_SQL + """
+select o.Customer_ID, op.Order_ID, op.Product_ID, op.Was_Product_Reordered, p.Department_ID, d.Department_Name
+from a_order_products op join a_orders o on op.Order_ID = o.Order_ID
+left join a_products p on op.Product_ID = p.Product_ID left join a_departments d on p.Department_ID = d.Department_ID
+where o.Customer_ID in (select Customer_ID from s where split = 'test')""")
+def split_test_baskets(t):
+    """Order lines of the test customers with department and customer."""
+    orders = sampling.split_side_tables(_split(t), adapters.orders(t), "Customer_ID", "test")
+    lines = adapters.order_products(t).join(orders.select("Order_ID", "Customer_ID"), "Order_ID")
+    return (lines.join(adapters.products(t).select("Product_ID", "Department_ID"), "Product_ID", "left")
+            .join(adapters.departments(t), "Department_ID", "left")
+            .select("Customer_ID", "Order_ID", "Product_ID", "Was_Product_Reordered", "Department_ID", "Department_Name"))
+
+
 # --- set operations and sorting ----------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
-from ..operators import drivers, features, metrics, models, segments, whatif
+from ..operators import drivers, features, metrics, models, scoring, segments, whatif
 from ..sources import adapters
 from . import customer360 as c360
 from .catalog import query, round_doubles
@@ -245,6 +245,42 @@ def regression_report(t):
     return round_doubles(metrics.regression_report(s, "y", "p", log_target=True), 6)
 
 
+_FIRST, _LAST = segments.TRAINING_NAMES[0], segments.TRAINING_NAMES[3]
+_SCORED_SQL = "with " + _NAMES_SQL + f""",
+scored as (select seg.Customer_ID, seg.KMeans_Segment, case seg.Segment_Label when '{_FIRST}' then '{_LAST}' when '{_LAST}' then '{_FIRST}'
+    else seg.Segment_Label end as Segment_Label, cast(g.Green_Purchase_Made as double) as Pred_Green_Class,
+    g.Green_Consumption_Score as Pred_Green_Score, case when g.Green_Purchase_Made = 1 and g.Green_Consumption_Score >= 0.7 then 'Eco_Warrior'
+      when g.Green_Purchase_Made = 1 and g.Green_Consumption_Score >= 0.4 then 'Eco_Conscious' else 'Low_Interest' end as Eco_Segment,
+    cast(s.p > 0.5 as double) as Predicted_Churn, round(s.v, 6) as Predicted_CLTV
+  from seg join a_green g on seg.Customer_ID = g.Customer_ID join {_SCORE_SQL} s on seg.Customer_ID = s.Customer_ID)"""
+
+
+def _fixed_scores(t):
+    """The scored table with formulas in place of the models."""
+    df = _customers(t).join(adapters.green(t), "Customer_ID", "left")
+    linear = lambda d: whatif.linear_scorer(d)
+    return scoring.score_customers(
+        df, segment=lambda d: d.withColumn("KMeans_Segment", (F.col("Customer_ID") % 4).cast("int")),
+        green=lambda d: d.withColumns({"Pred_Green_Class": F.col("Green_Purchase_Made").cast("double"),
+                                       "Pred_Green_Score": F.col("Green_Consumption_Score")}),
+        churn=lambda d: linear(d).withColumn("Predicted_Churn", fx.threshold("_churn_prob")).drop("_churn_prob", "_cltv"),
+        value=lambda d: linear(d).withColumn("Predicted_CLTV", F.col("_cltv")).drop("_churn_prob", "_cltv"))
+
+
+@query("scored_customers", sql=_SCORED_SQL + " select * from scored")
+def scored_customers(t):
+    """M10/F6/M13/M14 on one row per customer, with fixed formulas in place of the models."""
+    return _fixed_scores(t).select("Customer_ID", *scoring.SCORE_COLUMNS).withColumn("Predicted_CLTV", F.round("Predicted_CLTV", 6))
+
+
+@query("prediction_counts", sql=_SCORED_SQL + """
+select Segment_Label, Predicted_Churn, count(*) as customers,
+  round(count(*) * 100.0 / sum(count(*)) over (partition by Segment_Label), 9) as share_pct from scored group by 1, 2""")
+def prediction_counts(t):
+    """Predicted churn classes per segment, as counts and shares."""
+    return round_doubles(scoring.prediction_counts(_fixed_scores(t)), 9)
+
+
 # --- learner-backed (rows-only) ----------------------------------------------------
 
 
@@ -315,6 +351,21 @@ def green_scores(t):
                       fx.eco_label("Pred_Green_Class", "Pred_Green_Score").alias("Eco_Segment"))
 
 
+@query("score_customers")
+def score_customers(t):
+    """M6-M18 together: k-means segment, eco label, predicted churn and value of every customer."""
+    from ..session import cut_lineage
+    df = cut_lineage(_customers(t).join(adapters.green(t), "Customer_ID", "left"))
+    clf, reg = models.green_pipelines()
+    known = df.na.drop(subset=models.GREEN_NUMS)
+    churn = models.churn_pipeline(_CHURN_SPEC).fit(models.class_weights(df, "Churn"))
+    value = models.value_pipeline(_CLTV_SPEC).fit(df.withColumn("log_cltv", F.log1p("Customer_Live_Time_Value")))
+    scored = scoring.score_customers(
+        df, scoring.kmeans_step(), scoring.green_step(clf.fit(known), reg.fit(known)),
+        scoring.churn_step(churn, [*_CHURN_SPEC.cats, *_CHURN_SPEC.nums]), scoring.value_step(value, [*_CLTV_SPEC.cats, *_CLTV_SPEC.nums]))
+    return scored.select("Customer_ID", *scoring.SCORE_COLUMNS)
+
+
 @query("random_search")
 def random_search(t):
     """Seeded random search over the churn grid with stratified folds."""

@@ -68,8 +68,7 @@ join a_departments d on p.Department_ID = d.Department_ID
 group by 1 order by total desc, d.Department_Name limit 10""")
 def reorders_by_department(t):
     """The ten departments with the most re-ordered lines."""
-    lines = adapters.order_products(t, with_department=True)
-    return profile.top_sums(lines, "Department_Name", "Was_Product_Reordered", 10)
+    return profile.top_sums(adapters.brand_purchases(t), "Department_Name", "reorders", 10)
 
 
 @query("means_by_class", sql=rsql("""

@@ -66,6 +66,33 @@ def order_products(t: Tables, with_department: bool = False) -> DataFrame:
     return out if with_department else out.drop("Department_Name")
 
 
+def _brand_lines(t: Tables) -> DataFrame:
+    return (t.lineitem.select("l_orderkey", "l_partkey")
+            .join(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+            .where(F.col("o_custkey").isNotNull() & F.col("p_brand").isNotNull()))
+
+
+def brand_purchases(t: Tables) -> DataFrame:
+    """One row per customer and brand: ``lines`` and ``reorders``.  All lines but a customer's first of a
+    brand are re-orders, so their number needs no flag: one count, combined map-side."""
+    return (_brand_lines(t).groupBy(F.col("o_custkey").alias("Customer_ID"), F.col("p_brand").alias("Department_Name"))
+            .agg(F.count(F.lit(1)).alias("lines")).withColumn("reorders", F.col("lines") - 1))
+
+
+def brand_orders(t: Tables) -> DataFrame:
+    """One row per order and brand with ``Was_Product_Reordered``: 0 where the order holds nothing but
+    the customer's first line of the brand.  The lines are counted by order and brand before
+    the customer's first order of the brand (by date, then key) is looked for."""
+    held = (_brand_lines(t).groupBy("o_custkey", "p_brand", "o_orderdate", "o_orderkey")
+            .agg(F.count(F.lit(1)).alias("lines")))
+    first = held.groupBy("o_custkey", "p_brand").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("first"))
+    is_first = F.struct("o_orderdate", "o_orderkey").eqNullSafe(F.col("first"))
+    return (held.join(first, ["o_custkey", "p_brand"])
+            .select(F.col("o_orderkey").alias("Order_ID"), F.col("p_brand").alias("Department_Name"),
+                    F.when(is_first & (F.col("lines") == 1), F.lit(0)).otherwise(F.lit(1)).alias("Was_Product_Reordered")))
+
+
 def order_items(t: Tables) -> DataFrame:
     """``order_products`` without the re-order flag: every order line as an
     (order, product) pair, for uses that do not need the flag (which costs a
@@ -79,12 +106,12 @@ def products(t: Tables) -> DataFrame:
     """One row per product; the department is the brand number."""
     return t.part.select(F.col("p_partkey").alias("Product_ID"),
                          F.col("p_name").alias("Product_Name"),
-                         F.substring("p_brand", 7, 1 << 20).cast("int").alias("Department_ID"))
+                         F.expr("substr(p_brand, 7)").cast("int").alias("Department_ID"))
 
 
 def departments(t: Tables) -> DataFrame:
     """One row per department."""
-    return (t.part.select(F.substring("p_brand", 7, 1 << 20).cast("int").alias("Department_ID"),
+    return (t.part.select(F.expr("substr(p_brand, 7)").cast("int").alias("Department_ID"),
                           F.col("p_brand").alias("Department_Name"))
             .distinct())
 

@@ -1,5 +1,7 @@
 """Driver contract and the SQL twins at the smallest scale."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry_mod
@@ -36,3 +38,16 @@ def test_oracle(spark, con, name):
     # scale guard: no pair-producing joins and no row-at-a-time Python
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [f for f in FORBIDDEN if f in plan], plan[:2000]
+
+
+LEARNED = sorted(n for n in QUERIES if n not in ORACLE and n != "pipeline" and not re.match(r"op\d+_", n))
+
+
+@pytest.mark.parametrize("name", LEARNED)
+def test_without_twin(spark, name):
+    rows = QUERIES[name](spark, SF_SMALL).toPandas()
+    assert len(rows) > 0
+    if name == "score_customers":
+        assert rows["Customer_ID"].is_unique and len(rows) == QUERIES["customer_360"](spark, SF_SMALL).count()
+        assert rows["Predicted_CLTV"].notna().all() and rows["Predicted_Churn"].isin([0.0, 1.0]).all()
+        assert rows["Segment_Label"].nunique() == 4 and rows["Eco_Segment"].isna().sum() == rows["Pred_Green_Class"].isna().sum()
