@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -36,6 +36,12 @@ GREEN_NUMS = ["Cultural_Eco_Alignment", "Emotional_Guilt_Score", "Emotional_Prid
               "Green_Knowledge_Level", "Time_Spent_on_Green_Products", "Clicks_on_Green_Products",
               "Previous_Green_Purchases"]
 
+# What the searches draw from (trees, depth, step, share of rows and of columns a tree sees).
+CHURN_GRID = {"maxIter": [300, 500, 700], "maxDepth": [4, 6, 8], "stepSize": [0.01, 0.02, 0.05],
+              "subsamplingRate": [0.7, 0.8, 0.9], "featureSubsetStrategy": ["0.7", "0.8"]}
+VALUE_GRID = {"maxIter": [500, 1000, 1500], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1],
+              "subsamplingRate": [0.7, 0.8, 0.9], "featureSubsetStrategy": ["0.7", "0.8", "0.9"]}
+
 
 @dataclass
 class ModelSpec:
@@ -93,9 +99,9 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, out: st
 
 
 def random_search(pipeline: Pipeline, estimator_stage, grid: dict, n_iter: int, evaluator,
-                  train: DataFrame, fold_col: str = "fold", seed: int = 42, parallelism: int = 4):
+                  train: DataFrame, k: int = 3, fold_col: str = "fold", seed: int = 42, parallelism: int = 4):
     """``n_iter`` settings drawn (seeded) from the full grid, k-fold
-    cross-validation on ``fold_col``.  Returns the fitted CV model and a
+    cross-validation on ``fold_col`` (0 to k - 1).  Returns the fitted CV model and a
     table ``(setting, params, mean, std)``."""
     builder = ParamGridBuilder()
     for name, values in grid.items():
@@ -104,7 +110,7 @@ def random_search(pipeline: Pipeline, estimator_stage, grid: dict, n_iter: int,
     rnd = random.Random(seed)
     chosen = rnd.sample(maps, min(n_iter, len(maps)))
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=chosen, evaluator=evaluator,
-                        foldCol=fold_col, parallelism=parallelism, seed=seed)
+                        numFolds=k, foldCol=fold_col, parallelism=parallelism, seed=seed)
     model = cv.fit(train)
     rows = []
     for i, (pm, m, s) in enumerate(zip(chosen, model.avgMetrics, model.stdMetrics or [0.0] * len(chosen))):
@@ -115,6 +121,25 @@ def random_search(pipeline: Pipeline, estimator_stage, grid: dict, n_iter: int,
     return model, table
 
 
+def churn_search(train: DataFrame, spec: ModelSpec, id_col: str = "Customer_ID", grid: dict | None = None,
+                 n_iter: int = 10, k: int = 5, seed: int = 42):
+    """Churn search by the F1 of class 1, on folds that keep the class shares."""
+    df = stratified_folds(train, id_col, spec.label, k)
+    pipe = churn_pipeline(spec)
+    f1 = MulticlassClassificationEvaluator(labelCol=spec.label, metricName="fMeasureByLabel", metricLabel=1.0)
+    return random_search(pipe, pipe.getStages()[-1], grid or CHURN_GRID, n_iter, f1, df, k, seed=seed)
+
+
+def value_search(train: DataFrame, spec: ModelSpec, id_col: str = "Customer_ID", grid: dict | None = None,
+                 n_iter: int = 15, k: int = 5, seed: int = 42):
+    """Value search by the mean absolute error of the log1p target (the least is best)."""
+    numbered = row_number_distributed(train, [F.md5(F.col(id_col).cast("string")), F.col(id_col)], out="_rn")
+    df = numbered.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
+    pipe = value_pipeline(spec)
+    mae = RegressionEvaluator(labelCol=spec.label, metricName="mae")
+    return random_search(pipe, pipe.getStages()[-1], grid or VALUE_GRID, n_iter, mae, df, k, seed=seed)
+
+
 def feature_slot_names(model: PipelineModel, cats: Sequence[str], nums: Sequence[str]) -> list[str]:
     """Names of the assembled feature slots: ``column=level`` for every kept
     one-hot slot (indexer labels in order; the dropped last slot is the

@@ -317,6 +317,10 @@ _CHURN_SPEC = models.ModelSpec(models.CHURN_CATS, [c for c in models.CHURN_NUMS
 _CLTV_SPEC = models.ModelSpec(models.CLTV_CATS, models.CLTV_NUMS, "log_cltv")
 
 
+#: Trees a model in the registered searches.
+_FEW_TREES = {"maxIter": [5, 10]}
+
+
 @query("churn_scores")
 def churn_scores(t):
     """Churn probability per customer (gradient-boosted trees)."""
@@ -368,12 +372,18 @@ def score_customers(t):
 
 @query("random_search")
 def random_search(t):
-    """Seeded random search over the churn grid with stratified folds."""
-    df = models.stratified_folds(_churn_data(t), "Customer_ID", "Churn", k=3)
-    pipe = models.churn_pipeline(_CHURN_SPEC, max_iter=10)
-    gbt = pipe.getStages()[-1]
-    grid = {"maxDepth": [3, 4, 5], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.8, 1.0]}
-    _, table = models.random_search(pipe, gbt, grid, 3, models.auc_evaluator("Churn"), df)
+    """Seeded random search over the churn grid by F1, with stratified folds.  Fewer trees, settings and folds than
+    the defaults of :func:`models.churn_search`, which take hours on one machine."""
+    _, table = models.churn_search(_churn_data(t), _CHURN_SPEC, grid=models.CHURN_GRID | _FEW_TREES, n_iter=3, k=3)
+    return table
+
+
+@query("value_search")
+def value_search(t):
+    """Seeded random search over the value grid by absolute error.  Fewer trees, settings and folds than the defaults
+    of :func:`models.value_search`, as above."""
+    df = c360.customer_360_materialized(t).withColumn("log_cltv", F.log1p("Customer_Live_Time_Value"))
+    _, table = models.value_search(df, _CLTV_SPEC, grid=models.VALUE_GRID | _FEW_TREES, n_iter=3, k=3)
     return table
 
 
@@ -470,3 +480,30 @@ def cltv_holdout_report(t):
     model = models.value_pipeline(_CLTV_SPEC, max_iter=20).fit(lab(train))
     scored = model.transform(lab(test))
     return metrics.regression_report(scored, "log_cltv", "prediction", log_target=True)
+
+
+@query("green_holdout_report")
+def green_holdout_report(t):
+    """W7 + M15 + M19/M21/M22: green class and score trees fitted on the 80 % part, judged on the stratified 20 % hold-out
+    (per-class report, ROC AUC, and R^2 and MAE of the score)."""
+    from ..operators import sampling
+    from ..session import cut_lineage
+    g = cut_lineage(adapters.green(t).na.drop(subset=models.GREEN_NUMS))
+    split = sampling.stratified_split(g.select("Customer_ID", "Green_Purchase_Made"), "Customer_ID", "Green_Purchase_Made", 0.2)
+    parts = g.join(split.select("Customer_ID", "split"), "Customer_ID")
+    train, test = parts.where(F.col("split") == "train"), parts.where(F.col("split") == "test")
+    clf, reg = models.green_pipelines()
+    classed = clf.fit(train).transform(test).withColumn("p1", vector_to_array("green_probability")[1])
+    report = metrics.classification_report(classed, "Green_Purchase_Made", "Pred_Green_Class")
+    fit = metrics.regression_report(reg.fit(train).transform(test), "Green_Consumption_Score", "Pred_Green_Score")
+    auc = metrics.roc_auc(classed, "Green_Purchase_Made", "p1").select("auc")
+    return report.withColumns({"roc_auc": auc.scalar(), "score_r2": fit.select("r2").scalar(), "score_mae": fit.select("mae").scalar()})
+
+
+@query("value_drivers")
+def value_drivers(t):
+    """The eight strongest drivers of the value model."""
+    df = c360.customer_360_materialized(t).withColumn("log_cltv", F.log1p("Customer_Live_Time_Value"))
+    model = models.value_pipeline(_CLTV_SPEC, max_iter=20).fit(df)
+    names = models.feature_slot_names(model, _CLTV_SPEC.cats, _CLTV_SPEC.nums)
+    return drivers.top_drivers(model.transform(df), model.stages[-1], names, 8)

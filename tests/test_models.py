@@ -49,3 +49,19 @@ def test_kmeans_and_davies_bouldin(spark):
     assert assigned.select("KMeans_Segment").distinct().count() == 3
     db = segments.davies_bouldin(assigned).first()[0]
     assert db > 0
+
+
+def test_searches_take_their_folds_and_measures(spark):
+    from custspark.operators import models
+    df = (_data(spark, 200).drop("features").withColumn("kind", F.concat(F.lit("k"), (F.col("Customer_ID") % 3).cast("string")))
+          .withColumn("weight", F.lit(1.0)).withColumn("log_value", F.log1p(F.col("a") + F.col("b"))))
+    few = {"maxIter": [2], "maxDepth": [2, 3], "stepSize": [0.1]}
+    best, table = models.churn_search(df, models.ModelSpec(["kind"], ["a", "b", "c"], "label"), grid=few, n_iter=2, k=5)
+    rows = table.collect()
+    assert len(rows) == 2 and all(0.5 < r["mean_metric"] <= 1 for r in rows)
+    assert best.getNumFolds() == 5 and max(best.avgMetrics) == max(r["mean_metric"] for r in rows)
+    best, table = models.value_search(df, models.ModelSpec(["kind"], ["a", "b", "c"], "log_value"), grid=few, n_iter=2, k=2)
+    assert not best.getEvaluator().isLargerBetter() and table.count() == 2
+    sizes = [(len(g["maxIter"]) * len(g["maxDepth"]) * len(g["stepSize"]) * len(g["subsamplingRate"]) * len(g["featureSubsetStrategy"]))
+             for g in (models.CHURN_GRID, models.VALUE_GRID)]
+    assert sizes == [162, 243]
