@@ -1,8 +1,8 @@
 """WARC archives with an index (operator 9).
 
 Writing: every task streams its pages into an archive of its own in the
-shared folder and emits one index row a record: file, offset, length, URL,
-digest.  Of records with equal payloads of at least ``REVISIT_BYTES`` the
+shared folder, each record a gzip member of its own as in `.warc.gz` files, and
+emits one index row a record: file, offset, length (of the member), URL, digest.  Of records with equal payloads of at least ``REVISIT_BYTES`` the
 one with the smallest page id is a ``response``; the others are
 ``revisit`` records that carry headers alone and name it.
 
@@ -18,6 +18,7 @@ Pages that repeat an id with the same payload have records of equal kind.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -88,13 +89,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             index = []
             for page, digest, url, html, first in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if out is None:
-                    uri, out = create_file(folder, f"pages-{uuid.uuid4().hex}.warc")
+                    uri, out = create_file(folder, f"pages-{uuid.uuid4().hex}.warc.gz")
                     at = 0
                 payload, url = html.encode(), _clean(url)
                 refers = None if first is None else (first["page_id"], _clean(first["url"]))
                 kind = "response" if refers is None else "revisit"
                 body = _HTTP % len(payload) + (payload if refers is None else b"")
-                raw = _record(kind, page, url, digest, len(payload), refers, body)
+                raw = gzip.compress(_record(kind, page, url, digest, len(payload), refers, body), mtime=0)
                 out.write(raw)
                 index.append({"page_id": page, "file": uri, "offset": at, "length": len(raw), "url": url,
                               "payload_digest": digest, "record_type": kind})
@@ -141,7 +142,7 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
             raw = handle.read_at(sum(spans[-1]) - base, base)
             rows = []
             for at, n in spans:
-                head, payload = parse_record(raw[at - base:at - base + n])
+                head, payload = parse_record(gzip.decompress(raw[at - base:at - base + n]))
                 revisit = head["WARC-Type"] == "revisit"
                 page = head.get("X-Page-ID")
                 rows.append({"page_id": None if page is None else int(page), "url": head["WARC-Target-URI"],
