@@ -121,6 +121,17 @@ def test_jaccard_join(docs, rows, empty):
     assert {r.doc_id for r in kept.collect() if (r.text or "").split()} == classes
 
 
+def test_keep_first_by_class(spark):
+    """Classes without an id, or with the same least id, keep a row each."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(None, text(c)) for c in "abcde"] + [(None, text("a") + " x"), (3, text("f")), (3, text("g")), (4, text("g") + " x"),
+                                                 (None, text("h")), (9, text("h") + " x"), (None, None)]
+    kept = got(jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "doc_id", "text")
+    first = [(None, text("a")), (None, text("a") + " x")]
+    assert sum(kept[r] for r in first) == 1
+    assert kept - Counter(first) == Counter([*[(None, text(c)) for c in "bcde"], (3, text("f")), (3, text("g")), (9, text("h") + " x"), (None, None)])
+
+
 def test_join_region_recursion():
     """More sets than a leaf: pivots and cells find what all pairs find."""
     rng = np.random.default_rng(3)
