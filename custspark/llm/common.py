@@ -200,21 +200,11 @@ def text_column(df: DataFrame, text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, key, text)``: a row is known by its id and a hash of its
+def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """``(doc_id, key, text, *more)``: a row is known by its id and a hash of its
     text, so ids that are null or stand in several rows do no harm."""
     text = text_column(df, text_col)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-
-
-def with_rows(docs: DataFrame, decided: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    """Join rows with what was decided about them (``doc_id``, ``key`` and further columns, as of :func:`keyed`).
-    The columns of ``docs`` come first and keep their names."""
-    text = text_column(docs, text_col)
-    right = decided.withColumnsRenamed({"doc_id": "__doc_id", "key": "__key"})
-    joined = docs.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_key": F.xxhash64(text)}).join(
-        right, F.col("__own_id").eqNullSafe(F.col("__doc_id")) & (F.col("__own_key") == F.col("__key")), how)
-    return joined.drop("__own_id", "__own_key", "__doc_id", "__key")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"), *more)
 
 
 def parallelism(spark: SparkSession) -> int:

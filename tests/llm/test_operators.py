@@ -132,6 +132,16 @@ def test_keep_first_by_class(spark):
     assert kept - Counter(first) == Counter([*[(None, text(c)) for c in "bcde"], (3, text("f")), (3, text("g")), (9, text("h") + " x"), (None, None)])
 
 
+def test_keep_first_of_repeated_rows(spark):
+    """Of rows equal in id and text one stays, and its text outlasts the substring stage."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(7, text("a"))] * 3 + [(None, text("b"))] * 3 + [(8, text("c"))] + [(9, None)] * 2
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = Counter([(7, text("a")), (None, text("b")), (8, text("c")), (9, None), (9, None)])
+    assert got(kept, "doc_id", "text") == want
+    assert got(substring.deduplicate(kept, replace=True), "doc_id", "text") == want
+
+
 def test_join_region_recursion():
     """More sets than a leaf: pivots and cells find what all pairs find."""
     rng = np.random.default_rng(3)
