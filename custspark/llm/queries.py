@@ -57,9 +57,9 @@ def op2(t: Tables) -> DataFrame:
 
 @query("op3_jaccard_join")
 def op3(t: Tables) -> DataFrame:
-    """Classes of documents linked by a Jaccard similarity of 0.75 over 5-word shingles."""
+    """Classes of documents linked by a Jaccard similarity of 0.75 over 5-word shingles, and each one's number of links."""
     from . import jaccard
-    return jaccard.near_duplicates(t.documents).select("doc_id", "n_shingles", "component_id")
+    return jaccard.near_duplicates(t.documents).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 @query("op4_substring_dedup")

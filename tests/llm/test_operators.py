@@ -142,6 +142,55 @@ def test_keep_first_of_repeated_rows(spark):
     assert got(substring.deduplicate(kept, replace=True), "doc_id", "text") == want
 
 
+def brute_links(rows):
+    sets = []
+    for r in rows:
+        w = SPACE.findall((r[1] or "").translate(LOWER))
+        sets.append(frozenset(tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset())
+    return [(r[0], sum(i != j and bool(s) and 100 * len(s & o) >= 75 * len(s | o) for j, o in enumerate(sets)))
+            for i, (r, s) in enumerate(zip(rows, sets))]
+
+
+def test_jaccard_link_counts(spark, docs, rows, monkeypatch):
+    """Every link counts once, also within a class that meets block by block."""
+    assert got(jaccard.near_duplicates(docs), "doc_id", "n_links") == Counter(brute_links(rows))
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    near = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(10)):
+            w[rng.randrange(200)] = f"x{rng.randrange(1000)}"
+        near.append((i, " ".join(w)))
+    near += [(60, near[1][1]), (61, near[1][1].upper()), (62, "alone"), (63, None)]
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    out = jaccard.near_duplicates(spark.createDataFrame(near, "doc_id long, text string").repartition(3))
+    want = Counter(brute_links(near))
+    assert max(n for _, n in want) > 16 and got(out, "doc_id", "n_links") == want
+
+
+def test_count_links_beyond_a_leaf():
+    """Cells and blocks find all links, and two sets of a block that is not at home count elsewhere."""
+    rng = np.random.default_rng(6)
+    for groups, each in ((90, 5), (1, 400)):
+        sets = []
+        for _ in range(groups):
+            base = rng.integers(0, 1 << 60, 60, dtype=np.uint64)
+            for e in range(each):
+                s = base.copy()
+                s[:e % 5 * 4] = rng.integers(0, 1 << 60, e % 5 * 4, dtype=np.uint64)
+                sets.append(np.unique(s))
+        times, block = rng.integers(1, 4, len(sets)), np.arange(len(sets)) % 2
+        inter = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets[:60]])
+        size = np.array([len(s) for s in sets])
+        near = 100 * inter >= 75 * (size[:60, None] + size[None, :] - inter)
+        near[np.arange(60), np.arange(60)] = False
+        for home in (True, False):
+            own = near & ((block[:60, None] != block[None, :]) | (block[None, :] == 0) | home)
+            n = jaccard.count_links(sets, times, block, (block == 0) | home, 75, jaccard.Union(len(sets)))
+            assert (n[:60] == own @ times).all()
+
+
 def test_join_region_recursion():
     """More sets than a leaf: pivots and cells find what all pairs find."""
     rng = np.random.default_rng(3)
