@@ -20,8 +20,8 @@ smallest p-value of their sums, and a logistic curve turns ``-log p`` into a
 probability.  Both are fitted on rows scored by a model learned without
 them (two folds).
 
-At most ``MAX_ROWS`` labelled rows (a hash sample) are learned from, and at
-most ``MAX_WORDS`` scores are kept: the model has a bounded size.  Corpus
+At most ``MAX_ROWS`` labelled rows (a hash sample) are learned from; their
+words bound the model's size, and every word that counts is kept.  Corpus
 counts, scan and scores cover every row.  Null and empty texts have no
 words and get the probability of no evidence; null labels are not used; a
 row labelled both ways counts as toxic; without both classes every score is
@@ -42,7 +42,6 @@ from pyspark.sql import functions as F
 from .common import Words, alnum_class, lower_ascii, materialize, text_buffers, text_column, text_steps, to_int64
 
 MAX_ROWS = 20_000
-MAX_WORDS = 1 << 16
 PRIOR = 0.1
 MIN_Z = 3.0
 #: Smallest log-odds that say something: with many rows even tiny differences pass the test above.
@@ -271,18 +270,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(Scores(), 0.0, 0.0, share or 0.0)
     corpus = materialize(corpus_counts(docs), "corpus-words")
     n, vocabulary = corpus.agg(F.sum("n"), F.count(F.lit(1))).first()
-    # the same z-score as a column, for choosing the words to keep
-    weight = F.lit(PRIOR * (ta + tb + ca + cb))
-    prior = weight * (F.col("n") + 1) / F.lit(float(n + vocabulary))
-    a, b = F.col("ta") + F.col("tb") + prior, F.col("ca") + F.col("cb") + prior
-    odds = F.log(a / (F.lit(ta + tb) + weight - a)) - F.log(b / (F.lit(ca + cb) + weight - b))
-    z = F.abs(odds / F.sqrt(1 / a + 1 / b))
-    top = np.array([tuple(r) for r in classes.join(corpus, "word").withColumn("z", z).where(F.col("z") >= MIN_Z / 2)
-                    .orderBy(F.desc("z"), "word").limit(MAX_WORDS).select("word", *_COUNTS).collect()],
-                   np.int64).reshape(-1, 1 + len(_COUNTS))
-    words = top[:, 0].view(np.uint64) if len(top) else np.zeros(0, np.uint64)
-    words = np.ascontiguousarray(words)
-    c = dict(zip(_COUNTS, top[:, 1:].T.astype(float)))
+
+    def counts(y1: Column, y0: Column, n1: int, n0: int) -> Column:
+        """The test of :func:`_scores` as a column, with room for rounding."""
+        weight = F.lit(float(PRIOR * (n1 + n0)))
+        prior = weight * (F.col("n") + 1) / F.lit(float(n + vocabulary))
+        a, b = y1 + prior, y0 + prior
+        odds = F.log(F.try_divide(a, F.lit(n1) + weight - a)) - F.log(F.try_divide(b, F.lit(n0) + weight - b))
+        z = F.try_divide(odds, F.sqrt(F.try_divide(F.lit(1.0), a) + F.try_divide(F.lit(1.0), b)))
+        return F.coalesce((F.abs(z) >= MIN_Z - 1e-6) & (F.abs(odds) >= MIN_ODDS - 1e-6), F.lit(False))
+
+    # words that count in one of the three laws below; the others score nothing
+    yta, yca, ytb, ycb = (F.col(x) for x in _COUNTS[1:])
+    wanted = counts(ytb, ycb, tb, cb) | counts(yta, yca, ta, ca) | counts(yta + ytb, yca + ycb, ta + tb, ca + cb)
+    top = classes.join(corpus, "word").where(wanted).select("word", *_COUNTS).toArrow()
+    words = np.ascontiguousarray(top.column("word").to_numpy()).view(np.uint64)
+    c = {x: top.column(x).to_numpy().astype(float) for x in _COUNTS}
     prior = (c["n"] + 1) / (n + vocabulary)
     laws = {"a": _scores(words, c["tb"], c["cb"], tb, cb, prior), "b": _scores(words, c["ta"], c["ca"], ta, ca, prior)}
     final = _scores(words, c["ta"] + c["tb"], c["ca"] + c["cb"], ta + tb, ca + cb, prior)

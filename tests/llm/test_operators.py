@@ -367,6 +367,19 @@ def test_maximal_segments():
         assert abs(max([s for *_, s in segments], default=0) - max(best, 0)) < 1e-9
 
 
+def test_toxicity_keeps_all_words_that_count(spark, monkeypatch):
+    """No bound on the number of word scores."""
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 5, raising=False)
+    rng = random.Random(7)
+    bad = [f"bad{i}" for i in range(12)]
+    rows = [(i, " ".join([f"w{rng.randrange(300)}" for _ in range(60)] + [w for b in bad for w in (b, f"w{rng.randrange(300)}") if i % 3 == 0]))
+            for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert (model.scores.scores > 2).sum() >= len(bad)
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(400)]
