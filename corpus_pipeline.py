@@ -10,7 +10,7 @@ read again.  All stages but the last return the columns of ``documents``.
 3. substring dedup: words of repeated windows of 35 words go, ``n_chars``
    follows the text;
 4. benchmark decontamination: rows that hold a window of an item go;
-5. byte-pair encoding: ids of every text that is left.
+5. byte-pair encoding: ids of every text that is left, and the text decoded from them.
 
 Null texts count as empty ones and pass the stages; rows keep columns they
 bring along.  There is no SQL form (stages 1 and 5); the tests hold the
@@ -50,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, tokenizer_path())
+    return bpe.encode(docs, tokenizer_path(), with_text=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -63,7 +63,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table: ``(doc_id, ids, n_tokens)`` of the rows that are left."""
+    """All stages over the documents table: ``(doc_id, ids, n_tokens, decoded)`` of the rows that are left."""
     docs = Tables(spark, sf_dir).documents
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")

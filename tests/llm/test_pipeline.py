@@ -1,5 +1,7 @@
 """The pipeline against a brute-force version, stage by stage, on the smallest table."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
@@ -9,7 +11,7 @@ from custspark.llm import toxicity
 from custspark.llm.queries import tokenizer_path
 
 from ..conftest import SF_SMALL
-from .test_operators import brute_contamination, brute_jaccard, brute_windows
+from .test_operators import brute_contamination, brute_jaccard, brute_windows, got
 
 
 def test_pipeline(spark):
@@ -27,6 +29,11 @@ def test_pipeline(spark):
     assert got == want
 
 
+def test_encoding_stage_decodes(spark, docs, rows):
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL)
+    assert got(out, "doc_id", "decoded") == Counter((r[0], r[1] or "") for r in rows)
+
+
 def test_stages_keep_odd_rows(spark, docs, empty):
     """Nulls, empty texts and further columns with clashing names pass every stage; so does an empty table."""
     out = docs
