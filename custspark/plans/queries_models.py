@@ -504,6 +504,6 @@ def green_holdout_report(t):
 def value_drivers(t):
     """The eight strongest drivers of the value model."""
     df = c360.customer_360_materialized(t).withColumn("log_cltv", F.log1p("Customer_Live_Time_Value"))
-    model = models.value_pipeline(_CLTV_SPEC, max_iter=20).fit(df)
+    model = models.value_pipeline(_CLTV_SPEC).fit(df)
     names = models.feature_slot_names(model, _CLTV_SPEC.cats, _CLTV_SPEC.nums)
     return drivers.top_drivers(model.transform(df), model.stages[-1], names, 8)

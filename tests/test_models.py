@@ -65,3 +65,15 @@ def test_searches_take_their_folds_and_measures(spark):
     sizes = [(len(g["maxIter"]) * len(g["maxDepth"]) * len(g["stepSize"]) * len(g["subsamplingRate"]) * len(g["featureSubsetStrategy"]))
              for g in (models.CHURN_GRID, models.VALUE_GRID)]
     assert sizes == [162, 243]
+
+
+def test_value_drivers_of_the_whole_model(spark, monkeypatch):
+    """The query's model has the pipeline's default number of trees."""
+    from custspark.operators import models
+    from custspark.plans import catalog, queries_models
+
+    from .conftest import SF_SMALL
+    seen = []
+    monkeypatch.setattr(queries_models.drivers, "top_drivers", lambda scored, model, names, n: seen.append(model.getNumTrees) or scored)
+    catalog.QUERIES["value_drivers"](spark, SF_SMALL)
+    assert seen == [models.value_pipeline(models.ModelSpec([], [], "x")).getStages()[-1].getMaxIter()]
