@@ -3,9 +3,12 @@ hashing over Arrow text buffers, files in the shared folder, row keys."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import hashlib
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +18,12 @@ from pyspark.sql import functions as F
 from ..session import materialize, scratch_path  # noqa: F401  (re-exported)
 
 #: Text bytes that one numpy step looks at; longer single texts form a step of their own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = (1 << 20) - 1
+#: Bytes of an Arrow batch that Spark sends to a task's Python (a longer row is a batch of its own).
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Longer spans are hashed byte by byte with a cryptographic hash.
+LONG_SPAN = 64
 
 
 def worker_state() -> dict:
@@ -24,6 +32,40 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_custspark_llm_state", types.ModuleType("_custspark_llm_state")).__dict__
 
 
+def tidy(run: Callable) -> Callable:
+    """``run``, a function for ``mapInArrow``, with bounds on what a reused Python worker holds: what another operator
+    left in :func:`worker_state` goes before the first batch, and freed memory returns to the system after the last.
+    Arrow batches are bounded by their bytes in this session, unless it has a bound of its own."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    owner = run.__module__
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        st = worker_state()
+        if st.get("owner") != owner:
+            st.clear()
+            st["owner"] = owner
+            _release()
+        yield from run(batches)
+        _release()
+
+    return tidied
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    return df.mapInArrow(tidy(run), schema)
+
+
 # --- batches of text -------------------------------------------------------
 
 def text_steps(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -99,19 +141,23 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             out.append(np.cumprod(p, dtype=np.uint64))
         have = tuple(out)
-        if size <= 1 << 23:
+        if size <= 1 << 20:  # larger tables serve one long text
             st[("powers", base)] = have
     return have[0][:n], have[1][:n]
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of every span."""
+    """A 64-bit hash of the bytes of every span.  Short spans take a polynomial, which texts of some hundred bytes
+    can be built to defeat, so longer ones take a cryptographic hash."""
     if not len(start):
         return np.zeros(0, np.uint64)
     up, down = _powers(_BASE, len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:], dtype=np.uint64)
-    return _mix((sums[end] - sums[start]) * down[start])
+    out = _mix((sums[end] - sums[start]) * down[start])
+    for i in np.flatnonzero(end - start > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -106,3 +106,43 @@ def op10(t: Tables) -> DataFrame:
     """Every text encoded by forced boundaries and decoded again, as digests."""
     from . import bpe
     return bpe.roundtrip_digest(t.documents, tokenizer_path())
+
+
+@query("op11_mixture")
+def op11(t: Tables) -> DataFrame:
+    """Words that a mix of 150 % of all words takes of every document, sources weighed 5, 2, 1 in turn."""
+    from . import mixing
+    return mixing.mix(t.documents).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op12_whitening")
+def op12(t: Tables) -> DataFrame:
+    """Every usable vector on the first 32 principal axes, whitened."""
+    from . import whitening
+    return whitening.whiten(t.embeddings)
+
+
+@query("op13_hard_negatives", sql="""
+with v as (
+  select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.rid as aid, a.vec_id as anchor_id, r.rid, r.vec_id, r.label = a.label as same,
+    cast(list_dot_product(a.v, r.v) as bigint) as score
+  from v a join v r on a.rid <> r.rid where a.vec_id % 50 = 0),
+p as (
+  select aid, anchor_id, rid as pid, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by aid order by score desc, vec_id) <= 5),
+n as (
+  select p.anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+    row_number() over (partition by p.aid, p.pid order by score desc, vec_id) as rank
+  from p join s on s.aid = p.aid and not s.same
+    and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 3""")
+def op13(t: Tables) -> DataFrame:
+    """The first three hard negatives of every anchor and positive, a seventh of the labels moved by one."""
+    from . import negatives
+    moved = t.embeddings.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(moved, F.col("vec_id") % 50 == 0)
