@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gather, span_hashes, text_buffers, text_column, text_steps, worker_state
+from .common import gather, span_hashes, text_buffers, text_column, text_steps, worker_state, tidy
 
 #: Pieces kept by a worker (a bound on memory, not on results).
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 200_000
 #: Longer pieces are encoded anew in every step.
 CACHE_PIECE_BYTES = 48
 
@@ -42,6 +42,19 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def _differ(data: np.ndarray, start: np.ndarray, size: np.ndarray, like: np.ndarray, like_size: np.ndarray) -> np.ndarray:
+    """The spans whose bytes are not those of the span they are held against."""
+    other = size != like_size
+    same = np.flatnonzero(~other & (start != like))
+    for at in range(0, len(same), 1 << 16):
+        rows = same[at:at + (1 << 16)]
+        n = size[rows]
+        wrong = data[gather(start[rows], n)] != data[gather(like[rows], n)]
+        if wrong.any():
+            other[rows[np.searchsorted(np.cumsum(n), np.flatnonzero(wrong), side="right")]] = True
+    return np.flatnonzero(other)
+
+
 class Codec:
     """A byte-level BPE tokenizer file with its cut table and piece cache."""
 
@@ -116,6 +129,10 @@ class Codec:
         _, first, inverse = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
         raw = data.tobytes()
         pieces = [raw[i:j] for i, j in zip(start[first].tolist(), end[first].tolist())]
+        # bytes decide: a piece that only hashes like the one it is counted with is a piece of its own
+        for i in _differ(data, start, end - start, start[first][inverse], (end - start)[first][inverse]).tolist():
+            inverse[i] = len(pieces)
+            pieces.append(raw[start[i]:end[i]])
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
         cache = self.cache
@@ -123,7 +140,7 @@ class Codec:
         got = [cache[p] for p in pieces]
         for p in pieces:
             if len(p) > CACHE_PIECE_BYTES:
-                del cache[p]
+                cache.pop(p, None)
         size = np.array([len(x) for x in got], np.int64) // 4
         flat = np.frombuffer(b"".join(got), "<u4")
         lengths = size[inverse]
@@ -169,7 +186,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n_tokens", "decoded"][:len(cols)])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       text_column(docs, text_col).alias("text")).mapInArrow(run, schema)
+                       text_column(docs, text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def roundtrip_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,4 +205,4 @@ def roundtrip_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gather, materialize, to_int64, worker_state
+from .common import gather, materialize, to_int64, worker_state, tidy
 from .components import Union, components
 
 RECALL = 0.95
@@ -78,7 +78,7 @@ def sign_codes(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2),
                                                   pa.array(list(codes), pa.list_(pa.int64()))], ["node", "n", "vector", "codes"])
 
-    return nodes.mapInArrow(run, "node long, n long, vector array<double>, codes array<long>")
+    return nodes.mapInArrow(tidy(run), "node long, n long, vector array<double>, codes array<long>")
 
 
 def _pairs(bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -198,7 +198,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     found = materialize(dealt.join(coded, "node").repartition("table", "code", "i", "j")
                         .sortWithinPartitions("table", "code", "i", "j")
                         .select("table", "code", "i", "j", "side", "node", "n", "vector", "codes")
-                        .mapInArrow(run, "node long, links long, root long"), "near-vectors")
+                        .mapInArrow(tidy(run), "node long, links long, root long"), "near-vectors")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where(F.col("node") != F.col("root")), "node", "root")
     state = materialize(nodes.select("node", "n").join(links, "node", "left").join(roots, "node", "left")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import create_file, keyed, materialize, open_file, scratch_path, text_buffers, text_steps
+from .common import create_file, keyed, materialize, open_file, scratch_path, text_buffers, text_steps, tidy
 
 MAGIC = b"PFORIDS1"
 BLOCK = 1024
@@ -240,7 +240,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None =
 
     ordered = keyed(docs, id_col, text_col).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
     manifest = materialize(ordered.mapInArrow(
-        run, "part int, seq int, file string, n_docs long, n_tokens long, bytes long"), "pfor-manifest")
+        tidy(run), "part int, seq int, file string, n_docs long, n_tokens long, bytes long"), "pfor-manifest")
     # one row a file, so the running total is a small window
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -265,7 +265,7 @@ def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                 r.close()
 
     # few rows, much work each: one file a task
-    return manifest.select("file", "start").repartitionByRange("file").mapInArrow(run, schema)
+    return manifest.select("file", "start").repartitionByRange("file").mapInArrow(tidy(run), schema)
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, with_ids: bool = False,

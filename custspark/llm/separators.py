@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import create_file, materialize, open_file, scratch_path, text_buffers, text_column, text_steps
+from .common import create_file, materialize, open_file, scratch_path, text_buffers, text_column, text_steps, tidy
 
 #: Bytes of a file that one scan step reads.
 BLOCK_BYTES = 4 << 20
@@ -59,7 +59,7 @@ def write_flat(docs: DataFrame, tokenizer: str, folder: str, end_id: int, id_col
             out.close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
-    return materialize(rows.mapInArrow(run, "doc_id long, file string, doc_no long"), "flat-rows")
+    return materialize(rows.mapInArrow(tidy(run), "doc_id long, file string, doc_no long"), "flat-rows")
 
 
 def scan(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -75,7 +75,7 @@ def scan(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64())], ["file", "tokens"])
 
     per_block = block_bytes // _ID.itemsize
-    blocks = (files.select("file").distinct().mapInArrow(sizes, "file string, tokens long")
+    blocks = (files.select("file").distinct().mapInArrow(tidy(sizes), "file string, tokens long")
               .select("file", "tokens", F.explode(F.sequence(
                   F.lit(0), F.greatest(F.expr(f"(tokens + {per_block} - 1) div {per_block}") - 1, F.lit(0)))).alias("block"))
               .repartitionByRange("file", "block"))
@@ -92,7 +92,7 @@ def scan(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES) -> DataF
                     pa.schema([("file", pa.string()), ("tokens", pa.int64()), ("block", pa.int64()),
                                ("seps", pa.list_(pa.int64()))]))
 
-    found = materialize(blocks.mapInArrow(search, "file string, tokens long, block long, seps array<long>"), "separators")
+    found = materialize(blocks.mapInArrow(tidy(search), "file string, tokens long, block long, seps array<long>"), "separators")
     # the summaries: one short row a block, scanned within each file
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = (found.select("file", "block", "tokens", F.size("seps").alias("n"),

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import (Words, _mix, gather, keyed, materialize, space_class, spans, text_buffers, text_steps, to_int64,
+from .common import (tidy, Words, _mix, gather, keyed, materialize, space_class, spans, text_buffers, text_steps, to_int64,
                      whole_rows, windows)
 
 WINDOW = 35
@@ -97,7 +97,7 @@ def sketch(rows: DataFrame, bits: int, window: int, gram: int) -> DataFrame:
             count = np.bincount(inverse, np.concatenate(counts), len(cell)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.minimum(count, 2).astype(np.int8))], ["cell", "n"])
 
-    return (rows.select("text").mapInArrow(run, "cell long, n byte").groupBy("cell").agg(F.sum("n").alias("n"))
+    return (rows.select("text").mapInArrow(tidy(run), "cell long, n byte").groupBy("cell").agg(F.sum("n").alias("n"))
             .where(F.col("n") > 1).select("cell"))
 
 
@@ -117,7 +117,7 @@ def _runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([to_int64(_mix(anchor)), to_int64(spans(h, first, n + window - 1)),
                                               b.column(0).take(pa.array(doc)), pa.array(place)], ["anchor", "stretch", "id", "place"])
 
-    return rows.mapInArrow(run, "anchor long, stretch long, id long, place long")
+    return rows.mapInArrow(tidy(run), "anchor long, stretch long, id long, place long")
 
 
 def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
                  pa.array((at * _TAG + (place // _N % _TAG)[of]) * _N + 1), flat.field(2).take(row)],
                 ["anchor", "h", "id", "place", "single"])
 
-    return texts.mapInArrow(run, "anchor long, h long, id long, place long, single boolean")
+    return texts.mapInArrow(tidy(run), "anchor long, h long, id long, place long, single boolean")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id",
@@ -231,4 +231,4 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words.count.astype(np.int64)), pa.array(removed.astype(np.int64)),
                                                   pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidy(run), schema)

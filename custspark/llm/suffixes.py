@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, alnum_class, filesystem, gather, lower_ascii, scratch_path, text_buffers, text_column, text_steps
+from .common import Words, alnum_class, filesystem, gather, lower_ascii, scratch_path, text_buffers, text_column, text_steps, tidy
 
 WINDOW = 10
 #: Text bytes of the items of one block.
@@ -177,7 +177,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
                 ["doc_id", "n_words", "n_hit", "items", "spans", "longest", "longest_at", "longest_item"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       text_column(docs, text_col).alias("text")).mapInArrow(run, schema)
+                       text_column(docs, text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _item_table(items: DataFrame, item_col: str, item_text_col: str) -> str:
@@ -242,4 +242,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
             n_hit = examine(b.column(b.schema.get_field_index(text_col)), blocks)[2]
             yield b.filter(pa.array(n_hit == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, alnum_class, lower_ascii, materialize, text_buffers, text_column, text_steps, to_int64
+from .common import Words, alnum_class, lower_ascii, materialize, text_buffers, text_column, text_steps, to_int64, tidy
 
 MAX_ROWS = 20_000
 PRIOR = 0.1
@@ -181,7 +181,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield rows(merged())
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def class_counts(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def class_counts(docs: DataFrame, train: DataFrame) -> DataFrame:
                                              ["word", "near", "kind"])
 
     # the training rows are bounded by MAX_ROWS, so they are sent to every task and no text moves
-    seen = docs.join(F.broadcast(train), "doc_id").select("text", "toxic", "fold").mapInArrow(run, "word long, near long, kind int")
+    seen = docs.join(F.broadcast(train), "doc_id").select("text", "toxic", "fold").mapInArrow(tidy(run), "word long, near long, kind int")
     return seen.distinct().groupBy("word").agg(*[F.count_if(F.col("kind") == k).alias(c) for k, c in enumerate(_COUNTS[1:])])
 
 
@@ -304,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                               pa.array(out, pa.list_(pa.float64()))], ["toxic", "fold", "n", "s"])
 
     rows = (docs.join(F.broadcast(train), "doc_id").select("text", "toxic", "fold")
-            .mapInArrow(run, "toxic int, fold string, n long, s array<double>").collect())  # MAX_ROWS bounds them
+            .mapInArrow(tidy(run), "toxic int, fold string, n long, s array<double>").collect())  # MAX_ROWS bounds them
     for f in _FOLDS:
         laws[f].k = _fit_k(laws[f], [(r.n, max(r.s, default=0.0)) for r in rows if r.fold == f and not r.toxic])
     final.k = float(np.mean([laws[f].k for f in _FOLDS]))
@@ -339,7 +339,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 ["doc_id", "score", "n_words", "passages"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(
-        run, "doc_id long, score double, n_words long, "
+        tidy(run), "doc_id long, score double, n_words long, "
              "passages array<struct<start:long,end:long,score:double,e_value:double>>")
 
 
@@ -351,4 +351,4 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
             p = _judged(b.column(b.schema.get_field_index(text_col)), model)[2]
             yield b.filter(pa.array([x < threshold for x in p], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

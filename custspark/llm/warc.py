@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import create_file, materialize, open_file, scratch_path
+from .common import create_file, materialize, open_file, scratch_path, tidy
 
 REVISIT_BYTES = 100
 #: Ranges at most this far apart are read in one go, up to READ_BYTES.
@@ -110,7 +110,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if out is not None:
             out.close()
 
-    return materialize(full.select("page_id", "digest", "url", "html", "first").mapInArrow(run, INDEX), "warc-index")
+    return materialize(full.select("page_id", "digest", "url", "html", "first").mapInArrow(tidy(run), INDEX), "warc-index")
 
 
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -158,7 +158,7 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
 
     stretch = F.floor(F.col("offset") / F.lit(4 * READ_BYTES))
     return (index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
-            .mapInArrow(run, schema))
+            .mapInArrow(tidy(run), schema))
 
 
 def archive(pages: DataFrame, with_payload: bool = False, **names) -> DataFrame:

@@ -407,3 +407,43 @@ def test_toxicity(spark, empty):
     flat = toxicity.fit(docs, lab.where("false"))
     assert {r.score for r in toxicity.score(docs, flat).collect()} == {0.0}
     assert toxicity.score(empty, toxicity.fit(empty, lab)).count() == 0
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_texts_built_to_collide(spark, tok):
+    """Two different texts whose polynomial hashes modulo 2**64 are equal are still told apart by every operator."""
+    import pyarrow as pa
+
+    from custspark.llm import suffixes
+    from custspark.llm.common import text_buffers
+    x, y = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    c = bpe.Codec(tokenizer_path())
+    ids, at = c.encode(*text_buffers(pa.array([x, y, x])))
+    for i, t in enumerate((x, y, x)):
+        assert ids[at[i]:at[i + 1]].tolist() == ids_of(tok, t)
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, f"{x} {words}"), (2, f"{y} {words}"), (3, f"q {x} r s t"), (4, f"q {y} r s t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == Counter(
+        (r[0], n, c) for r, (_, n, c) in zip(rows, brute_jaccard(rows)))
+    removed = {r.doc_id: r.n_removed for r in substring.deduplicate(docs).collect()}
+    assert removed == {r[0]: n for r, (_, _, n, _) in zip(rows, brute_windows(rows, 35))}
+    items = spark.createDataFrame([("i", f"p {y} r s")], "item_id string, text string")
+    hit = {r.doc_id: r.n_hit for r in suffixes.contamination(spark.createDataFrame([(1, f"p {x} r s"), (2, f"p {y} r s")], "doc_id long, text string"), items).collect()}
+    assert hit == {1: 0, 2: 4}
+
+
+def test_equal_hashes_are_told_apart_by_bytes(tok, monkeypatch):
+    """Even where every piece hashes alike, bytes decide."""
+    import pyarrow as pa
+
+    from custspark.llm.common import text_buffers
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64) % 3)
+    texts = ["one two three", "", "owe two free", None, "eno owt", "one two three"]
+    c = bpe.Codec(tokenizer_path())
+    ids, at = c.encode(*text_buffers(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert ids[at[i]:at[i + 1]].tolist() == ids_of(tok, t)
