@@ -1,18 +1,15 @@
 """Top drivers of a tree model by mean absolute contribution.
 
-Per-row feature contributions follow the published path-dependent
-TreeSHAP algorithm (Lundberg, Erion & Lee, 2018).  A contribution of a
-leaf depends on the row only through, for each feature on the path to
-that leaf, whether the row satisfies *all* of that feature's conditions
-on the path.  So for every leaf and every such pattern (at most
-2^depth) the contribution vector is computed once on the driver from the
-small tree tables; executors then only evaluate split conditions with
-numpy on Arrow batches (``mapInPandas``) and add table entries.  Output
-is long ``(feature, contribution)`` rows, aggregated by Spark.
+Per-row feature contributions are the path-dependent tree Shapley values (Lundberg,
+Erion & Lee, 2018).  A contribution of a leaf depends on the row only through, for each feature on the
+path to that leaf, whether the row satisfies *all* of that feature's conditions there.  Executors
+evaluate the split conditions with numpy on Arrow batches, work out the contributions of the patterns that a batch
+holds, in closed form, and emit sums, aggregated by Spark.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -22,6 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .boosting import BoostedModel
+
 
 @dataclass
 class Node:
@@ -86,79 +85,50 @@ def trees_of(model) -> list[tuple[list[Node], float]]:
     return [(_java_tree_nodes(model._java_obj.rootNode(), reg_value), 1.0)]
 
 
-# --- TreeSHAP path algebra (per leaf, per pattern) --------------------------
-
-def _extend(m, pz, po, pi):
-    l = len(m)
-    m = [e[:] for e in m] + [[pi, pz, po, 1.0 if l == 0 else 0.0]]
-    for i in range(l - 1, -1, -1):
-        m[i + 1][3] += po * m[i][3] * (i + 1) / (l + 1)
-        m[i][3] = pz * m[i][3] * (l - i) / (l + 1)
-    return m
-
-
-def _unwind(m, idx):
-    depth = len(m) - 1
-    z, o = m[idx][1], m[idx][2]
-    m = [e[:] for e in m]
-    n = m[depth][3]
-    for i in range(depth - 1, -1, -1):
-        if o != 0:
-            t = m[i][3]
-            m[i][3] = n * (depth + 1) / ((i + 1) * o)
-            n = t - m[i][3] * z * (depth - i) / (depth + 1)
-        else:
-            m[i][3] = m[i][3] * (depth + 1) / (z * (depth - i))
-    for i in range(idx, depth):
-        m[i][0], m[i][1], m[i][2] = m[i + 1][0], m[i + 1][1], m[i + 1][2]
-    return m[:depth]
-
+# --- contributions of one leaf, by pattern of satisfied features ------------------
 
 @dataclass
-class LeafTable:
-    features: list[int]                 # unique features on the path, in order
+class Leaf:
+    """The path to a leaf: its features, the conditions on each, and for each feature the share of the
+    training rows that pass its conditions (product of the cover fractions)."""
+    features: list[int]
     conditions: list[tuple]             # (feature, node, goes_left)
-    table: np.ndarray                   # [2^u, u] contributions per pattern
+    shares: np.ndarray
+    value: float
 
 
-def _leaf_tables(nodes: list[Node]) -> list[LeafTable]:
-    out: list[LeafTable] = []
+def _leaves(nodes: list[Node]) -> list[Leaf]:
+    out: list[Leaf] = []
 
-    def paths(j, cond):
+    def walk(j: int, conditions: list[tuple], shares: dict[int, float]) -> None:
         n = nodes[j]
         if n.feature < 0:
-            yield j, cond
+            out.append(Leaf(list(shares), conditions, np.array(list(shares.values())), n.value))
             return
-        yield from paths(n.left, cond + [(j, True)])
-        yield from paths(n.right, cond + [(j, False)])
-
-    for leaf, cond in paths(0, []):
-        feats: list[int] = []
-        for j, _ in cond:
-            f = nodes[j].feature
-            if f not in feats:
-                feats.append(f)
-        u = len(feats)
-        table = np.zeros((1 << u, u))
-        for pattern in range(1 << u):
-            sat = {f: bool((pattern >> k) & 1) for k, f in enumerate(feats)}
-            m = _extend([], 1.0, 1.0, -1)
-            for j, goes_left in cond:
-                n = nodes[j]
-                child = n.left if goes_left else n.right
-                zf = nodes[child].cover / n.cover if n.cover > 0 else 0.0
-                iz, io = 1.0, 1.0
-                k = next((q for q in range(len(m)) if m[q][0] == n.feature), None)
-                if k is not None:
-                    iz, io = m[k][1], m[k][2]
-                    m = _unwind(m, k)
-                # the row follows this edge iff it satisfies the feature's conditions
-                m = _extend(m, zf * iz, io if sat[n.feature] else 0.0, n.feature)
-            v = nodes[leaf].value
-            for i in range(1, len(m)):
-                w = sum(e[3] for e in _unwind(m, i))
-                table[pattern, feats.index(m[i][0])] += w * (m[i][2] - m[i][1]) * v
-        out.append(LeafTable(feats, [(nodes[j].feature, j, gl) for j, gl in cond], table))
+        for child, goes_left in ((n.left, True), (n.right, False)):
+            share = nodes[child].cover / n.cover if n.cover > 0 else 0.0
+            walk(child, [*conditions, (n.feature, j, goes_left)], {**shares, n.feature: shares.get(n.feature, 1.0) * share})
+
+    walk(0, [], {})
+    return out
+
+
+def leaf_contributions(leaf: Leaf, patterns: np.ndarray) -> np.ndarray:
+    """Contributions ``[patterns, features]`` of a leaf, where bit k of a pattern says whether the row satisfies all conditions on feature k.
+    With shares z and satisfied flags o, feature i gets ``value * (o_i - z_i) * sum_s c_s s! (u - 1 - s)! / u!``, where
+    ``c_s`` are the coefficients of the product of ``z_j + o_j x`` over the other features j."""
+    u = len(leaf.features)
+    o = (patterns[:, None] >> np.arange(u) & 1).astype(float)
+    weight = np.array([math.factorial(s) * math.factorial(u - 1 - s) / math.factorial(u) for s in range(u)])
+    out = np.zeros((len(patterns), u))
+    for i in range(u):
+        c = np.zeros((len(patterns), u))
+        c[:, 0] = 1.0
+        for j in range(u):
+            if j != i:
+                c[:, 1:] = leaf.shares[j] * c[:, 1:] + o[:, j, None] * c[:, :-1]
+                c[:, 0] *= leaf.shares[j]
+        out[:, i] = leaf.value * (o[:, i] - leaf.shares[i]) * (c @ weight)
     return out
 
 
@@ -178,24 +148,32 @@ def _satisfies(x: np.ndarray, n: Node, goes_left: bool) -> np.ndarray:
 
 
 def contributions_numpy(x: np.ndarray, compiled) -> np.ndarray:
-    """Contributions [rows, features] of a batch of feature rows."""
+    """Contributions [rows, features] of a batch of feature rows; of each leaf, only the patterns that the batch holds are worked out."""
     phi = np.zeros_like(x, dtype=float)
     for nodes, weight, leaves in compiled:
-        for lt in leaves:
-            sat = {f: np.ones(len(x), dtype=bool) for f in lt.features}
-            for f, j, gl in lt.conditions:
-                sat[f] &= _satisfies(x, nodes[j], gl)
+        passes: dict[tuple, np.ndarray] = {}
+        for leaf in leaves:
+            if not leaf.features:
+                continue
+            sat = {f: None for f in leaf.features}
+            for f, j, left in leaf.conditions:
+                if (j, left) not in passes:
+                    passes[j, left] = _satisfies(x, nodes[j], left)
+                sat[f] = passes[j, left] if sat[f] is None else sat[f] & passes[j, left]
             pattern = np.zeros(len(x), dtype=np.int64)
-            for k, f in enumerate(lt.features):
+            for k, f in enumerate(leaf.features):
                 pattern |= sat[f].astype(np.int64) << k
-            vals = lt.table[pattern]          # [rows, u]
-            for k, f in enumerate(lt.features):
-                phi[:, f] += weight * vals[:, k]
+            held = np.flatnonzero(np.bincount(pattern, minlength=1))
+            place = np.zeros(held[-1] + 1, np.int64)
+            place[held] = np.arange(len(held))
+            values = leaf_contributions(leaf, held)[place[pattern]]          # [rows, u]
+            for k, f in enumerate(leaf.features):
+                phi[:, f] += weight * values[:, k]
     return phi
 
 
 def compile_trees(trees):
-    return [(nodes, w, _leaf_tables(nodes)) for nodes, w in trees]
+    return [(nodes, w, _leaves(nodes)) for nodes, w in trees]
 
 
 def contributions(df: DataFrame, model, feature_names: Sequence[str], features_col: str = "features",
@@ -253,15 +231,52 @@ def top_drivers(df: DataFrame, model, feature_names: Sequence[str], n: int = 8,
             .orderBy(F.desc("mean_abs_contribution"), "feature").limit(n))
 
 
-def vector_slot_names(df: DataFrame, features_col: str = "features") -> list[str]:
-    """Slot names from the assembler's ML attribute metadata."""
-    meta = df.schema[features_col].metadata.get("ml_attr", {})
-    attrs = meta.get("attrs", {})
-    slots = []
-    for group in attrs.values():
-        slots += [(a["idx"], a["name"]) for a in group]
-    n = meta.get("num_attrs", len(slots))
-    names = [f"f{i}" for i in range(n)]
-    for i, nm in slots:
-        names[i] = nm
-    return names
+def boosted_trees(model: BoostedModel) -> tuple[list[tuple[list[Node], float]], list[str]]:
+    """Trees and feature names of a boosted model: a feature is a level of a category (0 or 1) or the bin of a number."""
+    first = np.concatenate([[0], np.cumsum([len(v) for v in model.bins.levels])]).astype(int)
+    n_cats = len(model.bins.cats)
+
+    def flat(column, cut, value, cover) -> list[Node]:
+        nodes: list[Node] = []
+
+        def walk(i: int) -> int:
+            at = len(nodes)
+            nodes.append(Node(cover=float(cover[i]), value=float(value[i])))
+            if column[i] >= 0:
+                c = int(column[i])
+                nodes[at].feature = int(first[c] + cut[i]) if c < n_cats else int(first[n_cats] + c - n_cats)
+                nodes[at].threshold = 0.5 if c < n_cats else float(cut[i]) - 0.5
+                nodes[at].left = walk(2 * i + 1)
+                nodes[at].right = walk(2 * i + 2)
+            return at
+
+        walk(0)
+        return nodes
+
+    trees = [(flat(*t), 1.0) for t in zip(model.column, model.cut, model.value, model.cover)]
+    return trees, [f"{c}={v}" for c, vs in zip(model.bins.cats, model.bins.levels) for v in vs] + list(model.bins.nums)
+
+
+def boosted_features(model: BoostedModel, values: Sequence[pd.Series]) -> np.ndarray:
+    """The features of :func:`boosted_trees` of some rows."""
+    bins = model.bins.place(values)
+    shown = [bins[:, i, None] == np.arange(len(v))[None, :] for i, v in enumerate(model.bins.levels)]
+    return np.concatenate([*shown, bins[:, len(shown):]], axis=1).astype(float)
+
+
+def top_boosted_drivers(df: DataFrame, model: BoostedModel, n: int = 8) -> DataFrame:
+    """The ``n`` features of a boosted model with the largest mean absolute contribution over ``df``.  Tasks unfold the trees
+    themselves; a batch emits its sums only."""
+
+    def run(batches):
+        trees, names = boosted_trees(model)
+        compiled = compile_trees(trees)
+        for pdf in batches:
+            if len(pdf):
+                phi = contributions_numpy(boosted_features(model, [pdf[c] for c in pdf.columns]), compiled)
+                yield pd.DataFrame({"feature": names, "abs_sum": np.abs(phi).sum(axis=0), "rows": len(pdf)})
+
+    src = df.select(*[F.col(c).cast("string") for c in model.bins.cats], *[F.col(c).cast("double") for c in model.bins.nums])
+    parts = src.mapInPandas(run, "feature string, abs_sum double, rows long")
+    return (parts.groupBy("feature").agg((F.sum("abs_sum") / F.sum("rows")).alias("mean_abs_contribution"))
+            .orderBy(F.desc("mean_abs_contribution"), "feature").limit(n))

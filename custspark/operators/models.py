@@ -1,26 +1,28 @@
-"""Churn, value and green-purchase models on Spark ML.
+"""Churn, value and green-purchase models.
 
-The learners are Spark's tree ensembles (gradient-boosted trees and single
-decision trees); feature preparation is the pipeline of
-:mod:`custspark.operators.features`.  Hyper-parameter search samples a
+Churn and value models are boosted trees (:mod:`.boosting`), which also train
+all settings and folds of a search at once; the green models are Spark's
+single decision trees on the pipeline of :mod:`.features`.  A search samples a
 seeded subset of the grid and cross-validates with stratified, hash-made
-folds (a ``foldCol``), so folds are reproducible on any partitioning.
+folds, so folds are reproducible on any partitioning.
 """
 
 from __future__ import annotations
 
+import itertools
 import random
+import statistics
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import boosting
+from .boosting import BoostedModel, Setting
 from .features import feature_pipeline
 from .ranking import row_number_distributed
 
@@ -37,10 +39,10 @@ GREEN_NUMS = ["Cultural_Eco_Alignment", "Emotional_Guilt_Score", "Emotional_Prid
               "Previous_Green_Purchases"]
 
 # What the searches draw from (trees, depth, step, share of rows and of columns a tree sees).
-CHURN_GRID = {"maxIter": [300, 500, 700], "maxDepth": [4, 6, 8], "stepSize": [0.01, 0.02, 0.05],
-              "subsamplingRate": [0.7, 0.8, 0.9], "featureSubsetStrategy": ["0.7", "0.8"]}
-VALUE_GRID = {"maxIter": [500, 1000, 1500], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1],
-              "subsamplingRate": [0.7, 0.8, 0.9], "featureSubsetStrategy": ["0.7", "0.8", "0.9"]}
+CHURN_GRID = {"trees": [300, 500, 700], "depth": [4, 6, 8], "step": [0.01, 0.02, 0.05],
+              "rows": [0.7, 0.8, 0.9], "columns": [0.7, 0.8]}
+VALUE_GRID = {"trees": [500, 1000, 1500], "depth": [3, 5, 7], "step": [0.01, 0.05, 0.1],
+              "rows": [0.7, 0.8, 0.9], "columns": [0.7, 0.8, 0.9]}
 
 
 @dataclass
@@ -58,23 +60,19 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     return df.withColumn(out, F.when(F.col(label) == 1, F.coalesce(ratio, F.lit(1.0))).otherwise(F.lit(1.0)))
 
 
-def churn_pipeline(spec: ModelSpec, max_iter: int = 30, max_depth: int = 4, step: float = 0.1,
-                   subsample: float = 0.8, seed: int = 42) -> Pipeline:
-    """Churn classifier with class weights."""
-    prep = feature_pipeline(spec.cats, spec.nums)
-    gbt = GBTClassifier(labelCol=spec.label, featuresCol="features", weightCol="weight", maxIter=max_iter,
-                        maxDepth=max_depth, stepSize=step, subsamplingRate=subsample, seed=seed)
-    return Pipeline(stages=prep.getStages() + [gbt])
+#: One model without a search: the least trees of the grids, at steps and depths from them.
+CHURN_SETTING = Setting(trees=300, depth=4, step=0.05, rows=0.8, columns=0.8)
+VALUE_SETTING = Setting(trees=500, depth=3, step=0.05, rows=0.8, columns=0.8)
 
 
-def value_pipeline(spec: ModelSpec, max_iter: int = 30, max_depth: int = 4, step: float = 0.1,
-                   subsample: float = 0.8, seed: int = 42) -> Pipeline:
-    """Lifetime-value regressor on the log1p target (label column is
-    expected to hold ``log1p(value)``)."""
-    prep = feature_pipeline(spec.cats, spec.nums)
-    gbt = GBTRegressor(labelCol=spec.label, featuresCol="features", maxIter=max_iter, maxDepth=max_depth,
-                       stepSize=step, subsamplingRate=subsample, seed=seed)
-    return Pipeline(stages=prep.getStages() + [gbt])
+def churn_model(df: DataFrame, spec: ModelSpec, setting: Setting = CHURN_SETTING, id_col: str = "Customer_ID") -> BoostedModel:
+    """Churn classifier, rows weighed by the column ``weight``."""
+    return boosting.fit(df, spec.cats, spec.nums, spec.label, id_col, setting, "logistic", weight_col="weight")
+
+
+def value_model(df: DataFrame, spec: ModelSpec, setting: Setting = VALUE_SETTING, id_col: str = "Customer_ID") -> BoostedModel:
+    """Lifetime-value regressor on the log1p target (the label column is expected to hold ``log1p(value)``)."""
+    return boosting.fit(df, spec.cats, spec.nums, spec.label, id_col, setting, "squared")
 
 
 def green_pipelines(cats=GREEN_CATS, nums=GREEN_NUMS, class_label: str = "Green_Purchase_Made",
@@ -98,46 +96,38 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, out: st
     return ranked.withColumn(out, ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
 
 
-def random_search(pipeline: Pipeline, estimator_stage, grid: dict, n_iter: int, evaluator,
-                  train: DataFrame, k: int = 3, fold_col: str = "fold", seed: int = 42, parallelism: int = 4):
-    """``n_iter`` settings drawn (seeded) from the full grid, k-fold
-    cross-validation on ``fold_col`` (0 to k - 1).  Returns the fitted CV model and a
-    table ``(setting, params, mean, std)``."""
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator_stage.getParam(name), list(values))
-    maps = builder.build()
-    rnd = random.Random(seed)
-    chosen = rnd.sample(maps, min(n_iter, len(maps)))
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=chosen, evaluator=evaluator,
-                        numFolds=k, foldCol=fold_col, parallelism=parallelism, seed=seed)
-    model = cv.fit(train)
-    rows = []
-    for i, (pm, m, s) in enumerate(zip(chosen, model.avgMetrics, model.stdMetrics or [0.0] * len(chosen))):
-        rows.append((i, ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name)),
-                     float(m), float(s)))
-    table = train.sparkSession.createDataFrame(rows, "setting int, params string, mean_metric double, "
-                                                     "std_metric double")
-    return model, table
+def draw_settings(grid: dict[str, Sequence], n_iter: int, seed: int = 42) -> list[Setting]:
+    """``n_iter`` different settings drawn (seeded) from the whole grid, or all of a smaller grid."""
+    every = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    return [Setting(**chosen) for chosen in random.Random(seed).sample(every, min(n_iter, len(every)))]
+
+
+def search_table(spark: SparkSession, settings: Sequence[Setting], found: Sequence[Sequence[float]]) -> DataFrame:
+    """``(setting, params, mean_metric, std_metric)``, a row a setting."""
+    rows = [(i, f"trees={s.trees}, depth={s.depth}, step={s.step}, rows={s.rows}, columns={s.columns}", statistics.fmean(m), statistics.pstdev(m))
+            for i, (s, m) in enumerate(zip(settings, found)) if m]
+    return spark.createDataFrame(rows, "setting int, params string, mean_metric double, std_metric double")
 
 
 def churn_search(train: DataFrame, spec: ModelSpec, id_col: str = "Customer_ID", grid: dict | None = None,
-                 n_iter: int = 10, k: int = 5, seed: int = 42):
-    """Churn search by the F1 of class 1, on folds that keep the class shares."""
+                 n_iter: int = 10, k: int = 5, seed: int = 42) -> tuple[Setting, DataFrame]:
+    """Churn search by the F1 of class 1, on folds that keep the class shares; the best setting and the table of all."""
     df = stratified_folds(train, id_col, spec.label, k)
-    pipe = churn_pipeline(spec)
-    f1 = MulticlassClassificationEvaluator(labelCol=spec.label, metricName="fMeasureByLabel", metricLabel=1.0)
-    return random_search(pipe, pipe.getStages()[-1], grid or CHURN_GRID, n_iter, f1, df, k, seed=seed)
+    settings = draw_settings(grid or CHURN_GRID, n_iter, seed)
+    found = boosting.search(df, spec.cats, spec.nums, spec.label, id_col, settings, "logistic", k, weight_col="weight")
+    best = max(range(len(settings)), key=lambda i: statistics.fmean(found[i]))
+    return settings[best], search_table(train.sparkSession, settings, found)
 
 
 def value_search(train: DataFrame, spec: ModelSpec, id_col: str = "Customer_ID", grid: dict | None = None,
-                 n_iter: int = 15, k: int = 5, seed: int = 42):
-    """Value search by the mean absolute error of the log1p target (the least is best)."""
+                 n_iter: int = 15, k: int = 5, seed: int = 42) -> tuple[Setting, DataFrame]:
+    """Value search by the mean absolute error of the log1p target (the least is best); as above."""
     numbered = row_number_distributed(train, [F.md5(F.col(id_col).cast("string")), F.col(id_col)], out="_rn")
     df = numbered.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
-    pipe = value_pipeline(spec)
-    mae = RegressionEvaluator(labelCol=spec.label, metricName="mae")
-    return random_search(pipe, pipe.getStages()[-1], grid or VALUE_GRID, n_iter, mae, df, k, seed=seed)
+    settings = draw_settings(grid or VALUE_GRID, n_iter, seed)
+    found = boosting.search(df, spec.cats, spec.nums, spec.label, id_col, settings, "squared", k)
+    best = min(range(len(settings)), key=lambda i: statistics.fmean(found[i]))
+    return settings[best], search_table(train.sparkSession, settings, found)
 
 
 def feature_slot_names(model: PipelineModel, cats: Sequence[str], nums: Sequence[str]) -> list[str]:
@@ -152,15 +142,6 @@ def feature_slot_names(model: PipelineModel, cats: Sequence[str], nums: Sequence
     return names + list(nums)
 
 
-def auc_evaluator(label: str) -> BinaryClassificationEvaluator:
-    return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC",
-                                         numBins=0)
-
-
-def r2_evaluator(label: str) -> RegressionEvaluator:
-    return RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2")
-
-
 def score_guard(df: DataFrame, model: PipelineModel, required: Sequence[str], out: str,
                 extract=None) -> tuple[DataFrame, DataFrame]:
     """Score only when every required column is present, otherwise add

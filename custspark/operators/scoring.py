@@ -12,13 +12,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
 from ..session import cut_lineage
 from . import models, segments
+from .boosting import BoostedModel
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -69,13 +69,13 @@ def green_step(classifier: PipelineModel, regressor: PipelineModel, required: Se
     return step
 
 
-def churn_step(model: PipelineModel, required: Sequence[str]) -> Step:
+def churn_step(model: BoostedModel, required: Sequence[str]) -> Step:
     """Predicted churn class; null if an input column is missing."""
     return lambda df: models.score_guard(df, model, required, "Predicted_Churn",
-                                         lambda s: fx.threshold(vector_to_array("probability")[1]))[0]
+                                         lambda s: fx.threshold("p1"))[0]
 
 
-def value_step(model: PipelineModel, required: Sequence[str]) -> Step:
+def value_step(model: BoostedModel, required: Sequence[str]) -> Step:
     """Predicted lifetime value, from a model of its ``log1p``."""
     return lambda df: models.score_guard(df, model, required, "Predicted_CLTV", lambda s: F.expm1("prediction"))[0]
 

@@ -166,13 +166,11 @@ def linear_scorer(df: DataFrame) -> DataFrame:
 
 
 def model_scorer(churn_model, cltv_model) -> Scorer:
-    """Two fitted Spark ML pipelines: churn probability of class 1, and
+    """Two fitted models: churn probability of class 1, and
     the value model's log prediction mapped back with ``expm1``."""
-    from pyspark.ml.functions import vector_to_array
-
     def score(df: DataFrame) -> DataFrame:
         keep = df.columns
-        c = churn_model.transform(df).select(*keep, vector_to_array("probability")[1].alias("_churn_prob"))
+        c = churn_model.transform(df).select(*keep, F.col("p1").alias("_churn_prob"))
         v = cltv_model.transform(c).select(*keep, "_churn_prob", F.expm1("prediction").alias("_cltv"))
         return v
     return score

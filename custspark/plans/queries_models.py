@@ -317,24 +317,19 @@ _CHURN_SPEC = models.ModelSpec(models.CHURN_CATS, [c for c in models.CHURN_NUMS
 _CLTV_SPEC = models.ModelSpec(models.CLTV_CATS, models.CLTV_NUMS, "log_cltv")
 
 
-#: Trees a model in the registered searches.
-_FEW_TREES = {"maxIter": [5, 10]}
-
-
 @query("churn_scores")
 def churn_scores(t):
     """Churn probability per customer (gradient-boosted trees)."""
     df = _churn_data(t)
-    model = models.churn_pipeline(_CHURN_SPEC, max_iter=20).fit(df)
-    return model.transform(df).select("Customer_ID", "Churn",
-                                      vector_to_array("probability")[1].alias("churn_probability"))
+    model = models.churn_model(df, _CHURN_SPEC)
+    return model.transform(df).select("Customer_ID", "Churn", F.col("p1").alias("churn_probability"))
 
 
 @query("cltv_scores")
 def cltv_scores(t):
     """Predicted lifetime value (log1p target, expm1 back)."""
     df = c360.customer_360_materialized(t).withColumn("log_cltv", F.log1p("Customer_Live_Time_Value"))
-    model = models.value_pipeline(_CLTV_SPEC, max_iter=20).fit(df)
+    model = models.value_model(df, _CLTV_SPEC)
     return model.transform(df).select("Customer_ID", "Customer_Live_Time_Value",
                                       F.expm1("prediction").alias("Predicted_CLTV"))
 
@@ -362,8 +357,8 @@ def score_customers(t):
     df = cut_lineage(_customers(t).join(adapters.green(t), "Customer_ID", "left"))
     clf, reg = models.green_pipelines()
     known = df.na.drop(subset=models.GREEN_NUMS)
-    churn = models.churn_pipeline(_CHURN_SPEC).fit(models.class_weights(df, "Churn"))
-    value = models.value_pipeline(_CLTV_SPEC).fit(df.withColumn("log_cltv", F.log1p("Customer_Live_Time_Value")))
+    churn = models.churn_model(models.class_weights(df, "Churn"), _CHURN_SPEC)
+    value = models.value_model(df.withColumn("log_cltv", F.log1p("Customer_Live_Time_Value")), _CLTV_SPEC)
     scored = scoring.score_customers(
         df, scoring.kmeans_step(), scoring.green_step(clf.fit(known), reg.fit(known)),
         scoring.churn_step(churn, [*_CHURN_SPEC.cats, *_CHURN_SPEC.nums]), scoring.value_step(value, [*_CLTV_SPEC.cats, *_CLTV_SPEC.nums]))
@@ -372,36 +367,30 @@ def score_customers(t):
 
 @query("random_search")
 def random_search(t):
-    """Seeded random search over the churn grid by F1, with stratified folds.  Fewer trees, settings and folds than
-    the defaults of :func:`models.churn_search`, which take hours on one machine."""
-    _, table = models.churn_search(_churn_data(t), _CHURN_SPEC, grid=models.CHURN_GRID | _FEW_TREES, n_iter=3, k=3)
-    return table
+    """Ten settings of the churn grid by F1, on five stratified folds."""
+    return models.churn_search(_churn_data(t), _CHURN_SPEC)[1]
 
 
 @query("value_search")
 def value_search(t):
-    """Seeded random search over the value grid by absolute error.  Fewer trees, settings and folds than the defaults
-    of :func:`models.value_search`, as above."""
+    """Fifteen settings of the value grid by absolute error, on five folds."""
     df = c360.customer_360_materialized(t).withColumn("log_cltv", F.log1p("Customer_Live_Time_Value"))
-    _, table = models.value_search(df, _CLTV_SPEC, grid=models.VALUE_GRID | _FEW_TREES, n_iter=3, k=3)
-    return table
+    return models.value_search(df, _CLTV_SPEC)[1]
 
 
 @query("top_drivers")
 def top_drivers(t):
     """The eight strongest churn drivers by mean |contribution|."""
     df = _churn_data(t)
-    model = models.churn_pipeline(_CHURN_SPEC, max_iter=20).fit(df)
-    scored = model.transform(df)
-    names = models.feature_slot_names(model, _CHURN_SPEC.cats, _CHURN_SPEC.nums)
-    return drivers.top_drivers(scored, model.stages[-1], names, 8)
+    model = models.churn_model(df, _CHURN_SPEC)
+    return drivers.top_boosted_drivers(df, model, 8)
 
 
 @query("churn_by_segment")
 def churn_by_segment(t):
     """Predicted churn share per (fixed) segment, from the churn model."""
     df = _churn_data(t)
-    model = models.churn_pipeline(_CHURN_SPEC, max_iter=20).fit(df)
+    model = models.churn_model(df, _CHURN_SPEC)
     seg = _fixed_segments(t).select("Customer_ID", "Segment_Label")
     scored = model.transform(df).select("Customer_ID", F.col("prediction").alias("Predicted_Churn")).join(seg, "Customer_ID")
     return scored.groupBy("Segment_Label").agg(F.avg("Predicted_Churn").alias("churn_rate"),
@@ -442,9 +431,8 @@ def whatif_model_scenario(t):
     fits, two scorings, lever statistics), so both are checkpointed."""
     from ..session import cut_lineage
     df = c360.customer_360_materialized(t)
-    churn_model = models.churn_pipeline(_CHURN_SPEC, max_iter=20).fit(models.class_weights(df, "Churn"))
-    cltv_model = models.value_pipeline(_CLTV_SPEC, max_iter=20).fit(
-        df.withColumn("log_cltv", F.log1p("Customer_Live_Time_Value")))
+    churn_model = models.churn_model(models.class_weights(df, "Churn"), _CHURN_SPEC)
+    cltv_model = models.value_model(df.withColumn("log_cltv", F.log1p("Customer_Live_Time_Value")), _CLTV_SPEC)
     scorer = whatif.model_scorer(churn_model, cltv_model)
     base = cut_lineage(whatif.with_baseline(df, scorer))
     sim = whatif.simulate(base, whatif.Levers(cashback=10, support=20, price=5, subscription=30), scorer)
@@ -464,8 +452,8 @@ def churn_holdout_report(t):
     """W7 + M13 + M19/M21: churn model fitted on the 80 % part, judged on the
     stratified 20 % hold-out (per-class report plus ROC AUC)."""
     train, test = _holdout(t, "Churn")
-    model = models.churn_pipeline(_CHURN_SPEC, max_iter=20).fit(models.class_weights(train, "Churn"))
-    scored = model.transform(test).withColumn("p1", vector_to_array("probability")[1])
+    model = models.churn_model(models.class_weights(train, "Churn"), _CHURN_SPEC)
+    scored = model.transform(test)
     report = metrics.classification_report(scored, "Churn", "prediction")
     auc = metrics.roc_auc(scored, "Churn", "p1").select(F.col("auc"))
     return report.withColumn("roc_auc", auc.scalar())
@@ -477,7 +465,7 @@ def cltv_holdout_report(t):
     hold-out, on the log and the original scale."""
     train, test = _holdout(t, "Churn")
     lab = lambda d: d.withColumn("log_cltv", F.log1p("Customer_Live_Time_Value"))
-    model = models.value_pipeline(_CLTV_SPEC, max_iter=20).fit(lab(train))
+    model = models.value_model(lab(train), _CLTV_SPEC)
     scored = model.transform(lab(test))
     return metrics.regression_report(scored, "log_cltv", "prediction", log_target=True)
 
@@ -504,6 +492,13 @@ def green_holdout_report(t):
 def value_drivers(t):
     """The eight strongest drivers of the value model."""
     df = c360.customer_360_materialized(t).withColumn("log_cltv", F.log1p("Customer_Live_Time_Value"))
-    model = models.value_pipeline(_CLTV_SPEC).fit(df)
-    names = models.feature_slot_names(model, _CLTV_SPEC.cats, _CLTV_SPEC.nums)
-    return drivers.top_drivers(model.transform(df), model.stages[-1], names, 8)
+    return drivers.top_boosted_drivers(df, models.value_model(df, _CLTV_SPEC), 8)
+
+
+@query("green_drivers")
+def green_drivers(t):
+    """The eight strongest drivers of the green purchase class."""
+    g = adapters.green(t).na.drop(subset=models.GREEN_NUMS)
+    model = models.green_pipelines()[0].fit(g)
+    names = models.feature_slot_names(model, models.GREEN_CATS, models.GREEN_NUMS)
+    return drivers.top_drivers(model.transform(g), model.stages[-1], names, 8)

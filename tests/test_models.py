@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from custspark.operators import drivers, metrics, segments
+from custspark.operators import boosting, drivers, metrics, segments
 
 
 def _data(spark, n=400):
@@ -51,29 +51,133 @@ def test_kmeans_and_davies_bouldin(spark):
     assert db > 0
 
 
-def test_searches_take_their_folds_and_measures(spark):
-    from custspark.operators import models
-    df = (_data(spark, 200).drop("features").withColumn("kind", F.concat(F.lit("k"), (F.col("Customer_ID") % 3).cast("string")))
-          .withColumn("weight", F.lit(1.0)).withColumn("log_value", F.log1p(F.col("a") + F.col("b"))))
-    few = {"maxIter": [2], "maxDepth": [2, 3], "stepSize": [0.1]}
-    best, table = models.churn_search(df, models.ModelSpec(["kind"], ["a", "b", "c"], "label"), grid=few, n_iter=2, k=5)
-    rows = table.collect()
-    assert len(rows) == 2 and all(0.5 < r["mean_metric"] <= 1 for r in rows)
-    assert best.getNumFolds() == 5 and max(best.avgMetrics) == max(r["mean_metric"] for r in rows)
-    best, table = models.value_search(df, models.ModelSpec(["kind"], ["a", "b", "c"], "log_value"), grid=few, n_iter=2, k=2)
-    assert not best.getEvaluator().isLargerBetter() and table.count() == 2
-    sizes = [(len(g["maxIter"]) * len(g["maxDepth"]) * len(g["stepSize"]) * len(g["subsamplingRate"]) * len(g["featureSubsetStrategy"]))
-             for g in (models.CHURN_GRID, models.VALUE_GRID)]
-    assert sizes == [162, 243]
+# --- boosting ---------------------------------------------------------------------
 
+CATS, NUMS = ["kind"], ["a", "b", "c"]
+
+
+def _rows(spark, n=240):
+    df = _data(spark, n).drop("features").withColumn("kind", F.when(F.col("Customer_ID") % 13 != 0, F.concat(F.lit("k"), (F.col("Customer_ID") % 3).cast("string"))))
+    return (df.withColumn("a", F.when(F.col("Customer_ID") % 19 != 0, F.col("a"))).withColumn("weight", F.when(F.col("label") == 1, 1.5).otherwise(1.0))
+            .withColumn("value", F.coalesce("a", F.lit(3.0)) + F.when(F.col("kind") == "k1", 4.0).otherwise(0.0) + F.col("b") / 8)
+            .withColumn("fold", (F.col("Customer_ID") % 3).cast("int")).repartition(3))
+
+
+def _brute_margins(pdf, label, loss, trees, depth, step, train):
+    """Boosting by trying every level and every value of every column, node by node."""
+    y, w = pdf[label].to_numpy(float), (pdf["weight"] if loss == "logistic" else pdf["weight"] * 0 + 1).to_numpy(float)
+    tests = [(pdf["kind"] == v).to_numpy() for v in sorted(pdf["kind"].dropna().unique())]
+    for c in NUMS:
+        x = pdf[c].fillna(-1e9).to_numpy()
+        tests += [x >= v for v in sorted(pdf[c].dropna().unique())[1:]]
+    margin = np.full(len(pdf), 0.0 if loss == "logistic" else 0.5)
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = ((p - y) * w, p * (1 - p) * w) if loss == "logistic" else ((margin - y) * w, w)
+        g, h = np.rint(g * 2**20) / 2**20, np.rint(h * 2**20) / 2**20
+
+        def grow(rows, level):
+            fit = rows & train
+            G, H = g[fit].sum(), h[fit].sum()
+            best = (1e-9, None)
+            for t in tests if level < depth else []:
+                r, l = fit & t, fit & ~t
+                if h[r].sum() >= 1 and h[l].sum() >= 1:
+                    gain = g[l].sum()**2 / (h[l].sum() + 1) + g[r].sum()**2 / (h[r].sum() + 1) - G**2 / (H + 1)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, t)
+            if best[1] is None:
+                margin[rows] -= step * G / (H + 1)
+            else:
+                grow(rows & ~best[1], level + 1)
+                grow(rows & best[1], level + 1)
+
+        grow(np.ones(len(pdf), bool), 0)
+    return margin
+
+
+@pytest.mark.parametrize("loss,label", [("logistic", "label"), ("squared", "value")])
+def test_boosting_equals_brute_force(spark, loss, label):
+    df = _rows(spark).cache()
+    weight = "weight" if loss == "logistic" else None
+    model = boosting.fit(df, CATS, NUMS, label, "Customer_ID", boosting.Setting(4, 3, 0.3, 1.0, 1.0), loss, weight)
+    got = df.withColumn("p", model.score()).toPandas().sort_values("Customer_ID").reset_index(drop=True)
+    want = _brute_margins(got, label, loss, 4, 3, 0.3, np.ones(len(got), bool))
+    assert np.allclose(got["p"], 1 / (1 + np.exp(-want)) if loss == "logistic" else want, atol=1e-9)
+    found = boosting.search(df, CATS, NUMS, label, "Customer_ID", [boosting.Setting(3, 2, 0.5, 1.0, 1.0)], loss, 3, weight_col=weight)[0]
+    for k in range(3):
+        held = (got["fold"] == k).to_numpy()
+        m = _brute_margins(got, label, loss, 3, 2, 0.5, ~held)[held]
+        y = got[label][held].to_numpy()
+        f1 = 2 * ((m > 0) & (y == 1)).sum() / max(1, (m > 0).sum() + (y == 1).sum())
+        assert found[k] == pytest.approx(f1 if loss == "logistic" else np.abs(m - y).mean(), abs=1e-9)
 
-def test_value_drivers_of_the_whole_model(spark, monkeypatch):
-    """The query's model has the pipeline's default number of trees."""
-    from custspark.operators import models
-    from custspark.plans import catalog, queries_models
 
-    from .conftest import SF_SMALL
-    seen = []
-    monkeypatch.setattr(queries_models.drivers, "top_drivers", lambda scored, model, names, n: seen.append(model.getNumTrees) or scored)
-    catalog.QUERIES["value_drivers"](spark, SF_SMALL)
-    assert seen == [models.value_pipeline(models.ModelSpec([], [], "x")).getStages()[-1].getMaxIter()]
+def test_boosting_is_the_same_in_many_parts(spark):
+    """Parts that exchange sums level by level give the trees of one part, past a checkpoint too."""
+    df = _rows(spark).cache()
+    settings = [boosting.Setting(22, 2, 0.3, 0.8, 0.7, seed=1), boosting.Setting(5, 4, 0.1, 0.7, 0.8)]
+    args = (df, CATS, NUMS, "label", "Customer_ID", settings, "logistic", 3)
+    assert boosting.search(*args, weight_col="weight", part_rows=70) == boosting.search(*args, weight_col="weight")
+    a = boosting.fit(df, CATS, NUMS, "value", "Customer_ID", settings[1], "squared")
+    b = boosting.fit(df.repartition(7), CATS, NUMS, "value", "Customer_ID", settings[1], "squared", part_rows=70)
+    assert (a.column == b.column).all() and (a.cut == b.cut).all() and (a.value == b.value).all()
+
+
+def test_boosted_model_saved_and_odd_rows(spark, tmp_path):
+    df = _rows(spark)
+    model = boosting.fit(df, CATS, NUMS, "label", "Customer_ID", boosting.Setting(10, 3, 0.3), "logistic")
+    model.save(spark, str(tmp_path / "m"))
+    back = boosting.BoostedModel.load(spark, str(tmp_path / "m"))
+    odd = spark.createDataFrame([(1, None, None, None, None), (2, "new", 5.0, 1e9, -1e9), (3, "k1", float("nan"), 2.0, 3.0)], "Customer_ID long, kind string, a double, b double, c double")
+    for data in (df.select("Customer_ID", *CATS, *NUMS), odd):
+        got = data.withColumn("x", model.score()).withColumn("y", back.score()).collect()
+        assert all(0 < r["x"] < 1 and r["x"] == r["y"] for r in got)
+    none = boosting.fit(df.where("false"), CATS, NUMS, "label", "Customer_ID", boosting.Setting(3, 2), "logistic")
+    assert [r["p1"] for r in none.transform(odd).collect()] == [0.5] * 3
+    flat = boosting.fit(df.withColumn("label", F.lit(0.0)), [], ["a"], "label", "Customer_ID", boosting.Setting(3, 2, 0.1, 1.0, 1.0), "logistic")
+    assert all(r["p1"] < 0.5 for r in flat.transform(odd).collect())
+
+
+def test_boosted_contributions_sum_to_margin(spark):
+    df = _rows(spark)
+    model = boosting.fit(df, CATS, NUMS, "value", "Customer_ID", boosting.Setting(12, 4, 0.3, 1.0, 1.0), "squared")
+    pdf = df.toPandas()
+    values = [pdf[c] for c in model.bins.columns]
+    trees, names = drivers.boosted_trees(model)
+    phi = drivers.contributions_numpy(drivers.boosted_features(model, values), drivers.compile_trees(trees))
+    assert np.allclose(phi.sum(axis=1) + drivers.expected_value(trees) + 0.5, model.margins(values), atol=1e-8)
+    top = drivers.top_boosted_drivers(df, model, 3).collect()
+    mean = dict(zip(names, np.abs(phi).mean(axis=0)))
+    assert [r["feature"] for r in top] == sorted(mean, key=lambda k: -mean[k])[:3] and top[0]["feature"] == "a"
+    assert top[0]["mean_abs_contribution"] == pytest.approx(mean["a"])
+
+
+def test_contributions_are_shapley_values():
+    """Against the definition: averages over all orders of the features of the leaf's path."""
+    import itertools
+    import math
+    leaf = drivers.Leaf([4, 7, 2], [], np.array([0.3, 0.5, 0.9]), 2.0)
+    for pattern in range(8):
+        o = [(pattern >> k) & 1 for k in range(3)]
+        worth = lambda s: 2.0 * math.prod(o[k] if k in s else leaf.shares[k] for k in range(3))
+        want = np.zeros(3)
+        for order in itertools.permutations(range(3)):
+            for at, k in enumerate(order):
+                want[k] += (worth(order[:at + 1]) - worth(order[:at])) / 6
+        assert np.allclose(drivers.leaf_contributions(leaf, np.array([pattern]))[0], want)
+
+
+def test_searches_draw_from_the_whole_grids(spark):
+    from custspark.operators import models
+    df = _rows(spark).withColumn("log_value", F.log1p("value"))
+    few = {"trees": [3], "depth": [2, 3], "step": [0.3]}
+    best, table = models.churn_search(df, models.ModelSpec(CATS, ["b", "c"], "label"), grid=few, n_iter=2, k=5)
+    rows = table.collect()
+    assert len(rows) == 2 and all(0 <= r["mean_metric"] <= 1 for r in rows) and best.depth in (2, 3)
+    best, table = models.value_search(df, models.ModelSpec(CATS, NUMS, "log_value"), grid=few, n_iter=2, k=2)
+    rows = table.collect()
+    assert len(rows) == 2 and f"depth={best.depth}" in min(rows, key=lambda r: r["mean_metric"])["params"]
+    for grid, n, drawn in ((models.CHURN_GRID, 162, 10), (models.VALUE_GRID, 243, 15)):
+        every = models.draw_settings(grid, 1000)
+        assert len(set(every)) == n and len(set(models.draw_settings(grid, drawn))) == drawn
