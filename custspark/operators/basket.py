@@ -2,10 +2,10 @@
 
 Baskets are sorted string arrays (one row per order), never a pivoted
 order x item matrix.  Frequent itemsets come from Spark ML's parallel
-FP-growth.  Spark's own ``associationRules`` only emits one-item
+FP-growth, or level by level from :mod:`.itemsets`.  Spark's own ``associationRules`` only emits one-item
 consequents, so rules with every antecedent / consequent split are built
-here: each frequent itemset explodes into its proper non-empty subsets
-(bit masks), and two equi-joins on the sorted item arrays fetch the
+here: each small itemset explodes into its proper non-empty subsets
+(bit masks), a large one grows its consequents item by item as far as the confidence allows, and two equi-joins on the sorted item arrays fetch the
 supports of both sides.  The number of rules is bounded by the frequent
 itemsets, not by the order lines.
 """
@@ -64,6 +64,10 @@ def frequent_itemsets(basket_df: DataFrame, min_support: float, items_col: str =
     return its.withColumn("support", F.col("freq") / n).where(F.col("support") >= F.lit(min_support))
 
 
+#: Larger itemsets take their rules level by level, as 2**n masks grow too many.
+MASK_ITEMS = 12
+
+
 def _split(items: Column, mask: Column, keep: int) -> Column:
     # bit i of the mask says whether item i goes to the antecedent side
     def bit(x, i):
@@ -71,17 +75,45 @@ def _split(items: Column, mask: Column, keep: int) -> Column:
     return F.filter(items, bit)
 
 
+def _masked_rules(sets: DataFrame) -> DataFrame:
+    """``(antecedents, consequents, sAC)``: every split of the sets, from bit masks."""
+    z = sets.select("items", F.col("support").alias("sAC"),
+                    F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("items")).cast("int") - F.lit(2))).alias("mask"))
+    return z.select(_split(F.col("items"), F.col("mask"), 1).alias("antecedents"),
+                    _split(F.col("items"), F.col("mask"), 0).alias("consequents"), "sAC")
+
+
+def _grown_rules(sets: DataFrame, support: DataFrame, min_confidence: float, largest: int) -> DataFrame | None:
+    """The splits of the sets that reach ``min_confidence``.  Consequents grow by one item at a time, each by items behind its last:
+    moving an item from the antecedent to the consequent never raises the confidence, so a consequent that fails is
+    not grown."""
+    antecedent = support.withColumnsRenamed({"items": "antecedents", "support": "sA"})
+    grown = sets.select("items", F.col("support").alias("sAC"), F.array().cast("array<string>").alias("consequents"))
+    out = None
+    for _ in range(largest - 1):
+        behind = F.filter("items", lambda x: F.coalesce(x > F.try_element_at(F.col("consequents"), F.lit(-1)), F.lit(True)))
+        longer = grown.select("items", "sAC", "consequents", F.explode(behind).alias("_x"))
+        longer = longer.select("items", "sAC", F.array_append("consequents", F.col("_x")).alias("consequents"))
+        longer = longer.where(F.size("consequents") < F.size("items")).withColumn("antecedents", F.array_except("items", "consequents"))
+        grown = cut_lineage(longer.join(antecedent, "antecedents").where(F.col("sAC") / F.col("sA") >= F.lit(min_confidence)).drop("sA"))
+        if grown.isEmpty():
+            break
+        part = grown.select("antecedents", "consequents", "sAC")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.0) -> DataFrame:
     """Every rule A -> C with A, C non-empty, disjoint, A u C frequent,
     with the standard rule measures (conviction is +inf at confidence 1;
-    zhang and certainty are 0 where their denominators vanish)."""
+    zhang and certainty are 0 where their denominators vanish).  Itemsets are sorted arrays, and with a set its subsets are there
+    (a rule whose antecedent or consequent is missing is left out)."""
     sup = itemsets.select("items", "support")
-    z = (itemsets.where(F.size("items") >= 2)
-         .select("items", F.col("support").alias("sAC"),
-                 F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("items")).cast("int") - F.lit(2)))
-                 .alias("mask")))
-    z = z.select(_split(F.col("items"), F.col("mask"), 1).alias("antecedents"),
-                 _split(F.col("items"), F.col("mask"), 0).alias("consequents"), "sAC")
+    largest = itemsets.agg(F.max(F.size("items"))).first()[0] or 0
+    z = _masked_rules(itemsets.where((F.size("items") >= 2) & (F.size("items") <= MASK_ITEMS)))
+    if largest > MASK_ITEMS:
+        grown = _grown_rules(itemsets.where(F.size("items") > MASK_ITEMS), sup, min_confidence, largest)
+        z = z if grown is None else z.unionByName(grown)
     r = (z.join(sup.withColumnsRenamed({"items": "antecedents", "support": "sA"}), "antecedents")
          .join(sup.withColumnsRenamed({"items": "consequents", "support": "sC"}), "consequents"))
     sA, sC, sAC = F.col("sA"), F.col("sC"), F.col("sAC")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import items_text
-from ..operators import basket
+from ..operators import basket, itemsets
 from ..sources import adapters
 from .catalog import query, round_doubles
 
@@ -183,3 +183,30 @@ from a_order_products op join a_orders o on op.Order_ID = o.Order_ID group by 1"
 def reorder_rate_by_customer(t):
     """Share of re-ordered lines per customer."""
     return round_doubles(basket.reorder_rate_of(adapters.brand_purchases(t), "Customer_ID"), 9)
+
+
+@query("frequent_itemsets_bitmap", sql="with " + _BASKETS_SQL.format(src="a_basket_lines") + "," +
+       _ITEMSETS_SQL.format(sup=TYPE_SUPPORT) +
+       " select array_to_string(items, ', ') as items, freq, round(support, 9) as support from freq")
+def frequent_itemsets_bitmap(t):
+    """B2: the same itemsets of part types, level by level from pair buckets and bitmaps."""
+    its = itemsets.frequent_itemsets(basket.baskets(adapters.basket_lines(t)), TYPE_SUPPORT)
+    return round_doubles(its.select(items_text("items").alias("items"), "freq", "support"), 9)
+
+
+#: Re-ordered products: too many for a support of 1 %, so one order in ten thousand counts.
+PRODUCT_SUPPORT, PRODUCT_LIFT = 0.0001, 1.0
+
+
+@query("reordered_product_rules", sql="""
+with b as (select Order_ID, coalesce(list_sort(list_distinct(list(cast(Product_ID as varchar)) filter (where Was_Product_Reordered > 0))), []) as items
+           from a_order_products group by 1),""" + _ITEMSETS_SQL.format(sup=PRODUCT_SUPPORT) + "," + _RULES_SQL +
+       " select antecedents, consequents, round(support, 9) as support, round(confidence, 9) as confidence,"
+       f" round(lift, 9) as lift from m where lift >= {PRODUCT_LIFT}"
+       " order by lift desc, confidence desc, antecedents, consequents limit 10")
+def reordered_product_rules(t):
+    """The ten rules of the largest lift between products that were re-ordered in one order."""
+    b = basket.flagged_baskets(adapters.order_products(t), "Order_ID", "Product_ID", "Was_Product_Reordered")
+    rules = basket.association_rules(itemsets.frequent_itemsets(b, PRODUCT_SUPPORT)).where(F.col("lift") >= PRODUCT_LIFT)
+    top = basket.rules_as_text(basket.top_rules(rules, 10))
+    return round_doubles(top.select("antecedents", "consequents", "support", "confidence", "lift"), 9)
