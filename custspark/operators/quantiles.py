@@ -1,12 +1,12 @@
-"""Exact quantiles with bounded memory.
+"""Exact quantiles by bracket.
 
 Spark's exact ``percentile`` keeps a value->count map of the whole column
 in one final task, which does not survive a continuous column with
-billions of distinct values.  Here the values of all columns are counted
-(ties merge before the shuffle), and a distributed running sum over the
-distinct values, in order, tells which value holds each wanted rank.  The
-number of passes is fixed, whatever the values, and one row comes back for
-each rank.
+billions of distinct values.  Here a mergeable sketch of each column gives two values that
+certainly stand around a wanted rank; a second scan counts the values below the
+bracket and sorts only those in it, about ``6 / ACCURACY`` of the column (ties
+merge before the shuffle).  The number of passes is fixed, whatever the values, no
+shuffle holds all distinct values, and one row comes back for each rank.
 
 Nulls and NaN are no values.  Results equal pandas' linear interpolation
 (``quantile``, ``median``).
@@ -17,10 +17,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import running_sum_distributed
+#: Inverse of the sketch's rank error.
+ACCURACY = 10_000
 
 
 def _value(col: str) -> Column:
@@ -28,6 +29,23 @@ def _value(col: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def _brackets(df: DataFrame, wanted: dict[tuple[str, int], int]) -> dict[tuple[str, int], tuple[float, float]]:
+    """Two values around each wanted ``(column, rank)`` (mapped to the column's number of values), from mergeable sketches: their
+    ranks are off by ``n / ACCURACY`` at most, and twice that is allowed for."""
+    by_col: dict[str, list[tuple[int, int]]] = {}
+    for (c, r), n in wanted.items():
+        by_col.setdefault(c, []).append((r, n))
+    aggs = []
+    for c, ranks in by_col.items():
+        probs = []
+        for r, n in ranks:
+            probs += [max(0.0, (r - 1) / n - 2.0 / ACCURACY), min(1.0, (r + 2) / n + 2.0 / ACCURACY)]
+        aggs.append(F.percentile_approx(_value(c), F.lit(probs), ACCURACY).alias(f"q{len(aggs)}"))
+    row = df.agg(*aggs).first()
+    return {(c, r): (row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1])
+            for i, (c, ranks) in enumerate(by_col.items()) for j, (r, _) in enumerate(ranks)}
+
+
 def order_statistics(df: DataFrame, wanted: dict[str, list[int]],
                      summary: dict[str, tuple] | None = None) -> dict[tuple[str, int], float]:
     """Exact values of the given 0-based ranks (ascending, missing values ignored).
@@ -36,20 +54,27 @@ def order_statistics(df: DataFrame, wanted: dict[str, list[int]],
     if not cols:
         return {}
     summary = summary or column_summary(df, cols)
-    before, places = 0, {}
-    for c in cols:
-        places.update({before + r: (c, r) for r in wanted[c] if 0 <= r < summary[c][2]})
-        before += summary[c][2]
-    if not places:
-        return {}
-    values = F.array(*[F.struct(F.lit(k).alias("k"), _value(c).alias("x")) for k, c in enumerate(cols)])
-    counts = (df.select(F.explode(F.filter(values, lambda v: v["x"].isNotNull())).alias("v"))
-              .groupBy("v.k", "v.x").agg(F.count(F.lit(1)).alias("n")))
-    upto = running_sum_distributed(counts, ["k", "x"], ["n"])
-    ranks = F.array(*[F.lit(g).cast("long") for g in sorted(places)])
-    held = F.filter(ranks, lambda g: (g >= F.col("n_cum") - F.col("n")) & (g < F.col("n_cum")))
-    rows = upto.select("x", F.explode(held).alias("g")).collect()  # one row a rank
-    return {places[r["g"]]: r["x"] for r in rows}
+    left = {(c, r): summary[c][2] for c in cols for r in wanted[c] if 0 <= r < summary[c][2]}
+    out: dict[tuple[str, int], float] = {}
+    brackets = _brackets(df, left) if left else {}
+    while left:
+        places = sorted(left)
+        # one scan counts what lies below each bracket, the next sorts what lies in it
+        below = df.agg(*[F.count_if(_value(c) < F.lit(brackets[c, r][0])).alias(f"b{i}") for i, (c, r) in enumerate(places)]).first()
+        held = F.array(*[F.struct(F.lit(i).alias("k"), _value(c).alias("x")) for i, (c, _) in enumerate(places)])
+        lows, highs = (F.lit([float(brackets[p][e]) for p in places]) for e in (0, 1))
+        inside = F.filter(held, lambda v: (v["x"] >= F.get(lows, v["k"])) & (v["x"] <= F.get(highs, v["k"])))
+        counts = df.select(F.explode(inside).alias("v")).groupBy("v.k", "v.x").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("k").orderBy("x"))
+        rank = F.get(F.lit([r - below[f"b{i}"] for i, (_, r) in enumerate(places)]), F.col("k"))
+        rows = (counts.withColumn("upto", upto).where((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")))
+                .select("k", "x").collect())  # one row a rank
+        for r in rows:
+            out[places[r["k"]]] = r["x"]
+        # a sketch outside its bound would leave a rank over: then the whole column is its bracket
+        left = {p: n for p, n in left.items() if p not in out}
+        brackets = {p: (summary[p[0]][0], summary[p[0]][1]) for p in left}
+    return out
 
 
 def column_summary(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
