@@ -81,45 +81,76 @@ def yeo_johnson(x: Column, lam) -> Column:
 
 
 def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], lo: float = -5.0, hi: float = 5.0,
-                    points: int = 21, passes: int = 5) -> dict[str, float]:
+                    tol: float = 1e-4, most: int = 20) -> dict[str, float]:
     """M4 fit: the lambda maximising the Yeo-Johnson log-likelihood
-    ``-n/2 log(var_pop(y)) + (lam - 1) sum(sign(x) log1p(|x|))`` per column.
-    Each pass evaluates a grid of lambdas for all columns in one grouped
-    aggregate; the grid then narrows around the best point (``passes``
-    times).  Only the small table of variances is read back (points x
-    columns numbers)."""
+    ``-n/2 log(var_pop(y)) + (lam - 1) sum(sign(x) log1p(|x|))`` per column, by a
+    bracketed search for all columns together.  The first aggregate tries whole steps between ``lo`` and ``hi``; each
+    further one tries, for every column that is not done, the vertex of the parabola through the best point and
+    its neighbours and a point on either side of it (golden sections where the parabola leaves the bracket).
+    An aggregate reads back a number for each point."""
     cols = list(cols)
     xs = {c: F.col(c).cast("double") for c in cols}
     base = df.agg(*[F.sum(F.signum(xs[c]) * F.log1p(F.abs(xs[c]))).alias(f"s{i}") for i, c in enumerate(cols)],
-                  *[F.count(xs[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    bounds = {c: (lo, hi) for c in cols}
-    best = {c: 1.0 for c in cols}
-    for _ in range(passes):
-        grids = {c: [bounds[c][0] + (bounds[c][1] - bounds[c][0]) * k / (points - 1) for k in range(points)]
-                 for c in cols}
+                  *[F.count(xs[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+                  *[(F.min(xs[c]) < F.max(xs[c])).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    fitted = {c: 1.0 for c in cols}  # a column of one value stays as it is
+    cols = [c for i, c in enumerate(cols) if base[f"v{i}"]]
+    if not cols:
+        return fitted
+    number = {c: i for i, c in enumerate(fitted)}
+    tried: dict[str, dict[float, float]] = {c: {} for c in cols}
+
+    def likelihoods(points: dict[str, list[float]]) -> None:
         # one generated row per (value, column, lambda) and ONE transform
-        # expression with lambda as a column: the plan stays small however
-        # long the grid, and the partial aggregate folds the generated rows
-        # inside each task before the (tiny) shuffle
-        cands = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(k).alias("k"), F.lit(float(lam)).alias("lam"),
-                                   xs[c].alias("x"))
-                          for i, c in enumerate(cols) for k, lam in enumerate(grids[c])])
-        rows = (df.select(F.explode(cands).alias("g")).where(F.col("g.x").isNotNull())
+        # expression with lambda as a column: the plan stays small, and the partial aggregate folds the
+        # generated rows inside each task before the (tiny) shuffle
+        cands = [F.struct(F.lit(cols.index(c)).alias("c"), F.lit(k).alias("k"), F.lit(float(lam)).alias("lam"), xs[c].alias("x"))
+                 for c, lams in points.items() for k, lam in enumerate(lams)]
+        rows = (df.select(F.explode(F.array(*cands)).alias("g")).where(F.col("g.x").isNotNull())
                 .groupBy("g.c", "g.k").agg(F.var_pop(yeo_johnson(F.col("g.x"), F.col("g.lam"))).alias("v"))
                 .collect())
-        var = {(r["c"], r["k"]): r["v"] for r in rows}
-        for i, c in enumerate(cols):
-            n, s = base[f"n{i}"], base[f"s{i}"] or 0.0
-            scores = []
-            for k, lam in enumerate(grids[c]):
-                v = var.get((i, k))
-                ll = -math.inf if (v is None or v <= 0 or math.isnan(v)) else -n / 2 * math.log(v) + (lam - 1) * s
-                scores.append(ll)
-            kbest = max(range(points), key=lambda k: scores[k])
-            best[c] = grids[c][kbest]
-            step = (bounds[c][1] - bounds[c][0]) / (points - 1)
-            bounds[c] = (best[c] - step, best[c] + step)
-    return best
+        var = {(cols[r["c"]], r["k"]): r["v"] for r in rows}
+        for c, lams in points.items():
+            i = number[c]
+            for k, lam in enumerate(lams):
+                v = var.get((c, k))
+                bad = v is None or v <= 0 or math.isnan(v) or math.isinf(v)
+                tried[c][lam] = -math.inf if bad else -base[f"n{i}"] / 2 * math.log(v) + (lam - 1) * base[f"s{i}"]
+
+    steps = max(2, math.ceil(hi - lo))
+    likelihoods({c: [lo + (hi - lo) * k / steps for k in range(steps + 1)] for c in cols})
+    last: dict[str, float] = {}
+    for _ in range(most):
+        points = {}
+        for c in cols:
+            lams = sorted(tried[c])
+            at = max(range(len(lams)), key=lambda k: tried[c][lams[k]])
+            if tried[c][lams[at]] == -math.inf:
+                continue  # no variance at any lambda
+            left, mid, right = lams[max(at - 1, 0)], lams[at], lams[min(at + 1, len(lams) - 1)]
+            if right - left <= 2 * tol or abs(last.get(c, math.inf) - mid) <= tol and min(mid - left or math.inf, right - mid or math.inf) <= 4 * tol:
+                continue
+            last[c] = mid
+            guess = _vertex(*((x, tried[c][x]) for x in (left, mid, right))) if left < mid < right else None
+            near = [x for x in (guess,) if x is not None]
+            width = max(tol, 0.02 * (right - left))
+            near = [near[0] - width, near[0], near[0] + width] if near else [mid - 0.382 * (mid - left), mid + 0.382 * (right - mid)]
+            near = [x for x in near if left < x < right and all(abs(x - y) > tol / 4 for y in (left, mid, right))]
+            if near:
+                points[c] = near
+        if not points:
+            break
+        likelihoods(points)
+    return fitted | {c: max(sorted(tried[c]), key=lambda x: tried[c][x]) for c in cols if max(tried[c].values()) > -math.inf}
+
+
+def _vertex(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float]) -> float | None:
+    """Where the parabola through three points is highest, if it is a hill."""
+    p, q = (b[0] - a[0]) * (b[1] - c[1]), (b[0] - c[0]) * (b[1] - a[1])
+    if not math.isfinite(p - q) or p - q == 0:
+        return None
+    x = b[0] - ((b[0] - a[0]) * p - (b[0] - c[0]) * q) / (2 * (p - q))
+    return x if a[0] < x < c[0] else None
 
 
 def apply_yeo_johnson(df: DataFrame, lambdas: dict[str, float], standardize: bool = True,

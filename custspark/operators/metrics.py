@@ -2,17 +2,16 @@
 
 Every metric is a grouped count or one aggregate, so it can be checked in
 SQL and runs on any number of scored rows.  The exact ROC AUC groups rows
-by distinct score and needs running sums over the scores; those come from
-:func:`custspark.operators.ranking.running_sum_distributed`, never from a
-single-partition window.
+by distinct score and needs running sums over the scores; those are taken in
+stretches of the score, never in a single-partition window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import running_sum_distributed
+from .ranking import shuffle_width
 
 
 def confusion(df: DataFrame, label: str, pred: str, labels=(0.0, 1.0)) -> DataFrame:
@@ -64,16 +63,25 @@ def classification_report(df: DataFrame, label: str, pred: str, labels=(0.0, 1.0
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Exact ROC AUC (ties count one half): rows grouped by distinct
-    score, running negative count over the scores, one aggregate."""
-    by_score = (df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("y"))
-                .groupBy("s").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"),
-                                  F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg")))
-    cum = running_sum_distributed(by_score, ["s"], ["neg"])
-    below = F.col("neg_cum") - F.col("neg")
-    return cum.agg((F.sum(F.col("pos") * (below + F.col("neg") * F.lit(0.5)))
-                    / (F.sum("pos") * F.sum("neg"))).alias("auc"),
-                   F.sum("pos").cast("long").alias("positives"), F.sum("neg").cast("long").alias("negatives"))
+    """Exact ROC AUC (ties count one half).  Rows are counted by distinct
+    score; sketched quantiles of the score cut its range into as many stretches as a shuffle has
+    partitions, negatives are summed up in order inside each stretch, and the stretches (a row each) are
+    put together.  Nothing is written and no task holds more than a stretch."""
+    rows = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("y"))
+    n = shuffle_width(df.sparkSession)
+    cuts = sorted(set(rows.agg(F.percentile_approx("s", F.lit([k / n for k in range(1, n)] or [0.5]), 1000)).first()[0] or []))
+    by_score = rows.groupBy("s").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"),
+                                     F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg"))
+    stretch = F.size(F.filter(F.lit([float(c) for c in cuts]), lambda c: c <= F.col("s"))) if cuts else F.lit(0)
+    before = Window.partitionBy("stretch").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("neg").over(before), F.lit(0))
+    parts = (by_score.withColumn("stretch", stretch).withColumn("below", below)
+             .groupBy("stretch").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") * F.lit(0.5))).alias("won"),
+                                     F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    earlier = F.coalesce(F.sum("neg").over(Window.partitionBy(F.lit(0)).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("earlier", earlier).agg(
+        (F.sum(F.col("won") + F.col("pos") * F.col("earlier")) / (F.sum("pos") * F.sum("neg"))).alias("auc"),
+        F.sum("pos").cast("long").alias("positives"), F.sum("neg").cast("long").alias("negatives"))
 
 
 def regression_report(df: DataFrame, label: str, pred: str, log_target: bool = False) -> DataFrame:

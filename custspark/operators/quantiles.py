@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Inverse of the sketch's rank error.
 ACCURACY = 10_000
+#: Columns of up to SMALL * ACCURACY values are sorted whole (after counting equal ones).
+SMALL = 4
 
 
 def _value(col: str) -> Column:
@@ -29,91 +31,79 @@ def _value(col: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def _brackets(df: DataFrame, wanted: dict[tuple[str, int], int]) -> dict[tuple[str, int], tuple[float, float]]:
-    """Two values around each wanted ``(column, rank)`` (mapped to the column's number of values), from mergeable sketches: their
-    ranks are off by ``n / ACCURACY`` at most, and twice that is allowed for."""
-    by_col: dict[str, list[tuple[int, int]]] = {}
-    for (c, r), n in wanted.items():
-        by_col.setdefault(c, []).append((r, n))
+def column_summary(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = ()) -> dict[str, tuple]:
+    """``{col: (min, max, count of values, brackets)}`` in one aggregate; ``brackets`` holds for each of ``probs`` two values around
+    its rank, from mergeable sketches: ranks are off by ``count / ACCURACY`` at most, and three times that is allowed for."""
+    wide = 3.0 / ACCURACY
+    asked = F.lit([q for p in probs for q in (max(0.0, p - wide), min(1.0, p + wide))])
     aggs = []
-    for c, ranks in by_col.items():
-        probs = []
-        for r, n in ranks:
-            probs += [max(0.0, (r - 1) / n - 2.0 / ACCURACY), min(1.0, (r + 2) / n + 2.0 / ACCURACY)]
-        aggs.append(F.percentile_approx(_value(c), F.lit(probs), ACCURACY).alias(f"q{len(aggs)}"))
+    for i, c in enumerate(cols):
+        x = _value(c)
+        aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.count(x).alias(f"n{i}")]
+        if probs:
+            aggs.append(F.percentile_approx(x, asked, ACCURACY).alias(f"q{i}"))
     row = df.agg(*aggs).first()
-    return {(c, r): (row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1])
-            for i, (c, ranks) in enumerate(by_col.items()) for j, (r, _) in enumerate(ranks)}
-
-
-def order_statistics(df: DataFrame, wanted: dict[str, list[int]],
-                     summary: dict[str, tuple] | None = None) -> dict[tuple[str, int], float]:
-    """Exact values of the given 0-based ranks (ascending, missing values ignored).
-    ``summary`` may carry ``{col: (min, max, count)}`` from an earlier pass."""
-    cols = sorted(c for c, ranks in wanted.items() if ranks)
-    if not cols:
-        return {}
-    summary = summary or column_summary(df, cols)
-    left = {(c, r): summary[c][2] for c in cols for r in wanted[c] if 0 <= r < summary[c][2]}
+    out = {}
+    for i, c in enumerate(cols):
+        q = (row[f"q{i}"] if probs else None) or []
+        out[c] = (row[f"lo{i}"], row[f"hi{i}"], row[f"n{i}"], list(zip(q[::2], q[1::2])))
+    return out
+
+
+def order_statistics(df: DataFrame, wanted: dict[tuple[str, int], tuple[float, float]], summary: dict[str, tuple]) -> dict[tuple[str, int], float]:
+    """Exact values of the given ``(column, 0-based rank)`` (ascending, missing values ignored), each with a bracket that likely
+    holds it.  A bracket that does not is replaced by the whole column."""
     out: dict[tuple[str, int], float] = {}
-    brackets = _brackets(df, left) if left else {}
+    left = dict(wanted)
     while left:
         places = sorted(left)
+        spans = sorted({(c, *left[c, r]) for c, r in places})
+        at = {s: i for i, s in enumerate(spans)}
         # one scan counts what lies below each bracket, the next sorts what lies in it
-        below = df.agg(*[F.count_if(_value(c) < F.lit(brackets[c, r][0])).alias(f"b{i}") for i, (c, r) in enumerate(places)]).first()
-        held = F.array(*[F.struct(F.lit(i).alias("k"), _value(c).alias("x")) for i, (c, _) in enumerate(places)])
-        lows, highs = (F.lit([float(brackets[p][e]) for p in places]) for e in (0, 1))
+        cut = [(i, c, lo) for i, (c, lo, _) in enumerate(spans) if lo > summary[c][0]]
+        below = df.agg(*[F.count_if(_value(c) < F.lit(lo)).alias(f"b{i}") for i, c, lo in cut]).first().asDict() if cut else {}
+        held = F.array(*[F.struct(F.lit(i).alias("k"), _value(c).alias("x")) for i, (c, _, _) in enumerate(spans)])
+        lows, highs = F.lit([float(s[1]) for s in spans]), F.lit([float(s[2]) for s in spans])
         inside = F.filter(held, lambda v: (v["x"] >= F.get(lows, v["k"])) & (v["x"] <= F.get(highs, v["k"])))
         counts = df.select(F.explode(inside).alias("v")).groupBy("v.k", "v.x").agg(F.count(F.lit(1)).alias("n"))
         upto = F.sum("n").over(Window.partitionBy("k").orderBy("x"))
-        rank = F.get(F.lit([r - below[f"b{i}"] for i, (_, r) in enumerate(places)]), F.col("k"))
-        rows = (counts.withColumn("upto", upto).where((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")))
-                .select("k", "x").collect())  # one row a rank
-        for r in rows:
-            out[places[r["k"]]] = r["x"]
-        # a sketch outside its bound would leave a rank over: then the whole column is its bracket
-        left = {p: n for p, n in left.items() if p not in out}
-        brackets = {p: (summary[p[0]][0], summary[p[0]][1]) for p in left}
+        ranks: list[list[int]] = [[] for _ in spans]
+        for c, r in places:
+            i = at[(c, *left[c, r])]
+            ranks[i].append(r - below.get(f"b{i}", 0))
+        here = F.filter(F.get(F.lit(ranks), F.col("k")), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
+        rows = counts.withColumn("upto", upto).select("k", "x", F.explode(here).alias("r")).collect()  # one row a rank
+        for row in rows:
+            out[spans[row["k"]][0], row["r"] + below.get(f"b{row['k']}", 0)] = row["x"]
+        left = {(c, r): summary[c][:2] for c, r in places if (c, r) not in out}
     return out
 
 
-def column_summary(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
-    """``{col: (min, max, count of values)}`` in one aggregate."""
-    mm = df.agg(*[F.min(_value(c)).alias(f"lo{i}") for i, c in enumerate(cols)],
-                *[F.max(_value(c)).alias(f"hi{i}") for i, c in enumerate(cols)],
-                *[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    return {c: (mm[f"lo{i}"], mm[f"hi{i}"], mm[f"n{i}"]) for i, c in enumerate(cols)}
-
-
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles per column (pandas semantics)."""
-    summary = column_summary(df, list(cols))
-    wanted: dict[str, list[int]] = {}
-    plan = {}
+    summary = column_summary(df, list(cols), probs)
+    wanted: dict[tuple[str, int], tuple[float, float]] = {}
     for c in cols:
-        n = summary[c][2]
-        plan[c] = []
+        low, high, n, brackets = summary[c]
+        for j, p in enumerate(probs if n else ()):
+            lo = int(math.floor(p * (n - 1)))
+            # a column whose whole length is within a few bracket widths is its own bracket
+            span = brackets[j] if n > SMALL * ACCURACY else (low, high)
+            for r in (lo, min(lo + 1, n - 1)):
+                wanted.setdefault((c, r), span)
+    found = order_statistics(df, wanted, summary)
+    out: dict[str, list[float | None]] = {}
+    for c in cols:
+        n, values = summary[c][2], []
         for p in probs:
-            if n == 0:
-                plan[c].append(None)
+            if not n:
+                values.append(None)
                 continue
             pos = p * (n - 1)
             lo = int(math.floor(pos))
-            hi = min(lo + 1, n - 1)
-            plan[c].append((lo, hi, pos - lo))
-            wanted.setdefault(c, []).extend([lo, hi])
-    stats = order_statistics(df, wanted, summary=summary)
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        vals = []
-        for item in plan[c]:
-            if item is None:
-                vals.append(None)
-                continue
-            lo, hi, frac = item
-            a, b = stats[(c, lo)], stats[(c, hi)]
-            vals.append(a if frac == 0 or a is None or b is None else a + frac * (b - a))
-        out[c] = vals
+            a, b = found[c, lo], found[c, min(lo + 1, n - 1)]
+            values.append(a if pos == lo else a + (pos - lo) * (b - a))
+        out[c] = values
     return out
 
 

@@ -29,11 +29,8 @@ from ..session import cut_lineage
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition index << 33 | row
 
 
-def _partitions(spark, num_partitions: int | None) -> int:
-    """Range-partition count: the given one, else the session's shuffle
-    width, else the default parallelism (a width may be set to "auto")."""
-    if num_partitions:
-        return num_partitions
+def shuffle_width(spark) -> int:
+    """The session's shuffle width, else the default parallelism (a width may be set to "auto")."""
     conf = spark.conf.get("spark.sql.shuffle.partitions", None)
     try:
         return max(int(conf), 1)
@@ -50,7 +47,7 @@ def row_number_distributed(df: DataFrame, order: Sequence[Column | str],
                            num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based row number in ``order`` within each stratum."""
     spark = df.sparkSession
-    n = _partitions(spark, num_partitions)
+    n = num_partitions or shuffle_width(spark)
     strata = list(strata)
     order_cols = _as_cols(order)
     keys = [F.col(s) for s in strata] + order_cols
@@ -86,27 +83,3 @@ def dense_ids(df: DataFrame, id_col: str, out: str = "new_id") -> DataFrame:
 def sequential_ids(df: DataFrame, order: Sequence[Column | str], out: str = "seq_id") -> DataFrame:
     """1..n over the rows in a stated order (Spark has no row order)."""
     return row_number_distributed(df, order, out=out)
-
-
-def running_sum_distributed(df: DataFrame, order: Sequence[Column | str], value_cols: Sequence[str],
-                            suffix: str = "_cum", num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``value_cols`` in ``order`` (total order
-    required) over the whole table, without a one-task window: sums inside
-    each range partition plus the totals of all earlier partitions."""
-    spark = df.sparkSession
-    n = _partitions(spark, num_partitions)
-    order_cols = _as_cols(order)
-    tagged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("_pid", F.spark_partition_id()))
-    tagged = cut_lineage(tagged)
-    totals = tagged.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{i}") for i, c in enumerate(value_cols)])
-    w_all = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_pid").alias("_opid"),
-                            *[F.coalesce(F.sum(f"_t_{i}").over(w_all), F.lit(0)).alias(f"_o_{i}")
-                              for i in range(len(value_cols))])
-    w_local = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.withColumns({f"{c}{suffix}": F.sum(c).over(w_local) for c in value_cols})
-    res = local.join(offsets, F.col("_pid") == F.col("_opid"))
-    return (res.withColumns({f"{c}{suffix}": F.col(f"{c}{suffix}") + F.col(f"_o_{i}")
-                             for i, c in enumerate(value_cols)})
-            .drop("_pid", "_opid", *[f"_o_{i}" for i in range(len(value_cols))]))

@@ -9,16 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ECO_CONSCIOUS, ECO_WARRIOR, LOW_INTEREST
 from ..session import cut_lineage
 from . import features as fe
+from . import prep
 
 SEGMENT_FEATURES = ["Purchase_Intensity", "Recency", "Avg_Spend_Per_Order"]
 # Feature weights and the four segment names.
@@ -68,6 +72,62 @@ def silhouette(assigned: DataFrame, cluster_col: str = "KMeans_Segment") -> floa
                                distanceMeasure="squaredEuclidean").evaluate(assigned)
 
 
+#: Rows of a part and anchors of a slice that meet in a task.
+SILHOUETTE_ROWS, SILHOUETTE_ANCHORS = 16_384, 2_048
+
+
+def euclidean_silhouette(assigned: DataFrame, anchors: Column, id_col: str = "Customer_ID", cluster_col: str = "KMeans_Segment",
+                         features_col: str = "features") -> DataFrame:
+    """M8: the Euclidean silhouette ``(b - a) / max(a, b)`` of every row that ``anchors`` marks, against all rows:
+    ``(id, cluster, a, b, silhouette)``, where ``a`` is the mean distance to the other rows of its cluster and ``b`` the least mean
+    distance to another cluster (0 for the only row of a cluster, null where there is one cluster).  Rows lie in parts and anchors in slices of bounded size; a task measures a slice against a part and
+    returns a sum for each anchor and cluster, no pair."""
+    rows = cut_lineage(assigned.select(F.col(id_col).alias("id"), F.col(cluster_col).cast("int").alias("c"), vector_to_array(features_col).alias("x"),
+                                       F.coalesce(anchors, F.lit(False)).alias("anchor")).where("c is not null").withColumn("row", F.monotonically_increasing_id()))
+    n, n_anchors = rows.agg(F.count(F.lit(1)), F.count_if("anchor")).first()
+    parts, slices = max(1, -(-n // SILHOUETTE_ROWS)), max(1, -(-n_anchors // SILHOUETTE_ANCHORS))
+    every = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
+    deal = lambda k: F.pmod(F.xxhash64("row"), F.lit(k)).cast("int")
+    left = rows.where("anchor").select("row", "x", deal(slices).alias("s"), every(parts, "p"))
+    right = rows.select("x", "c", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(parts)).cast("int").alias("p"), every(slices, "s"))
+
+    def run(key, some: pa.Table, held: pa.Table) -> pa.Table:
+        if not some.num_rows or not held.num_rows:
+            return pa.schema([("row", pa.int64()), ("c", pa.int32()), ("d", pa.float64()), ("n", pa.int64())]).empty_table()
+        matrix = lambda t: np.stack(t["x"].to_numpy())
+        a, b, c = matrix(some), matrix(held), held["c"].to_numpy()
+        order = np.argsort(c, kind="stable")
+        kinds, first, size = np.unique(c[order], return_index=True, return_counts=True)
+        b = b[order]
+        out = np.zeros((len(a), len(kinds)))
+        for at in range(0, len(a), 32):
+            d = np.sqrt(((a[at:at + 32, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+            out[at:at + 32] = np.add.reduceat(d, first, axis=1)
+        return pa.Table.from_arrays([pa.array(np.repeat(some["row"].to_numpy(), len(kinds))), pa.array(np.tile(kinds.astype(np.int32), len(a))),
+                                     pa.array(out.reshape(-1)), pa.array(np.tile(size, len(a)))], ["row", "c", "d", "n"])
+
+    sums = (left.groupBy("s", "p").cogroup(right.groupBy("s", "p")).applyInArrow(run, "row long, c int, d double, n long")
+            .groupBy("row", "c").agg(F.sum("d").alias("d"), F.sum("n").alias("n")))
+    joined = sums.join(rows.where("anchor").select("row", "id", F.col("c").alias("own")), "row")
+    own = F.col("c") == F.col("own")
+    ab = joined.groupBy("row", "id", "own").agg(F.max(F.when(own, F.try_divide("d", F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("d") / F.col("n"))).alias("b"))
+    score = F.when(F.col("b").isNull(), F.lit(None)).when(F.col("a").isNull(), 0.0).otherwise(
+        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return ab.select("id", F.col("own").alias("cluster"), "a", "b", score.alias("silhouette"))
+
+
+def segmentation_pipeline(k: int = 4, seed: int = 42) -> Pipeline:
+    """P9 + M4 + M5 + M6 as one object to fit, save and load: gaps take the training medians, features are transformed, standardised and
+    weighed, and customers clustered."""
+    steps = {s: [f"{c}{s}" for c in SEGMENT_FEATURES] for s in ("_filled", "_yj", "_weighed")}
+    return Pipeline(stages=[
+        prep.MedianFill(inputCols=list(SEGMENT_FEATURES), outputCols=steps["_filled"]),
+        prep.YeoJohnson(inputCols=steps["_filled"], outputCols=steps["_yj"]),
+        prep.FeatureWeights(inputCols=steps["_yj"], outputCols=steps["_weighed"], weights=[float(SEGMENT_WEIGHTS[c]) for c in SEGMENT_FEATURES]),
+        VectorAssembler(inputCols=steps["_weighed"], outputCol="features"),
+        KMeans(k=k, seed=seed, maxIter=20, featuresCol="features", predictionCol="KMeans_Segment")])
+
+
 def davies_bouldin(assigned: DataFrame, cluster_col: str = "KMeans_Segment",
                    features_col: str = "features") -> DataFrame:
     """M9: Davies-Bouldin index, exact, in three aggregates: centroids,

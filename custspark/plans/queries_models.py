@@ -10,13 +10,14 @@ Two kinds:
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
-from ..operators import drivers, features, metrics, models, scoring, segments, whatif
-from ..sources import adapters
+from ..operators import drivers, features, metrics, models, prep, scoring, segments, whatif
+from ..sources import adapters, io
 from . import customer360 as c360
 from .catalog import query, round_doubles
 
@@ -150,6 +151,53 @@ def davies_bouldin(t):
     return round_doubles(segments.davies_bouldin(vec), 6)
 
 
+@query("silhouette_euclidean", sql=f"""
+with x as (select Customer_ID, KMeans_Segment as c, Purchase_Intensity as a, Recency as b, Avg_Spend_Per_Order as d from {_C360_FEATS}),
+m as (select q.Customer_ID, q.c as own, x.c, sum(sqrt((q.a - x.a) * (q.a - x.a) + (q.b - x.b) * (q.b - x.b) + (q.d - x.d) * (q.d - x.d))) as s, count(*) as n
+      from x q join x on true where q.Customer_ID % 100 = 0 group by 1, 2, 3),
+ab as (select Customer_ID, own, max(case when c = own and n > 1 then s / (n - 1) end) as a, min(case when c <> own then s / n end) as b from m group by 1, 2)
+select Customer_ID, cast(own as int) as cluster, round(a, 6) as a, round(b, 6) as b,
+  round(case when b is null then null when a is null then 0.0 else (b - a) / greatest(a, b) end, 6) as silhouette from ab""")
+def silhouette_euclidean(t):
+    """M8: Euclidean silhouette of every hundredth customer against all customers, for a fixed assignment."""
+    df = _customers(t).withColumn("KMeans_Segment", (F.col("Customer_ID") % 4).cast("int"))
+    vec = VectorAssembler(inputCols=segments.SEGMENT_FEATURES, outputCol="features").transform(df)
+    out = segments.euclidean_silhouette(vec, F.col("Customer_ID") % 100 == 0)
+    return round_doubles(out.withColumnRenamed("id", "Customer_ID"), 6)
+
+
+@query("saved_preparation", sql="""
+select Customer_ID, round(2.0 * (cast(Average_Cash_Back as double) - q[2]) / (q[3] - q[1]), 9) as Average_Cash_Back,
+  round(0.5 * (cast(Loyalty_Engagement_Score as double) - r[2]) / (r[3] - r[1]), 9) as Loyalty_Engagement_Score
+from a_customer360, (select quantile_cont(cast(Average_Cash_Back as double), [0.25, 0.5, 0.75]) as q,
+  quantile_cont(cast(Loyalty_Engagement_Score as double), [0.25, 0.5, 0.75]) as r from a_customer360)""")
+def saved_preparation(t):
+    """M2 + M3 + M5 + S5: gaps filled, exact robust scaling and weights, fitted as one pipeline, saved, loaded and applied."""
+    df = c360.customer_360_materialized(t)
+    cols = ["Average_Cash_Back", "Loyalty_Engagement_Score"]
+    names = {s: [f"{c}{s}" for c in cols] for s in ("_filled", "_scaled", "_weighed")}
+    fitted = Pipeline(stages=[prep.MedianFill(inputCols=cols, outputCols=names["_filled"]),
+                              prep.ExactRobustScaler(inputCols=names["_filled"], outputCols=names["_scaled"]),
+                              prep.FeatureWeights(inputCols=names["_scaled"], outputCols=names["_weighed"], weights=[2.0, 0.5])]).fit(df)
+    out = _saved(t, fitted).transform(df).select("Customer_ID", *[F.col(f"{c}_weighed").alias(c) for c in cols])
+    return round_doubles(out, 9)
+
+
+def _saved(t, model):
+    """The model, saved in the shared folder and loaded again."""
+    from ..session import scratch_path
+    path = scratch_path(t.spark, "model")
+    io.save_model(model, path)
+    return io.load_pipeline_model(path)
+
+
+@query("saved_segmentation")
+def saved_segmentation(t):
+    """M4-M6 + S5: the whole segmentation (gaps, transform, weights, k-means) as one saved object, loaded and applied."""
+    df = _customers(t)
+    return _saved(t, segments.segmentation_pipeline().fit(df)).transform(df).select("Customer_ID", "KMeans_Segment")
+
+
 @query("robust_scale", sql="""
 select Customer_ID, round((cast(Average_Cash_Back as double) - q[2]) / (q[3] - q[1]), 9) as Average_Cash_Back,
   round((cast(Loyalty_Engagement_Score as double) - r[2]) / (r[3] - r[1]), 9) as Loyalty_Engagement_Score

@@ -83,15 +83,6 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .option("timestampNTZFormat", TS_FORMAT).csv(path))
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
-                  partition_by: Sequence[str] = ()) -> None:
-    """Parquet between stages (the format the scans prune best)."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
 def save_model(model, path: str) -> None:
     """Spark ML persistence (pipelines and fitted models)."""
     model.write().overwrite().save(path)
@@ -102,16 +93,6 @@ def load_pipeline_model(path: str):
     return PipelineModel.load(path)
 
 
-def save_params(spark: SparkSession, params: dict, path: str) -> None:
-    """Small fitted parameters (medians, lambdas) as a one-row table."""
-    spark.createDataFrame([tuple(float(v) for v in params.values())],
-                          ", ".join(f"`{k}` double" for k in params)).write.mode("overwrite").parquet(path)
-
-
-def load_params(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 AUDIT_SCHEMA = ("user_email string, role string, organization_id string, action_type string, "
                 "page_name string, file_name string, details string, timestamp timestamp_ntz")
 

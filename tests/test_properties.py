@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from custspark.operators import basket, ranking, sampling
+from custspark.operators import basket, metrics, ranking, sampling
 from custspark.sources import adapters
 from custspark.sources.tables import Tables
 
@@ -20,11 +20,18 @@ def test_row_number_matches_window(spark):
     assert sorted(a.select("id", "rn").collect()) == sorted(b.select("id", "rn").collect())
 
 
-def test_running_sum_matches_window(spark):
-    df = spark.range(0, 300).select(F.col("id").alias("k"), (F.col("id") % 5).alias("v"))
-    a = ranking.running_sum_distributed(df, ["k"], ["v"], num_partitions=4)
-    b = df.withColumn("v_cum", F.sum("v").over(Window.orderBy("k")))
-    assert sorted(a.select("k", "v_cum").collect()) == sorted(b.select("k", "v_cum").collect())
+def test_auc_counts_every_pair(spark):
+    """Against all pairs: ties of scores, a score that a third of the rows share, null labels, one class only."""
+    rng = np.random.default_rng(5)
+    score = np.where(rng.random(600) < 0.33, 0.5, np.round(rng.random(600), 2))
+    label = (rng.random(600) < 0.2 + 0.5 * score).astype(float)
+    df = spark.createDataFrame([(float(s), float(y)) for s, y in zip(score, label)], "s double, y double").repartition(4)
+    pos, neg = score[label == 1], score[label == 0]
+    want = ((pos[:, None] > neg[None, :]) + 0.5 * (pos[:, None] == neg[None, :])).mean()
+    row = metrics.roc_auc(df, "y", "s").first()
+    assert abs(row["auc"] - want) < 1e-12 and (row["positives"], row["negatives"]) == (len(pos), len(neg))
+    alike = metrics.roc_auc(df.withColumn("s", F.lit(1.0)), "y", "s").first()
+    assert alike["auc"] == 0.5
 
 
 def test_split_disjoint_complete_stable(spark):
@@ -77,7 +84,8 @@ def test_quantiles_read_back_one_row_a_rank(spark):
     from custspark.operators import quantiles as q
     df = spark.range(200_000).selectExpr("cast(id % 4 = 0 as double) x")
     assert q.quantiles(df, ["x"], [0.25, 0.5, 0.75])["x"] == [0.0, 0.0, 0.25]
-    assert len(q.order_statistics(df, {"x": [0, 99_999, 150_000]})) == 3
+    summary = q.column_summary(df, ["x"])
+    assert q.order_statistics(df, {("x", r): (0.0, 1.0) for r in (0, 99_999, 150_000)}, summary) == {("x", 0): 0.0, ("x", 99_999): 0.0, ("x", 150_000): 1.0}
 
 
 def test_model_roundtrip_and_score_guard(spark, tmp_path):

@@ -24,6 +24,7 @@ PROBS = [0.0, 0.001, 0.25, 0.3333, 0.5, 0.75, 0.9999, 1.0]
 @pytest.mark.parametrize("accuracy", [10_000, 50])
 def test_equal_to_pandas(table, monkeypatch, accuracy):
     monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "SMALL", 1)
     pdf, df = table
     got = quantiles.quantiles(df, [*pdf.columns, "none"], PROBS)
     for c in pdf.columns:
@@ -43,22 +44,45 @@ def test_small_tables(spark):
         assert quantiles.quantiles(df, ["x"], [0.25, 0.5, 0.75])["x"] == want
 
 
-def test_a_wrong_bracket_is_mended(table, monkeypatch):
+def test_a_wrong_bracket_is_mended(table):
     pdf, df = table
-    monkeypatch.setattr(quantiles, "_brackets", lambda df, wanted: {p: (100.0, 101.0) for p in wanted})
-    assert quantiles.medians(df, ["normal"])["normal"] == pytest.approx(pdf["normal"].median(), rel=1e-12)
+    summary = quantiles.column_summary(df, ["normal", "few"])
+    want = np.sort(pdf["normal"].to_numpy())
+    got = quantiles.order_statistics(df, {("normal", 15_000): (100.0, 101.0), ("normal", 7): (-0.1, 0.1), ("few", 0): (0.0, 3.0)}, summary)
+    assert got == {("normal", 15_000): want[15_000], ("normal", 7): want[7], ("few", 0): 0.0}
 
 
 def test_only_the_bracket_is_shuffled(table, monkeypatch):
     """What is grouped by value is a small part of a continuous column."""
     _, df = table
+    monkeypatch.setattr(quantiles, "SMALL", 1)
     seen = []
     plain = F.explode
 
     def counted(col):
-        seen.append(df.select(plain(col)).count())
+        seen.append(df.select(plain(col)).count() if not seen else 0)
         return plain(col)
 
     monkeypatch.setattr(quantiles.F, "explode", counted)
     quantiles.medians(df, ["normal"])
     assert seen and seen[0] < 30_000 * 10 / quantiles.ACCURACY + 20
+
+
+def test_yeo_johnson_fit_is_at_least_as_good_as_a_fine_grid(spark):
+    from custspark.operators import features
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"right": rng.pareto(3.0, 4000) * 10, "normal": rng.standard_normal(4000), "left": -rng.gamma(2.0, 3.0, 4000), "flat": 2.0,
+                        "gaps": np.where(rng.random(4000) < 0.3, np.nan, rng.random(4000) ** 3)})
+    df = spark.createDataFrame(pdf).replace(float("nan"), None)
+    lam = features.fit_yeo_johnson(df, list(pdf.columns))
+
+    def likelihood(x, t):
+        with np.errstate(all="ignore"):
+            pos = np.log1p(x) if abs(t) < 1e-12 else ((x + 1) ** t - 1) / t
+            neg = -np.log1p(-x) if abs(2 - t) < 1e-12 else -((-x + 1) ** (2 - t) - 1) / (2 - t)
+            return -len(x) / 2 * np.log(np.where(x >= 0, pos, neg).var()) + (t - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+
+    assert lam["flat"] == 1.0
+    for c in ("right", "normal", "left", "gaps"):
+        x = pdf[c].dropna().to_numpy()
+        assert likelihood(x, lam[c]) >= max(likelihood(x, t) for t in np.linspace(-5, 5, 2001)) - 1e-4, c
