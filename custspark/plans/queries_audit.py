@@ -1,9 +1,13 @@
-"""Registered queries: audit log (L1-L3) and data-quality audit."""
+"""Registered queries: audit log (L1-L3), data-quality audit (P10-P13, P19) and the streams beside them."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import audit
-from ..sources import adapters
+from ..session import cut_lineage, scratch_path
+from ..sources import adapters, io
+from ..streaming import audit_stream, upload_stream
 from .catalog import query
 
 
@@ -78,3 +82,32 @@ def auto_preprocess(t):
     """Gaps filled (median / mode), duplicates dropped, lineage stamped."""
     data, _ = audit.auto_preprocess(adapters.churn(t), when="2024-01-01 00:00:00")
     return data
+
+
+@query("running_overview", sql="""
+select organization_id, count(*) as total_events, count(*) filter (where action_type = 'upload') as uploads,
+  count(*) filter (where action_type = 'download') as downloads, count(*) filter (where action_type = 'run_analysis') as analyses_run
+from a_audit where organization_id is not null group by 1""")
+def running_overview(t):
+    """L1/A15 as a stream: the log lands in two halves, and two runs of the query keep the counts of each organisation."""
+    base = scratch_path(t.spark, "overview")
+    events = adapters.audit_logs(t)
+    half = F.pmod(F.xxhash64("timestamp", "user_email"), F.lit(2))
+    for k in (0, 1):
+        io.write_json(events.where(half == k), f"{base}/landing/{k}")
+        stream = audit_stream.audit_events_stream(t.spark, f"{base}/landing/*")
+        upload_stream.start_overview(stream, f"{base}/table", f"{base}/checkpoint", lateness="10000 days").awaitTermination()
+    return upload_stream.read_overview(t.spark, f"{base}/table")
+
+
+@query("uploads_once", sql="select c_custkey, c_name, c_mktsegment from customer")
+def uploads_once(t):
+    """S9 as a stream: the customer file lands three times, before and after a restart, and is taken once."""
+    base = scratch_path(t.spark, "uploads")
+    rows = cut_lineage(t.customer.select("c_custkey", "c_name", "c_mktsegment"))
+    for names in (("first", "again"), ("later",)):
+        for name in names:
+            rows.write.csv(f"{base}/landing/{name}")
+        upload_stream.start_uploads(t.spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint",
+                                    "c_custkey long, c_name string, c_mktsegment string").awaitTermination()
+    return t.spark.read.parquet(f"{base}/table").drop("trigger")

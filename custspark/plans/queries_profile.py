@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import profile
+from ..operators import profile, sketches
+from ..session import cut_lineage, scratch_path
 from ..sources import adapters
 from . import customer360 as c360
 from .catalog import query, round_doubles
@@ -94,6 +95,23 @@ def entity_counts(t):
     return profile.entity_counts(lines, ["Order_ID", "Customer_ID", "Product_ID", "Department_ID"])
 
 
+@query("entity_sketches", sql=" union all ".join(
+    f"select '{c}' as subset, count(*) as \"rows\", true as within_bound from a_orders o join a_order_products op on o.Order_ID = op.Order_ID"
+    for c in ("Order_ID", "Customer_ID", "Product_ID", "Customer_ID+Product_ID")))
+def entity_sketches(t):
+    """Distinct counts from sketches kept by month of the order and merged, held against the exact counts."""
+    lines = cut_lineage(t.orders.select(F.col("o_orderkey").alias("Order_ID"), F.col("o_custkey").alias("Customer_ID"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+                        .join(adapters.order_items(t), "Order_ID"))
+    sets = [["Order_ID"], ["Customer_ID"], ["Product_ID"], ["Customer_ID", "Product_ID"]]
+    path = scratch_path(t.spark, "sketches")
+    sketches.keep(sketches.column_sketches(lines, sets, ["month"]), path, "month")
+    counts = sketches.merged_counts(sketches.kept(t.spark, path))
+    exact = lines.agg(*[F.count_distinct(*s).alias("+".join(s)) for s in sets])
+    exact = exact.select(F.explode(F.array(*[F.struct(F.lit("+".join(s)).alias("subset"), F.col("`" + "+".join(s) + "`").alias("exact")) for s in sets])).alias("e")).select("e.*")
+    within = F.abs(F.col("distinct_values") - F.col("exact")) <= F.lit(sketches.error_bound()) * F.col("exact")
+    return counts.join(exact, "subset").select("subset", "rows", within.alias("within_bound"))
+
+
 @query("duplicate_pairs", sql="""
 select 'all_columns' as subset, count(*) - (select count(*) from (select distinct * from a_order_products)) as duplicates from a_order_products
 union all select 'Order_ID', count(*) - count(distinct Order_ID) from a_order_products
