@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .bpe import codec
 from .common import create_file, keyed, materialize, open_file, scratch_path, text_buffers, text_steps, tidy
 
+#: Encoded bytes that a task reads (a larger file is one task's).
+READ_BYTES = 8 << 20
 MAGIC = b"PFORIDS1"
 BLOCK = 1024
 WIDTH_PERCENTILE = 90
@@ -264,8 +266,10 @@ def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][:len(cols)])
                 r.close()
 
-    # few rows, much work each: one file a task
-    return manifest.select("file", "start").repartitionByRange("file").mapInArrow(tidy(run), schema)
+    # few rows, much work each: the number of tasks follows the bytes to be read (a stated number is not merged again)
+    n_files, size = manifest.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    tasks = max(1, min(n_files, -(-(size or 0) // READ_BYTES)))
+    return manifest.select("file", "start").repartitionByRange(tasks, "file").mapInArrow(tidy(run), schema)
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, with_ids: bool = False,

@@ -26,6 +26,8 @@ from .common import create_file, materialize, open_file, scratch_path, text_buff
 
 #: Bytes of a file that one scan step reads.
 BLOCK_BYTES = 4 << 20
+#: Blocks that a task reads.
+BLOCKS_A_TASK = 4
 #: Tokens after which a task begins its next file.
 FILE_TOKENS = 1 << 28
 _ID = np.dtype("<u2")
@@ -39,6 +41,8 @@ def write_flat(docs: DataFrame, tokenizer: str, folder: str, end_id: int, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer, True)
+        if max(len(c.size) - 1, end_id) > np.iinfo(_ID).max:
+            raise ValueError(f"the vocabulary does not fit the ids of the files ({_ID.itemsize * 8} bits)")
         out, uri, tokens, docs_in = None, "", 0, 0
         for b in text_steps(batches, "text"):
             ids, at = c.encode(*text_buffers(b.column(1)))
@@ -77,8 +81,10 @@ def scan(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES) -> DataF
     per_block = block_bytes // _ID.itemsize
     blocks = (files.select("file").distinct().mapInArrow(tidy(sizes), "file string, tokens long")
               .select("file", "tokens", F.explode(F.sequence(
-                  F.lit(0), F.greatest(F.expr(f"(tokens + {per_block} - 1) div {per_block}") - 1, F.lit(0)))).alias("block"))
-              .repartitionByRange("file", "block"))
+                  F.lit(0), F.greatest(F.expr(f"(tokens + {per_block} - 1) div {per_block}") - 1, F.lit(0)))).alias("block")))
+    # few rows, much work each: the number of tasks is stated, so that they are not merged again
+    blocks = materialize(blocks, "flat-blocks")
+    blocks = blocks.repartitionByRange(max(1, -(-blocks.count() // BLOCKS_A_TASK)), "file", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

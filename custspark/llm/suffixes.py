@@ -4,7 +4,10 @@ Every task builds suffix arrays over the words of its shard of the training
 texts and looks up every suffix of the test items in them by binary search,
 one word deeper at a time.  A suffix that survives ``WINDOW`` words (or all
 words of a shorter item) occurs verbatim; the array's interval gives all
-its places.  Matches are then followed to their full length.
+its places.  Equal windows have one interval, which is worked on once, with the set of items that hold it,
+so neither a repeated window nor a prompt that many items share makes (suffix, place) pairs.  The full lengths of the matches
+come from one order of the items' suffixes and the hit stretches together.
+The arrays live in their task: a shard is a few megabytes of text, and only suffixes that begin with words of the items are sorted, as deep as a window.
 
 A suffix that begins with too few words of the test vocabulary cannot match
 and is left out of the array; that does not change what is found.
@@ -123,30 +126,119 @@ class SuffixArray:
         return t[some], lo[some], hi[some]
 
 
-def _matches(words: Words, hashes: np.ndarray, tests: Tests, window: int):
-    """``(test suffix, word position)`` of all occurrences of windows."""
-    ids = np.searchsorted(tests.vocabulary, hashes)
-    ids = np.where(tests.vocabulary[np.minimum(ids, len(tests.vocabulary) - 1)] == hashes, ids, -1)
+def _intervals(words: Words, ids: np.ndarray, tests: Tests, window: int):
+    """Occurring windows, each once: ``(places, at, width, window of each suffix, asked suffix)``.  Equal windows of items have one
+    interval of the array; ``places[at[i]:at[i] + width[i]]`` are the word positions of window ``i``."""
     array = SuffixArray(words, ids, window, tests.shortest)
     t, lo, hi = array.find(tests)
-    return np.repeat(t, hi - lo), array.at[gather(lo, hi - lo)], ids
-
-
-def _longest(words: Words, ids: np.ndarray, tests: Tests, t: np.ndarray, p: np.ndarray):
-    """Full lengths of the matches that cannot be extended to the left: ``(test suffix, position, words)``."""
-    first = words.first[words.doc[p]]
-    inner = (tests.left[np.maximum(t - 1, 0)] > tests.left[t]) & (t > 0) & (p > first)
-    inner &= ids[np.maximum(p - 1, 0)] == tests.ids[np.maximum(t - 1, 0)]
-    t, p = t[~inner], p[~inner]
-    length = tests.depth[t].astype(np.int64)
-    room = np.minimum(tests.left[t], words.first[words.doc[p] + 1] - p)
-    live = np.flatnonzero(length < room)
-    while len(live):
-        same = ids[p[live] + length[live]] == tests.ids[t[live] + length[live]]
-        live = live[same]
-        length[live] += 1
-        live = live[length[live] < room[live]]
-    return t, p, length
+    _, first, of = np.unique(lo * (window + 1) + tests.depth[t], return_index=True, return_inverse=True)
+    return array.at, lo[first], (hi - lo)[first], tests.depth[t][first], of, t
+
+
+def _item_sets(tests: Tests, of: np.ndarray, t: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """``(sets, set of each window)``: the different sets of items that hold a window."""
+    order = np.lexsort((tests.item[t], of))
+    window, item = of[order], tests.item[t][order]
+    new = np.ones(len(window), bool)
+    new[1:] = (window[1:] != window[:-1]) | (item[1:] != item[:-1])
+    window, item = window[new], item[new]
+    cuts = np.flatnonzero(np.diff(window)) + 1
+    known: dict[bytes, int] = {}
+    sets: list[np.ndarray] = []
+    number = []
+    for items in np.split(item, cuts):
+        k = items.tobytes()
+        if k not in known:
+            known[k] = len(sets)
+            sets.append(items)
+        number.append(known[k])
+    return sets, np.array(number, np.int64)
+
+
+class Joint:
+    """Suffixes of the test items and of the hit stretches of a shard in one order, by prefix doubling; common prefixes from its ranks."""
+
+    def __init__(self, ids: np.ndarray, left: np.ndarray):
+        """``left``: words from each place to the end of its sequence."""
+        n = len(ids)
+        at = np.arange(n)
+        self.left = left
+        self.ranks = [np.unique(ids, return_inverse=True)[1].astype(np.int64)]
+        span = 1
+        while span < (left.max() if n else 0):
+            low = self.ranks[-1]
+            nxt = np.where(left > span, low[np.minimum(at + span, n - 1)] + 1, 0)
+            self.ranks.append(np.unique(low * (n + 2) + nxt, return_inverse=True)[1].astype(np.int64))
+            span *= 2
+        self.order = np.argsort(self.ranks[-1], kind="stable")
+        self.place = np.empty(n, np.int64)
+        self.place[self.order] = at
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Words that the suffixes at a and b have in common at their beginning."""
+        most = np.minimum(self.left[a], self.left[b])
+        done = np.zeros(len(a), np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            go = np.flatnonzero(done < most)
+            same = self.ranks[k][a[go] + done[go]] == self.ranks[k][b[go] + done[go]]
+            done[go[same]] += 1 << k
+            np.minimum(done, most, out=done)
+        return done
+
+
+def _longest(words: Words, ids: np.ndarray, tests: Tests, window: int, places, at, width, depth, of, t) -> Iterator[tuple[int, int, int, str]]:
+    """``(row, words, place, item)``: the longest match of each hit row, the first of equally long ones, and the least item that holds it."""
+    # what each hit place matches at least: the deepest window there
+    spread = np.repeat(np.arange(len(at)), width)
+    p = places[gather(at, width)]
+    order = np.lexsort((depth[spread], p))
+    last = np.ones(len(p), bool)
+    last[:-1] = p[order][1:] != p[order][:-1]
+    p, held = p[order][last], spread[order][last]
+    length = depth[held].astype(np.int64)
+    full = np.flatnonzero(length == window)  # shorter matches are whole items and go no further
+    if len(full):
+        # the stretches of test words that hold full matches, and the items, in one sequence
+        ends = np.unique(np.concatenate([np.flatnonzero(ids < 0), words.first[1:]]))  # a sequence ends before an unknown word, or with its row
+        to = ends[np.searchsorted(ends, p[full], side="right")]
+        begin, where = np.unique(to, return_inverse=True)
+        least = np.full(len(begin), len(ids), np.int64)
+        np.minimum.at(least, where, p[full])
+        size = begin - least
+        base = len(tests.ids) + np.cumsum(size) - size
+        joint = Joint(np.concatenate([tests.ids, ids[gather(least, size)]]),
+                      np.concatenate([tests.left, np.repeat(begin, size) - gather(least, size)]))
+        mine = base[where] + p[full] - least[where]
+        # the nearest test suffixes before and behind in the order
+        test = joint.order < len(tests.ids)
+        before = np.maximum.accumulate(np.where(test, np.arange(len(test)), -1))
+        behind = np.minimum.accumulate(np.where(test, np.arange(len(test)), len(test))[::-1])[::-1]
+        for near in (before[joint.place[mine]], behind[joint.place[mine]]):
+            ok = np.flatnonzero((near >= 0) & (near < len(test)))
+            length[full[ok]] = np.maximum(length[full[ok]], joint.common(mine[ok], joint.order[near[ok]]))
+        tests_in_order = np.flatnonzero(test)
+    row = words.doc[p]
+    order = np.lexsort((p, -length, row))
+    first = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])] if len(order) else order
+    in_full = np.full(len(p), -1, np.int64)
+    in_full[full] = np.arange(len(full))
+    for i in first.tolist():
+        if in_full[i] >= 0:
+            # all test suffixes with the match in common stand next to each other
+            x = int(mine[in_full[i]])
+            k = int(np.searchsorted(tests_in_order, joint.place[x]))
+            items: set[int] = set()
+            for side in (tests_in_order[k:], tests_in_order[:k][::-1]):
+                for s in range(0, len(side), 256):
+                    suffix = joint.order[side[s:s + 256]]
+                    same = joint.common(np.full(len(suffix), x), suffix) >= length[i]
+                    stop_at = len(same) if same.all() else int(np.argmin(same))
+                    items.update(tests.item[suffix[:stop_at]].tolist())
+                    if stop_at < len(same):
+                        break
+        else:
+            items = set(tests.item[t[of == held[i]]].tolist())
+        yield int(row[i]), int(length[i]), int(p[i]), min(min(tests.names[j]) for j in items)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
@@ -216,16 +308,24 @@ def examine(texts: pa.Array, blocks: _Blocks):
     for tests in blocks:
         if not len(tests.asked) or not len(hashes):
             continue
-        t, p, ids = _matches(words, hashes, tests, blocks.window)
+        ids = np.searchsorted(tests.vocabulary, hashes)
+        ids = np.where(tests.vocabulary[np.minimum(ids, len(tests.vocabulary) - 1)] == hashes, ids, -1)
+        found = _intervals(words, ids, tests, blocks.window)
+        places, at, width, depth, of, t = found
+        if not len(at):
+            continue
+        p, held = places[gather(at, width)], np.repeat(np.arange(len(at)), width)
         np.add.at(edge, p, 1)
-        np.add.at(edge, p + tests.depth[t], -1)
-        for doc, item in np.unique(np.stack([words.doc[p], tests.item[t]]), axis=1).T.tolist():
-            named[doc].update(tests.names[item])
-        for tt, pp, n in zip(*(x.tolist() for x in _longest(words, ids, tests, t, p))):
-            doc = int(words.doc[pp])
-            found = (n, int(words.first[doc]) - pp, min(tests.names[int(tests.item[tt])]))
-            if found[:2] > best[doc][:2] or (found[:2] == best[doc][:2] and found[2] < best[doc][2]):
-                best[doc] = found
+        np.add.at(edge, p + depth[held], -1)
+        sets, number = _item_sets(tests, of, t)
+        both = np.unique(words.doc[p] * np.int64(len(sets)) + number[held])
+        for doc, k in zip((both // len(sets)).tolist(), (both % len(sets)).tolist()):
+            for item in sets[k].tolist():
+                named[doc].update(tests.names[item])
+        for doc, n, pp, item in _longest(words, ids, tests, blocks.window, *found):
+            match = (n, int(words.first[doc]) - pp, item)
+            if match[:2] > best[doc][:2] or (match[:2] == best[doc][:2] and match[2] < best[doc][2]):
+                best[doc] = match
     hit = np.cumsum(edge[:-1]) > 0
     sums = np.concatenate([[0], np.cumsum(hit)])
     return words, hit, sums[words.first[1:]] - sums[words.first[:-1]], named, best

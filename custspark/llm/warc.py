@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import create_file, materialize, open_file, scratch_path, tidy
 
 REVISIT_BYTES = 100
+#: Bytes of records that a task reads, about.
+TASK_BYTES = 16 << 20
 #: Ranges at most this far apart are read in one go, up to READ_BYTES.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
@@ -156,8 +158,10 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
         if handle is not None:
             handle.close()
 
-    stretch = F.floor(F.col("offset") / F.lit(4 * READ_BYTES))
-    return (index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    # stretches of a file, dealt to as many tasks as the bytes ask for (a stated number is not merged again)
+    stretch = F.floor(F.col("offset") / F.lit(READ_BYTES))
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    return (index.select("file", "offset", "length").repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
             .mapInArrow(tidy(run), schema))
 
 

@@ -447,3 +447,35 @@ def test_equal_hashes_are_told_apart_by_bytes(tok, monkeypatch):
     ids, at = c.encode(*text_buffers(pa.array(texts)))
     for i, t in enumerate(texts):
         assert ids[at[i]:at[i + 1]].tolist() == ids_of(tok, t)
+
+
+def test_repeated_windows_make_no_pairs():
+    """An item and a text of one word, over and over: bounded time and memory."""
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from custspark.llm import suffixes
+    blocks = suffixes._Blocks("", 10)
+    blocks.kept = [suffixes.Tests([("i", "a " * 2000), ("j", "a " * 1999 + "b")], 10)]
+    tracemalloc.start()
+    begun = time.time()
+    words, hit, n_hit, named, best = suffixes.examine(pa.array(["a " * 20_000, "a " * 300 + "b c", "x"]), blocks)
+    assert time.time() - begun < 20 and tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert n_hit.tolist() == [20_000, 301, 0] and [sorted(x) for x in named] == [["i", "j"], ["i", "j"], []]
+    assert [x[0] for x in best] == [2000, 301, 0] and best[0][1:] == (0, "i") and best[1][2] == "j"
+
+
+def test_a_prompt_that_many_items_share(spark, monkeypatch):
+    """Ten thousand items begin alike; several blocks of items."""
+    from custspark.llm import suffixes
+    prompt = " ".join(f"p{i}" for i in range(25))
+    items = spark.range(10_000).selectExpr("concat('i', id) as item_id", f"concat('{prompt} own', id, ' tail', id) as text")
+    docs = spark.createDataFrame([(1, f"x {prompt} y"), (2, f"{prompt} own7 tail7 z"), (3, "p1 p2 p3")], "doc_id long, text string")
+    for size in (suffixes.BLOCK_BYTES, 100_000):
+        monkeypatch.setattr(suffixes, "BLOCK_BYTES", size)
+        got = {r.doc_id: r for r in suffixes.contamination(docs, items).collect()}
+        assert [got[d].n_hit for d in (1, 2, 3)] == [25, 27, 0] and [len(got[d]["items"]) for d in (1, 2, 3)] == [10_000, 10_000, 0]
+        assert (got[1].longest, got[1].longest_at, got[1].longest_item) == (25, 1, "i0") and (got[2].longest, got[2].longest_item) == (27, "i7")
