@@ -141,7 +141,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             out.append(np.cumprod(p, dtype=np.uint64))
         have = tuple(out)
-        if size <= 1 << 20:  # larger tables serve one long text
+        if size <= 1 << 21:  # larger tables serve one long text
             st[("powers", base)] = have
     return have[0][:n], have[1][:n]
 

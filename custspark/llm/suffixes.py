@@ -36,7 +36,7 @@ WINDOW = 10
 #: Text bytes of the items of one block.
 BLOCK_BYTES = 4 << 20
 #: Text bytes of one suffix array.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = (2 << 20) - 1
 
 
 class Tests:
@@ -199,7 +199,9 @@ def _longest(words: Words, ids: np.ndarray, tests: Tests, window: int, places, a
     full = np.flatnonzero(length == window)  # shorter matches are whole items and go no further
     if len(full):
         # the stretches of test words that hold full matches, and the items, in one sequence
-        ends = np.unique(np.concatenate([np.flatnonzero(ids < 0), words.first[1:]]))  # a sequence ends before an unknown word, or with its row
+        stop = np.append(ids < 0, True)  # a sequence ends before an unknown word, or with its row
+        stop[words.first[1:]] = True
+        ends = np.flatnonzero(stop)
         to = ends[np.searchsorted(ends, p[full], side="right")]
         begin, where = np.unique(to, return_inverse=True)
         least = np.full(len(begin), len(ids), np.int64)
