@@ -218,14 +218,21 @@ def whole_rows(words: Words, k: int) -> np.ndarray:
 
 # --- files of the shared folder ----------------------------------------------
 
+#: Hadoop's names of stores that Arrow knows by others.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def filesystem(uri: str):
     """``(pyarrow file system, path)`` of a Spark path (``file:/x``, ``/x``, ``hdfs://...``)."""
     from pyarrow import fs
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if uri.startswith("dbfs:"):  # mounted on every machine
+        return fs.LocalFileSystem(), "/dbfs/" + uri[5:].lstrip("/")
     if "://" not in uri:
         return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    scheme, rest = uri.split("://", 1)
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def create_file(folder: str, name: str):

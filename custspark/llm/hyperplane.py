@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import gather, materialize, to_int64, worker_state, tidy
 from .components import Union, components
@@ -75,10 +76,12 @@ def sign_codes(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
                     v = flat[gather(off[which], dims[which])].reshape(len(which), d)
                     side = v / np.abs(v).max(axis=1, keepdims=True) @ _planes(d, bits, tables) >= 0
                     codes[which] = side.reshape(len(which), tables, bits) @ weight
+                kind = pa.int32() if bits < 32 else pa.int64()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2),
-                                                  pa.array(list(codes), pa.list_(pa.int64()))], ["node", "n", "vector", "codes"])
+                                                  pa.array(list(codes.astype(kind.to_pandas_dtype())), pa.list_(kind))], ["node", "n", "vector", "codes"])
 
-    return nodes.mapInArrow(tidy(run), "node long, n long, vector array<double>, codes array<long>")
+    vector = nodes.schema["vector"].dataType.simpleString()
+    return nodes.mapInArrow(tidy(run), f"node long, n long, vector {vector}, codes array<{'int' if bits < 32 else 'long'}>")
 
 
 def _pairs(bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -144,11 +147,13 @@ def _compare(table, side, node, n, vec, off, codes, bounds, threshold):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float = RECALL, id_col: str = "vec_id",
                     vector_col: str = "embedding") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row."""
-    vector = F.col(vector_col).cast("array<double>")
+    given = vectors.schema[vector_col].dataType
+    single = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType)
+    vector = F.col(vector_col).cast("array<float>" if single else "array<double>")  # as narrow as they come; compared as doubles
     usable = (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(
         vector, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"),
-                          F.when(F.coalesce(usable, F.lit(False)), F.transform(vector, lambda x: x + 0.0)).alias("vector"))
+                          F.when(F.coalesce(usable, F.lit(False)), F.transform(vector, lambda x: F.when(x == 0, F.lit(0.0).cast("float" if single else "double")).otherwise(x))).alias("vector"))
     rows = rows.withColumn("node", F.xxhash64("vector", F.size("vector")))
     rows = rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.col("node")))
     nodes = materialize(rows.where(F.col("node").isNotNull()).groupBy("node")
