@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import gather, span_hashes, text_buffers, text_column, text_steps, worker_state, tidy
 
 #: Pieces kept by a worker (a bound on memory, not on results).
-CACHE_PIECES = 200_000
+CACHE_PIECES = 800_000
 #: Longer pieces are encoded anew in every step.
 CACHE_PIECE_BYTES = 48
 
@@ -79,6 +79,7 @@ class Codec:
         white = (left <= 0x20) | (left == 0x7F)
         self.cut = ~inside & ~white & ((right < 0x80) | (right >= 0xC0)) & (right != 0x27)
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.shown = {b: c for c, b in alphabet.items()}
         tokens = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.size = np.array([len(t) for t in tokens], np.int64)
@@ -133,9 +134,13 @@ class Codec:
         for i in _differ(data, start, end - start, start[first][inverse], (end - start)[first][inverse]).tolist():
             inverse[i] = len(pieces)
             pieces.append(raw[start[i]:end[i]])
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        cache = self.cache
+        # two generations: what was met since the last change of generation lives on
+        if len(self.cache) > CACHE_PIECES // 2:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        for p in pieces:
+            if p not in cache and p in older:
+                cache[p] = older[p]
         self._encode_pieces([p for p in pieces if p not in cache])
         got = [cache[p] for p in pieces]
         for p in pieces:
