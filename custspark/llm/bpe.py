@@ -107,21 +107,23 @@ class Codec:
         mark[offsets] = True
         return np.flatnonzero(mark)
 
-    def _encode_pieces(self, pieces: list[bytes]) -> None:
-        """Put the ids of new pieces into the cache."""
-        rest = []
-        for p in pieces:
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces that are not in the cache."""
+        out: list[bytes] = [b""] * len(pieces)
+        rest: list[tuple[int, str]] = []
+        tokenize, shown = self.tok.model.tokenize, self.shown
+        for i, p in enumerate(pieces):
             t = p.decode()
             word = t[1:] if t[:1] == " " else t
-            if word.isalpha() and max(word) < "\u0250":  # one pre-token by itself: the merges alone decide
-                ids = [x.id for x in self.tok.model.tokenize(p.decode("latin-1").translate(self.shown))]
-                self.cache[p] = array("I", ids).tobytes()
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):  # one pre-token by itself: the merges alone decide
+                out[i] = array("I", [x.id for x in tokenize(p.decode("latin-1").translate(shown))]).tobytes()
             else:
-                rest.append((p, t))
-        for i in range(0, len(rest), 4096):
-            part = rest[i:i + 4096]
-            for (p, _), e in zip(part, self.tok.encode_batch_fast([t for _, t in part], add_special_tokens=False)):
-                self.cache[p] = array("I", e.ids).tobytes()
+                rest.append((i, t))
+        for at in range(0, len(rest), 4096):
+            part = rest[at:at + 4096]
+            for (i, _), e in zip(part, self.tok.encode_batch_fast([t for _, t in part], add_special_tokens=False)):
+                out[i] = array("I", e.ids).tobytes()
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, row offsets)`` of the texts between the given byte offsets."""
@@ -138,14 +140,19 @@ class Codec:
         if len(self.cache) > CACHE_PIECES // 2:
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
-        for p in pieces:
-            if p not in cache and p in older:
-                cache[p] = older[p]
-        self._encode_pieces([p for p in pieces if p not in cache])
-        got = [cache[p] for p in pieces]
-        for p in pieces:
-            if len(p) > CACHE_PIECE_BYTES:
-                cache.pop(p, None)
+        got = [cache.get(p) for p in pieces]
+        new: list[int] = []
+        for i, x in enumerate(got):
+            if x is None:
+                p = pieces[i]
+                if p in older:
+                    got[i] = cache[p] = older[p]
+                else:
+                    new.append(i)
+        for i, x in zip(new, self._encode_pieces([pieces[i] for i in new])):
+            got[i] = x
+            if len(pieces[i]) <= CACHE_PIECE_BYTES:
+                cache[pieces[i]] = x
         size = np.array([len(x) for x in got], np.int64) // 4
         flat = np.frombuffer(b"".join(got), "<u4")
         lengths = size[inverse]
