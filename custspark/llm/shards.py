@@ -1,8 +1,9 @@
 """Sharding by sampled splitters (operator 5), DataFrame functions only.
 
 Law ``bytes``: shards of nearly equal size.  Records are ordered by (CRC of
-the text, id, row), so equal texts are neighbours and share a shard unless
-a shard boundary falls among them.
+the text, id, row), so equal texts are neighbours.  A group of them that a
+shard boundary would cut goes whole to the shard it begins in, unless it
+holds more than ``1 / GROUP_PART`` of a shard's share.
 
 1. Keys are sampled with a chance that grows with the record's size (half
    of the weight is shared out by rows, so that very many tiny records
@@ -13,9 +14,11 @@ a shard boundary falls among them.
 4. Bytes and rows before each range are running totals over the short
    table of ranges, those within a range come from a window over it.  A
    record's shard is the sixteenth its first byte falls in, so a shard
-   exceeds its share by less than one record.
+   exceeds its share by less than one record and one small group.
 
-A null text has size 1 (no bytes plus 1); null ids sort first.
+A null text has size 1 (no bytes plus 1); null ids sort first.  Repeated rows
+are records of their own, texts of any length go by their bytes, further
+columns take no part, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ SAMPLE = 8192
 RANGES = 256
 #: A range may hold this many times its share of rows or bytes.
 OVERFULL = 4
+#: Groups of equal texts up to this part of a shard's share stay together.
+GROUP_PART = 16
 _COARSE = 16
 _SALT = 7919
 
@@ -104,6 +109,14 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
                       .cast("int").alias("shard"),
                       (F.col("rows_before") + F.col("nth") - 1).alias("place")))
     placed = materialize(placed, "shards")
+    # a boundary cuts one group at most, so this table has fewer rows than there are shards
+    cut = placed.groupBy("shard").agg(F.min_by("text_crc32", "place").alias("first"), F.max_by("text_crc32", "place").alias("last"))
+    cut = cut.alias("a").join(cut.alias("b"), F.col("a.last") == F.col("b.first")).where(F.col("a.shard") < F.col("b.shard"))
+    groups = (placed.join(cut.select(F.col("a.last").alias("text_crc32")).distinct(), "text_crc32")
+              .groupBy("text_crc32").agg(F.sum("size").alias("bytes"), F.min("shard").alias("begins"))
+              .where(F.col("bytes") * (shards * GROUP_PART) <= total))
+    placed = (placed.join(groups.select("text_crc32", "begins"), "text_crc32", "left")
+              .withColumn("shard", F.coalesce("begins", "shard")).drop("begins"))
     firsts = placed.groupBy("shard").agg(F.min("place").alias("first"))  # one row a shard
     return placed.join(firsts, "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("first")).alias("slot"),
