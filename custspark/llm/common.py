@@ -253,6 +253,17 @@ def text_column(df: DataFrame, text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be no column of ``df``."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """``(doc_id, key, text, *more)``: a row is known by its id and a hash of its
     text, so ids that are null or stand in several rows do no harm."""

@@ -21,7 +21,11 @@ hashed window by window, which finds the windows that only part of two
 stretches share.
 
 Null and empty texts have no words.  A text equal to another repeats all
-its windows; texts shorter than a window have none and stay whole.
+its windows; texts shorter than a window have none and stay whole.  A row is
+known by its id and a 64-bit hash of its text, so ids may be null or repeat:
+rows that agree in both have the same windows.  A very long text is a step of
+its own.  Further columns take no part, whatever their names, and ``replace``
+hands them on; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (tidy, Words, _mix, gather, keyed, materialize, space_class, spans, text_buffers, text_steps, to_int64,
-                     whole_rows, windows)
+from .common import (tidy, Words, _mix, gather, keyed, materialize, space_class, spans, text_buffers, text_column,
+                     text_steps, to_int64, unused_names, whole_rows, windows)
 
 WINDOW = 35
 GRAM = 12
@@ -76,10 +80,8 @@ def _cell(anchor: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, tag, text)``: the tag tells rows of one id apart; a null id gives way to the text's hash."""
-    k = keyed(docs, id_col, text_col)
-    tag = F.pmod("key", F.lit(1 << 20)) * 2 + F.col("doc_id").isNull().cast("long")
-    return k.select(F.coalesce("doc_id", "key").alias("id"), tag.cast("int").alias("tag"), "text")
+    """``(id, key, text)``: the hash of the text tells rows of one id, or of none, apart."""
+    return keyed(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(0)).alias("id"), "key", "text")
 
 
 def sketch(rows: DataFrame, bits: int, window: int, gram: int) -> DataFrame:
@@ -101,11 +103,11 @@ def sketch(rows: DataFrame, bits: int, window: int, gram: int) -> DataFrame:
             .where(F.col("n") > 1).select("cell"))
 
 
-_N, _TAG = 1 << 8, 1 << 21  # a place packs first word, tag of the row and windows of the run
+_N = 1 << 8  # a place packs the first word of a run and its windows
 
 
 def _runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """``(anchor, stretch, id, place)`` of every run of windows that have one anchor."""
+    """``(anchor, stretch, id, key, place)`` of every run of windows that have one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_steps(batches, "text"):
@@ -113,15 +115,16 @@ def _runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
             h = words.hashes()
             anchor, first, n = anchors(words, h, window, gram)
             doc = words.doc[first] if len(first) else first
-            place = ((first - words.first[doc]) * _TAG + b.column(1).to_numpy().astype(np.int64)[doc]) * _N + n
-            yield pa.RecordBatch.from_arrays([to_int64(_mix(anchor)), to_int64(spans(h, first, n + window - 1)),
-                                              b.column(0).take(pa.array(doc)), pa.array(place)], ["anchor", "stretch", "id", "place"])
+            row = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [to_int64(_mix(anchor)), to_int64(spans(h, first, n + window - 1)), b.column(0).take(row), b.column(1).take(row),
+                 pa.array((first - words.first[doc]) * _N + n)], ["anchor", "stretch", "id", "key", "place"])
 
-    return rows.mapInArrow(tidy(run), "anchor long, stretch long, id long, place long")
+    return rows.mapInArrow(tidy(run), "anchor long, stretch long, id long, key long, place long")
 
 
 def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
-    """``(anchor, h, id, place, single)`` of all windows of the given runs; ``place`` as of a run with one window."""
+    """``(anchor, h, id, key, place, single)`` of all windows of the given runs; ``place`` as of a run with one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_steps(batches, "text"):
@@ -133,22 +136,21 @@ def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
             flat = b.column(3).flatten()
             doc = np.repeat(np.arange(b.num_rows), np.diff(off))
             place = flat.field(1).to_numpy().astype(np.int64)
-            n, first = place % _N, place // _N // _TAG
+            n, first = place % _N, place // _N
             at = gather(first, n)
             of = np.repeat(np.arange(len(n)), n)
             value = windows(_mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), window)[at + words.first[doc][of]]
             row = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [flat.field(0).take(row), to_int64(value), b.column(0).take(pa.array(doc[of])),
-                 pa.array((at * _TAG + (place // _N % _TAG)[of]) * _N + 1), flat.field(2).take(row)],
-                ["anchor", "h", "id", "place", "single"])
+                [flat.field(0).take(row), to_int64(value), b.column(0).take(pa.array(doc[of])), b.column(1).take(pa.array(doc[of])),
+                 pa.array(at * _N + 1), flat.field(2).take(row)], ["anchor", "h", "id", "key", "place", "single"])
 
-    return texts.mapInArrow(tidy(run), "anchor long, h long, id long, place long, single boolean")
+    return texts.mapInArrow(tidy(run), "anchor long, h long, id long, key long, place long, single boolean")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """``(id, tag, runs)``: the runs ``(first, n)`` of repeated windows of each row that has some."""
+    """``(id, key, runs)``: the runs ``(first, n)`` of repeated windows of each row that has some."""
     if window - gram + 1 >= _N:
         raise ValueError(f"a window may hold {_N - 1} grams at most")
     rows = _rows(docs, id_col, text_col)
@@ -158,21 +160,20 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id
     cells = materialize(sketch(rows, bits, window, gram), "repeated-cells")
     runs = materialize(_runs(rows, window, gram).join(
         cells, F.shiftrightunsigned("anchor", 64 - bits) == F.col("cell"), "left_semi"), "candidate-runs")
-    stretches = materialize(runs.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "place")).alias("one")),
+    stretches = materialize(runs.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "key", "place")).alias("one")),
                             "stretches")
     mixed = stretches.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("anchor")
     # one run of each stretch of those anchors, hashed window by window
-    tag = F.expr(f"cast(place div {_N} % {_TAG} as int)")
     wanted = (stretches.join(mixed, "anchor", "left_semi")
-              .select("anchor", F.col("one.id").alias("id"), F.col("one.place").alias("place"), (F.col("c") == 1).alias("single"))
-              .groupBy("id", tag.alias("tag")).agg(F.collect_list(F.struct("anchor", "place", "single")).alias("runs")))
-    hashed = materialize(_window_hashes(rows.join(wanted, ["id", "tag"]), window), "candidate-windows")
+              .select("anchor", "one.id", "one.key", "one.place", (F.col("c") == 1).alias("single"))
+              .groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "place", "single")).alias("runs")))
+    hashed = materialize(_window_hashes(rows.join(wanted, ["id", "key"]), window), "candidate-windows")
     shared = hashed.groupBy("anchor", "h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("anchor", "h")
     shared = materialize(shared, "shared-windows")
-    edges = hashed.where("single").join(shared, ["anchor", "h"], "left_semi").select("id", "place")
-    whole = runs.join(stretches.where(F.col("c") > 1).select("anchor", "stretch"), ["anchor", "stretch"], "left_semi").select("id", "place")
-    return (whole.union(edges).groupBy("id", tag.alias("tag"))
-            .agg(F.collect_list(F.struct(F.expr(f"place div {_N} div {_TAG}").alias("first"), (F.col("place") % _N).alias("n"))).alias("runs")))
+    edges = hashed.where("single").join(shared, ["anchor", "h"], "left_semi").select("id", "key", "place")
+    whole = runs.join(stretches.where(F.col("c") > 1).select("anchor", "stretch"), ["anchor", "stretch"], "left_semi").select("id", "key", "place")
+    return (whole.union(edges).groupBy("id", "key")
+            .agg(F.collect_list(F.struct(F.expr(f"place div {_N}").alias("first"), (F.col("place") % _N).alias("n"))).alias("runs")))
 
 
 def _kept(words: Words, runs: pa.Array, window: int) -> np.ndarray:
@@ -190,26 +191,23 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col:
     """``(doc_id, n_words, n_removed, kept)`` of every row; ``kept`` is the kept words joined by one space.  With
     ``replace`` the rows of ``docs`` as they are, but for the texts that lost words, which become ``kept``."""
     found = repeated_windows(docs, window, gram, id_col, text_col)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.xxhash64(text)
-    own: Column = F.coalesce(F.col(id_col).cast("long"), key)
-    tag = (F.pmod(key, F.lit(1 << 20)) * 2 + F.col(id_col).isNull().cast("long")).cast("int")
-    joined = docs.withColumns({"__id": own, "__tag": tag, "__text": text}).join(
-        found.toDF("__fid", "__ftag", "__runs"), (F.col("__id") == F.col("__fid")) & (F.col("__tag") == F.col("__ftag")), "left")
-    none = F.array().cast("array<struct<first:long,n:long>>")
-    joined = joined.withColumn("__runs", F.coalesce("__runs", none)).drop("__id", "__tag", "__fid", "__ftag")
+    own, key, whole_text, marks, own_found, key_found = unused_names(docs, "__id", "__key", "__text", "__runs", "__fid", "__fkey")
+    text = text_column(docs, text_col)
+    joined = docs.withColumns({own: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), key: F.xxhash64(text), whole_text: text}).join(
+        found.toDF(own_found, key_found, marks), (F.col(own) == F.col(own_found)) & (F.col(key) == F.col(key_found)), "left")
+    joined = joined.withColumn(marks, F.coalesce(marks, F.array().cast("array<struct<first:long,n:long>>")))
     if replace:
         names, schema = docs.columns, docs.schema
-        given = joined.select(*docs.columns, "__text", "__runs")
+        given = joined.select(*docs.columns, whole_text, marks)
     else:
         names, schema = [], "doc_id long, n_words long, n_removed long, kept string"
-        given = joined.select(F.col(id_col).cast("long").alias("doc_id"), "__text", "__runs")
+        given = joined.select(F.col(id_col).cast("long").alias("doc_id"), whole_text, marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_steps(batches, "__text"):
-            col = b.column(b.schema.get_field_index("__text"))
+        for b in text_steps(batches, whole_text):
+            col = b.column(b.schema.get_field_index(whole_text))
             words = Words(*text_buffers(col), space_class())
-            stays = _kept(words, b.column(b.schema.get_field_index("__runs")), window)
+            stays = _kept(words, b.column(b.schema.get_field_index(marks)), window)
             sums = np.concatenate([[0], np.cumsum(~stays)])
             removed = sums[words.first[1:]] - sums[words.first[:-1]]
             raw = words.data.tobytes()
