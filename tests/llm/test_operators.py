@@ -169,6 +169,30 @@ def test_jaccard_link_counts(spark, docs, rows, monkeypatch):
     assert max(n for _, n in want) > 16 and got(out, "doc_id", "n_links") == want
 
 
+def test_voronoi_cells_of_a_large_class(spark, monkeypatch):
+    """A long chain of linked texts is divided over several rounds; links and classes stay whole."""
+    rows = [(i, " ".join(f"w{j}" for j in range(3 * i, 3 * i + 120))) for i in range(500)]
+    rows += [(1200 + i, r[1]) for i, r in enumerate(rows[:3])] + [(999, "alone"), (None, rows[70][1].upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = []
+    divide = jaccard.voronoi_cells
+
+    def watched(*args):
+        out = divide(*args)
+        made.append({(r.cell, r.node, r.mine) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(jaccard, "BLOCK", 24)
+    monkeypatch.setattr(jaccard, "voronoi_cells", watched)
+    out = got(jaccard.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "n_links")
+    links = brute_links(rows)
+    assert out == Counter((*b, n) for b, (_, n) in zip(brute_jaccard(rows), links))
+    assert jaccard.keep_first(docs).count() == 2
+    for cells in made:
+        assert len({c for c, *_ in cells}) > 8 and max(Counter(c for c, *_ in cells).values()) < 250
+        assert Counter(n for _, n, mine in cells if mine) == Counter({n for _, n, _ in cells})
+
+
 def test_count_links_beyond_a_leaf():
     """Cells and blocks find all links, and two sets of a block that is not at home count elsewhere."""
     rng = np.random.default_rng(6)
@@ -241,6 +265,38 @@ def test_substring_replaces_texts(docs, rows):
     assert out.columns == docs.columns and got(out, "doc_id", "text") == want
 
 
+def test_rows_of_one_id_and_clashing_columns(spark):
+    """Texts of one id keep their own runs; columns with the operators' own names pass through."""
+    text = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("b")), (None, text("a") + " end"), (None, text("c")), (0, text("c", 40)), (0, text("d")), (2, None)]
+    names = ("__id", "__key", "__text", "__RUNS", "__row", "key", "node")
+    docs = spark.createDataFrame([(*r, *[f"{n}{i}" for n in names]) for i, r in enumerate(rows)],
+                                 "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    want = brute_windows(rows, 35)
+    assert got(substring.deduplicate(docs), "doc_id", "n_words", "n_removed", "kept") == Counter(want)
+    replaced = substring.deduplicate(docs, replace=True)
+    assert replaced.columns == docs.columns
+    assert got(replaced, "__row", "text") == Counter((f"__row{i}", r[1] if not n else kept) for i, (r, (_, _, n, kept)) in enumerate(zip(rows, want)))
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns and {r["__row"] for r in kept.collect()} == {f"__row{i}" for i in (0, 1, 3, 4, 5, 6)}
+
+
+def test_shards_keep_small_groups_together(spark):
+    """A group of equal texts of less than a sixteenth of a share is never cut, a larger one may be."""
+    rows = [(i, f"text {i // 5} " + "x" * 40) for i in range(4000)] + [(5000 + i, "hot") for i in range(40_000)]
+    out = shards.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    text = dict(rows)
+    where = {}
+    for r in out:
+        where.setdefault(text[r.doc_id], set()).add(r["shard"])
+    assert len(where.pop("hot")) > 1 and all(len(s) == 1 for s in where.values())
+    share = sum(r.size for r in out) / 8
+    for s in range(8):
+        own = [r for r in out if r["shard"] == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r.size for r in own) - share) <= share / 8
+
+
 def test_shards(docs, rows, empty):
     out = shards.shard(docs, 4).collect()
     size = lambda t: len((t or "").encode()) + 1
