@@ -112,10 +112,10 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     # a boundary cuts one group at most, so this table has fewer rows than there are shards
     cut = placed.groupBy("shard").agg(F.min_by("text_crc32", "place").alias("first"), F.max_by("text_crc32", "place").alias("last"))
     cut = cut.alias("a").join(cut.alias("b"), F.col("a.last") == F.col("b.first")).where(F.col("a.shard") < F.col("b.shard"))
-    groups = (placed.join(cut.select(F.col("a.last").alias("text_crc32")).distinct(), "text_crc32")
+    groups = (placed.join(F.broadcast(cut.select(F.col("a.last").alias("text_crc32")).distinct()), "text_crc32")
               .groupBy("text_crc32").agg(F.sum("size").alias("bytes"), F.min("shard").alias("begins"))
               .where(F.col("bytes") * (shards * GROUP_PART) <= total))
-    placed = (placed.join(groups.select("text_crc32", "begins"), "text_crc32", "left")
+    placed = (placed.join(F.broadcast(groups.select("text_crc32", "begins")), "text_crc32", "left")
               .withColumn("shard", F.coalesce("begins", "shard")).drop("begins"))
     firsts = placed.groupBy("shard").agg(F.min("place").alias("first"))  # one row a shard
     return placed.join(firsts, "shard").select(
