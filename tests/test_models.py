@@ -181,3 +181,43 @@ def test_searches_draw_from_the_whole_grids(spark):
     for grid, n, drawn in ((models.CHURN_GRID, 162, 10), (models.VALUE_GRID, 243, 15)):
         every = models.draw_settings(grid, 1000)
         assert len(set(every)) == n and len(set(models.draw_settings(grid, drawn))) == drawn
+
+
+def test_training_is_one_job_for_all_trees(spark):
+    """A table of more rows than a part trains without a Spark job for every level of every tree."""
+    df = spark.range(70_000).selectExpr("id as Customer_ID", "cast(id % 7 as double) as a", "cast(hash(id) % 2 = 0 or id % 7 = 3 as int) as label", "cast(id % 3 as int) as fold")
+    sc = spark.sparkContext
+    for group, run in (("boosting-fit", lambda: boosting.fit(df, [], ["a"], "label", "Customer_ID", boosting.Setting(12, 3, 0.3), "logistic")),
+                       ("boosting-search", lambda: boosting.search(df, [], ["a"], "label", "Customer_ID", [boosting.Setting(12, 3, 0.3)], "logistic", 3))):
+        sc.setJobGroup(group, group)
+        try:
+            run()
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert len(sc.statusTracker().getJobIdsForGroup(group)) < 12
+
+
+def test_large_sums_meet_in_tasks(spark, monkeypatch):
+    """Sums of the parts that are too large for the driver are added by a shuffle, with the same trees."""
+    df = _rows(spark).cache()
+    args = (df, CATS, NUMS, "value", "Customer_ID", boosting.Setting(5, 3, 0.3, 0.8, 0.7), "squared")
+    a = boosting.fit(*args)
+    for limit in (0, 1 << 30):
+        monkeypatch.setattr(boosting, "DRIVER_BYTES", limit)
+        b = boosting.fit(*args, part_rows=70)
+        assert (a.column == b.column).all() and (a.cut == b.cut).all() and (a.value == b.value).all()
+
+
+def test_equal_rows_are_one_pattern(spark):
+    """Patterns and cells hold all rows once, whatever their order; more than eight columns too."""
+    rng = np.random.default_rng(3)
+    bins, key = rng.integers(0, 2, (500, 11)).astype(np.uint8), np.arange(500)
+    bins[:, 3:9] = 1
+    fold, y, w = rng.integers(0, 2, 500).astype(np.int32), rng.integers(0, 2, 500).astype(float), np.ones(500)
+    part = boosting.Part.of([[x[s].tobytes() for x in (bins, key, fold, y, w)] for s in (slice(0, 200), slice(200, 500))], 11)
+    assert part.bins.shape[1] == len(np.unique(bins, axis=0)) and sorted(part.key) == list(range(500))
+    cell = np.repeat(np.arange(len(part.cell_at)), part.cell_rows().astype(int))
+    assert (part.bins.T[part.pattern[cell]] == bins[part.key]).all()
+    assert (part.fold[cell] == fold[part.key]).all() and (part.y[cell] == y[part.key]).all()
+    empty = boosting.Part.of([], 11)
+    assert empty.bins.shape == (11, 0) and boosting.gradients(empty, np.zeros((1, 0)), boosting.Models([boosting.Setting()], np.array([-1]), np.array([0])), 0, "logistic")[0].shape == (1, 0)
