@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import BoostedModel
+from .boosting import BoostedModel, distinct
 
 
 @dataclass
@@ -147,28 +147,59 @@ def _satisfies(x: np.ndarray, n: Node, goes_left: bool) -> np.ndarray:
     return left if goes_left else ~left
 
 
+def _outcomes(x: np.ndarray, nodes: list[Node]) -> tuple[np.ndarray, np.ndarray] | None:
+    """``(first, which)``: rows that between them show every combination of outcomes of a tree's tests, and for each row the one like it.
+    None for trees of very many tests."""
+    tests = [n for n in nodes if n.feature >= 0]
+    if len(tests) > 62 or not len(x):
+        return None
+    code = np.zeros(len(x), np.int64)
+    for k, n in enumerate(tests):
+        code |= _satisfies(x, n, True).astype(np.int64) << k
+    if len(tests) > 16:
+        _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        return first, which
+    first = np.full(1 << len(tests), -1)
+    first[code[::-1]] = np.arange(len(x))[::-1]
+    held = np.flatnonzero(first >= 0)
+    place = np.zeros(len(first), np.int64)
+    place[held] = np.arange(len(held))
+    return first[held], place[code]
+
+
 def contributions_numpy(x: np.ndarray, compiled) -> np.ndarray:
-    """Contributions [rows, features] of a batch of feature rows; of each leaf, only the patterns that the batch holds are worked out."""
-    phi = np.zeros_like(x, dtype=float)
+    """Contributions [rows, features] of a batch of feature rows; of each tree, only the combinations of outcomes that the batch holds are worked out."""
+    phi = np.zeros(x.shape[::-1])
+    x = np.asfortranarray(x)  # the tests read columns
     for nodes, weight, leaves in compiled:
-        passes: dict[tuple, np.ndarray] = {}
-        for leaf in leaves:
-            if not leaf.features:
-                continue
-            sat = {f: None for f in leaf.features}
-            for f, j, left in leaf.conditions:
-                if (j, left) not in passes:
-                    passes[j, left] = _satisfies(x, nodes[j], left)
-                sat[f] = passes[j, left] if sat[f] is None else sat[f] & passes[j, left]
-            pattern = np.zeros(len(x), dtype=np.int64)
-            for k, f in enumerate(leaf.features):
-                pattern |= sat[f].astype(np.int64) << k
-            held = np.flatnonzero(np.bincount(pattern, minlength=1))
-            place = np.zeros(held[-1] + 1, np.int64)
-            place[held] = np.arange(len(held))
-            values = leaf_contributions(leaf, held)[place[pattern]]          # [rows, u]
-            for k, f in enumerate(leaf.features):
-                phi[:, f] += weight * values[:, k]
+        seen = _outcomes(x, nodes)
+        part = _tree_contributions(x if seen is None else x[seen[0]], nodes, leaves)
+        for f, values in part.items():
+            phi[f] += weight * (values if seen is None else values[seen[1]])
+    return np.ascontiguousarray(phi.T)
+
+
+def _tree_contributions(x: np.ndarray, nodes: list[Node], leaves: list[Leaf]) -> dict[int, np.ndarray]:
+    """Contributions of every feature that a tree tests; of each leaf, only the patterns that the rows hold are worked out."""
+    phi: dict[int, np.ndarray] = {}
+    passes: dict[tuple, np.ndarray] = {}
+    for leaf in leaves:
+        if not leaf.features:
+            continue
+        sat = {f: None for f in leaf.features}
+        for f, j, left in leaf.conditions:
+            if (j, left) not in passes:
+                passes[j, left] = _satisfies(x, nodes[j], left)
+            sat[f] = passes[j, left] if sat[f] is None else sat[f] & passes[j, left]
+        pattern = np.zeros(len(x), dtype=np.int64)
+        for k, f in enumerate(leaf.features):
+            pattern |= sat[f].astype(np.int64) << k
+        held = np.flatnonzero(np.bincount(pattern, minlength=1))
+        place = np.zeros(held[-1] + 1 if len(held) else 0, np.int64)
+        place[held] = np.arange(len(held))
+        values = leaf_contributions(leaf, held)[place[pattern]]          # [rows, u]
+        for k, f in enumerate(leaf.features):
+            phi[f] = phi[f] + values[:, k] if f in phi else values[:, k]
     return phi
 
 
@@ -259,22 +290,46 @@ def boosted_trees(model: BoostedModel) -> tuple[list[tuple[list[Node], float]],
 
 def boosted_features(model: BoostedModel, values: Sequence[pd.Series]) -> np.ndarray:
     """The features of :func:`boosted_trees` of some rows."""
-    bins = model.bins.place(values)
+    return features_of_bins(model, model.bins.place(values))
+
+
+def features_of_bins(model: BoostedModel, bins: np.ndarray) -> np.ndarray:
     shown = [bins[:, i, None] == np.arange(len(v))[None, :] for i, v in enumerate(model.bins.levels)]
     return np.concatenate([*shown, bins[:, len(shown):]], axis=1).astype(float)
 
 
+#: Different binned rows that a task explains at once.
+EXPLAINED_ROWS = 1 << 16
+
+
 def top_boosted_drivers(df: DataFrame, model: BoostedModel, n: int = 8) -> DataFrame:
     """The ``n`` features of a boosted model with the largest mean absolute contribution over ``df``.  Tasks unfold the trees
-    themselves; a batch emits its sums only."""
+    themselves, explain rows of equal bins once, and emit sums only."""
+
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        bins, rows = (np.concatenate(x) for x in zip(*held))
+        order, new, _ = distinct(bins)
+        at = np.flatnonzero(new)
+        return bins[order[at]], np.add.reduceat(rows[order], at)
 
     def run(batches):
         trees, names = boosted_trees(model)
         compiled = compile_trees(trees)
+
+        def explained(bins: np.ndarray, rows: np.ndarray) -> pd.DataFrame:
+            phi = contributions_numpy(features_of_bins(model, bins), compiled)
+            return pd.DataFrame({"feature": names, "abs_sum": rows @ np.abs(phi), "rows": rows.sum()})
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for pdf in batches:
             if len(pdf):
-                phi = contributions_numpy(boosted_features(model, [pdf[c] for c in pdf.columns]), compiled)
-                yield pd.DataFrame({"feature": names, "abs_sum": np.abs(phi).sum(axis=0), "rows": len(pdf)})
+                held.append((model.bins.place([pdf[c] for c in pdf.columns]).astype(np.uint8), np.ones(len(pdf), np.int64)))
+            if sum(len(r) for _, r in held) >= 2 * EXPLAINED_ROWS:
+                held = [merged(held)]
+                if len(held[0][1]) >= EXPLAINED_ROWS:
+                    yield explained(*held.pop())
+        if held:
+            yield explained(*merged(held))
 
     src = df.select(*[F.col(c).cast("string") for c in model.bins.cats], *[F.col(c).cast("double") for c in model.bins.nums])
     parts = src.mapInPandas(run, "feature string, abs_sum double, rows long")

@@ -221,3 +221,23 @@ def test_equal_rows_are_one_pattern(spark):
     assert (part.fold[cell] == fold[part.key]).all() and (part.y[cell] == y[part.key]).all()
     empty = boosting.Part.of([], 11)
     assert empty.bins.shape == (11, 0) and boosting.gradients(empty, np.zeros((1, 0)), boosting.Models([boosting.Setting()], np.array([-1]), np.array([0])), 0, "logistic")[0].shape == (1, 0)
+
+
+def test_contributions_of_equal_outcomes_are_worked_out_once(spark, monkeypatch):
+    df = _rows(spark)
+    model = boosting.fit(df, CATS, NUMS, "value", "Customer_ID", boosting.Setting(6, 3, 0.3, 1.0, 1.0), "squared")
+    pdf = df.toPandas()
+    compiled = drivers.compile_trees(drivers.boosted_trees(model)[0])
+    x = drivers.boosted_features(model, [pdf[c] for c in model.bins.columns])
+    want = drivers.contributions_numpy(x, compiled)
+    rows = []
+    plain = drivers._tree_contributions
+    monkeypatch.setattr(drivers, "_tree_contributions", lambda x, *a: rows.append(len(x)) or plain(x, *a))
+    assert np.allclose(drivers.contributions_numpy(np.tile(x, (9, 1)), compiled), np.tile(want, (9, 1)))
+    assert len(rows) == 6 and max(rows) <= 128
+    monkeypatch.setattr(drivers, "_outcomes", lambda x, nodes: None)
+    assert np.allclose(drivers.contributions_numpy(x, compiled), want)
+    assert drivers.contributions_numpy(x[:0], compiled).shape == x[:0].shape
+    monkeypatch.setattr(drivers, "EXPLAINED_ROWS", 8)
+    top = drivers.top_boosted_drivers(df.unionByName(df), model, 3).collect()
+    assert [r["mean_abs_contribution"] for r in top] == pytest.approx(sorted(np.abs(want).mean(axis=0))[:-4:-1])
