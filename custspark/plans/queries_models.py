@@ -488,10 +488,12 @@ def whatif_model_scenario(t):
 
 
 def _holdout(t, label: str):
+    """The parts of the customer table; written once, as fits and reports read them many times."""
     from ..operators import sampling
+    from ..session import cut_lineage
     df = c360.customer_360_materialized(t)
     split = sampling.stratified_split(df.select("Customer_ID", label), "Customer_ID", label, 0.2)
-    parts = df.join(split.select("Customer_ID", "split"), "Customer_ID")
+    parts = cut_lineage(df.join(split.select("Customer_ID", "split"), "Customer_ID"))
     return parts.where(F.col("split") == "train"), parts.where(F.col("split") == "test")
 
 
@@ -499,9 +501,10 @@ def _holdout(t, label: str):
 def churn_holdout_report(t):
     """W7 + M13 + M19/M21: churn model fitted on the 80 % part, judged on the
     stratified 20 % hold-out (per-class report plus ROC AUC)."""
+    from ..session import cut_lineage
     train, test = _holdout(t, "Churn")
     model = models.churn_model(models.class_weights(train, "Churn"), _CHURN_SPEC)
-    scored = model.transform(test)
+    scored = cut_lineage(model.transform(test).select("Churn", "prediction", "p1"))
     report = metrics.classification_report(scored, "Churn", "prediction")
     auc = metrics.roc_auc(scored, "Churn", "p1").select(F.col("auc"))
     return report.withColumn("roc_auc", auc.scalar())
@@ -526,10 +529,11 @@ def green_holdout_report(t):
     from ..session import cut_lineage
     g = cut_lineage(adapters.green(t).na.drop(subset=models.GREEN_NUMS))
     split = sampling.stratified_split(g.select("Customer_ID", "Green_Purchase_Made"), "Customer_ID", "Green_Purchase_Made", 0.2)
-    parts = g.join(split.select("Customer_ID", "split"), "Customer_ID")
+    parts = cut_lineage(g.join(split.select("Customer_ID", "split"), "Customer_ID"))
     train, test = parts.where(F.col("split") == "train"), parts.where(F.col("split") == "test")
     clf, reg = models.green_pipelines()
-    classed = clf.fit(train).transform(test).withColumn("p1", vector_to_array("green_probability")[1])
+    classed = cut_lineage(clf.fit(train).transform(test).select("Green_Purchase_Made", "Pred_Green_Class",
+                                                                vector_to_array("green_probability")[1].alias("p1")))
     report = metrics.classification_report(classed, "Green_Purchase_Made", "Pred_Green_Class")
     fit = metrics.regression_report(reg.fit(train).transform(test), "Green_Consumption_Score", "Pred_Green_Score")
     auc = metrics.roc_auc(classed, "Green_Purchase_Made", "p1").select("auc")

@@ -241,3 +241,12 @@ def test_contributions_of_equal_outcomes_are_worked_out_once(spark, monkeypatch)
     monkeypatch.setattr(drivers, "EXPLAINED_ROWS", 8)
     top = drivers.top_boosted_drivers(df.unionByName(df), model, 3).collect()
     assert [r["mean_abs_contribution"] for r in top] == pytest.approx(sorted(np.abs(want).mean(axis=0))[:-4:-1])
+
+
+def test_holdout_reports_score_and_split_once(spark):
+    from custspark.plans import catalog
+    catalog.load_all()
+    plan = lambda name: catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "run(" not in plan("churn_holdout_report")
+    for name in ("churn_holdout_report", "cltv_holdout_report", "green_holdout_report"):
+        assert "Join Inner, (Customer_ID" not in plan(name)
