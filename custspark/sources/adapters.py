@@ -13,9 +13,12 @@ time and never pulled into Python.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import shuffle_width
 from .tables import Tables
 
 
@@ -66,9 +69,17 @@ def order_products(t: Tables, with_department: bool = False) -> DataFrame:
     return out if with_department else out.drop("Department_Name")
 
 
-def _brand_lines(t: Tables) -> DataFrame:
-    return (t.lineitem.select("l_orderkey", "l_partkey")
-            .join(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+#: Order lines that one task joins and counts; a larger table takes more tasks than the session's width gives.
+TASK_LINES = 1 << 19
+
+
+def _spread(df: DataFrame, width: int | None, *keys: str) -> DataFrame:
+    return df.repartition(width, *keys) if width else df
+
+
+def _brand_lines(t: Tables, width: int | None = None) -> DataFrame:
+    return (_spread(t.lineitem.select("l_orderkey", "l_partkey"), width, "l_orderkey")
+            .join(_spread(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), width, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
             .where(F.col("o_custkey").isNotNull() & F.col("p_brand").isNotNull()))
 
@@ -83,8 +94,12 @@ def brand_purchases(t: Tables) -> DataFrame:
 def brand_orders(t: Tables) -> DataFrame:
     """One row per order and brand with ``Was_Product_Reordered``: 0 where the order holds nothing but
     the customer's first line of the brand.  The lines are counted by order and brand before
-    the customer's first order of the brand (by date, then key) is looked for."""
-    held = (_brand_lines(t).groupBy("o_custkey", "p_brand", "o_orderdate", "o_orderkey")
+    the customer's first order of the brand (by date, then key) is looked for.  Nearly every line is a group
+    of its own there, so tasks are as many as the lines ask for."""
+    keys = ["o_custkey", "p_brand", "o_orderdate", "o_orderkey"]
+    width = math.ceil(t.lineitem.count() / TASK_LINES)
+    width = width if width > shuffle_width(t.lineitem.sparkSession) else None
+    held = (_spread(_brand_lines(t, width), width, *keys).groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("lines")))
     first = held.groupBy("o_custkey", "p_brand").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("first"))
     is_first = F.struct("o_orderdate", "o_orderkey").eqNullSafe(F.col("first"))

@@ -92,3 +92,16 @@ def test_grown_rules_equal_masked_rules(spark, baskets, monkeypatch):
         monkeypatch.setattr(basket, "MASK_ITEMS", 2)
         assert rows() == masked and masked
         monkeypatch.undo()
+
+
+def test_brand_orders_take_tasks_by_their_lines(spark, monkeypatch):
+    """Many lines are joined and counted by more tasks than the session's width, with the same rows."""
+    from custspark.sources import adapters
+    from custspark.sources.tables import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    want = sorted(adapters.brand_orders(t).collect())
+    monkeypatch.setattr(adapters, "TASK_LINES", 500)
+    got = adapters.brand_orders(t)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [o_custkey" in plan and f", {-(-t.lineitem.count() // 500)}" in plan
+    assert sorted(got.collect()) == want
