@@ -121,6 +121,17 @@ def test_jaccard_join(docs, rows, empty):
     assert {r.doc_id for r in kept.collect() if (r.text or "").split()} == classes
 
 
+def test_jaccard_join_whatever_the_sample(docs, rows, monkeypatch):
+    """The sample that orders the shingles decides no row: without any, and with every sampled shingle called frequent, classes and links stay."""
+    want, links = Counter(brute_jaccard(rows)), Counter(brute_links(rows))
+    for size, least in ((0, 3), (64 << 20, 1)):
+        monkeypatch.setattr(jaccard, "SAMPLE_BYTES", size)
+        monkeypatch.setattr(jaccard, "FREQUENT", least)
+        out = jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+        assert Counter((r[0], r[1], r[2]) for r in out) == want
+        assert Counter((r[0], r[3]) for r in out) == links
+
+
 def test_keep_first_by_class(spark):
     """Classes without an id, or with the same least id, keep a row each."""
     text = lambda c: " ".join(f"{c}{i}" for i in range(60))
