@@ -9,7 +9,8 @@ model by model, and the best split of each node goes back to the rows.
 Layout: a task keeps its rows for the whole training, ordered by their bins.  Rows of equal bins have
 equal margins and nodes, so gradients are summed up by them once a tree and the levels work on those sums.
 
-* Up to ``TABLE_ROWS`` rows every task has all of them (some bytes a row) and a group of the models.  Nothing is exchanged.
+* Up to ``TABLE_ROWS`` rows every task has all of them (some bytes a row) and a group of the models.  Nothing is exchanged.  A search
+  does so up to ``SEARCH_ROWS`` rows: its tasks are busy with models of their own, and none waits for another.
 * More rows lie in parts.  The gradients of a tree are kept with the parts, and the parts of a group add their sums of every level: small
   ones on the driver, those of many or deep models by a shuffle.
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -42,8 +43,13 @@ from ..session import ensure_checkpoint_dir
 TABLE_ROWS = 1 << 20
 PART_ROWS = 65_536
 DRIVER_BYTES = 1 << 20
+#: Rows that one task of a search may have, and those whose gradients are worked out at a time, so that working arrays are small.
+SEARCH_ROWS = 1 << 23
+STEP_ROWS = 1 << 15
 MAX_BINS = 64
 MAX_LEVELS = 200
+#: Combinations of the bins of neighbouring columns that are summed up together.
+JOINT_BINS = 256
 #: Trees between two checkpoints of the margins.
 CHECKPOINT_TREES = 20
 _UNIT = float(1 << 20)
@@ -167,10 +173,10 @@ class Part:
     bins: np.ndarray        # (columns, patterns), bytes
 
     @staticmethod
-    def of(chunks: Sequence[tuple], n_columns: int) -> Part:
+    def of(chunks: Iterable[tuple], n_columns: int) -> Part:
         """From chunks ``(bins, key, fold, y, w)`` of rows as bytes."""
-        bins, key, fold, y, w = (np.frombuffer(b"".join(bytes(c[i]) for c in chunks), t)
-                                 for i, t in enumerate((np.uint8, np.int64, np.int32, np.float64, np.float64)))
+        joined = [b"".join(x) for x in zip(*chunks)] or [b""] * 5
+        bins, key, fold, y, w = (np.frombuffer(x, t) for x, t in zip(joined, (np.uint8, np.int64, np.int32, np.float64, np.float64)))
         bins = bins.reshape(len(y), n_columns)
         order, new_bins, new = distinct(bins, fold, y, w)
         cell_at, first = np.flatnonzero(new), new_bins[new]
@@ -180,6 +186,17 @@ class Part:
     def cell_rows(self) -> np.ndarray:
         return np.diff(np.append(self.cell_at, len(self.key))).astype(np.float64)
 
+    def steps(self) -> Iterator[tuple]:
+        """``(rows, cells, patterns, first row of each cell, first cell of each pattern)`` of ``STEP_ROWS`` rows at a time; a cell or pattern
+        may go on in the next step."""
+        for start in range(0, len(self.key), STEP_ROWS):
+            end = min(start + STEP_ROWS, len(self.key))
+            c, d = int(np.searchsorted(self.cell_at, start, side="right")) - 1, int(np.searchsorted(self.cell_at, end))
+            p, q = int(self.pattern[c]), int(self.pattern[d - 1]) + 1
+            cell_at, pattern_at = self.cell_at[c:d] - start, self.pattern_at[p:q] - c
+            cell_at[0], pattern_at[0] = max(cell_at[0], 0), max(pattern_at[0], 0)
+            yield slice(start, end), slice(c, d), slice(p, q), cell_at, pattern_at
+
 
 @dataclass
 class Trees:
@@ -196,14 +213,24 @@ class Trees:
         return Trees(np.full((models, n), -1, np.int16), np.zeros((models, n), np.int16), np.zeros((models, n)), np.zeros((models, n)), np.zeros((models, n)))
 
 
-def _hash(key: np.ndarray, salt: int) -> np.ndarray:
-    """Numbers from 0 to below 1."""
+def _scrambled(key: np.ndarray, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = key.view(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
         for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(times)
         x ^= x >> np.uint64(31)
-    return (x >> np.uint64(11)).astype(np.float64) / 9007199254740992.0
+    return x
+
+
+def _hash(key: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers from 0 to below 1."""
+    return (_scrambled(key, salt) >> np.uint64(11)).astype(np.float64) / 9007199254740992.0
+
+
+def _bound(share: float) -> np.uint64:
+    """What scrambled keys are below where their :func:`_hash` is below ``share`` (less than 1)."""
+    return np.uint64(math.ceil(max(share, 0.0) * 9007199254740992.0) << 11)
 
 
 def _add(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -214,58 +241,99 @@ def _add(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 def gradients(part: Part, margin: np.ndarray, models: Models, tree: int, loss: str) -> tuple[np.ndarray, np.ndarray]:
     """``(g, h)`` of every model and pattern, in units of ``2**-20``: sums over its rows without the model's fold and rows that are not drawn."""
     g, h = np.zeros(margin.shape), np.zeros(margin.shape)
-    drawn: dict[tuple, np.ndarray] = {}
-    kept: dict[tuple, tuple] = {}
-    for j in np.flatnonzero(models.active(tree)):
-        s, fold = models.settings[j], models.fold[j]
-        draw = (s.seed, s.rows) if s.rows < 1.0 else ()
-        if draw not in drawn:
-            drawn[draw] = _add(_hash(part.key, s.seed * 1_000_003 + tree) < s.rows, part.cell_at) if draw else part.cell_rows()
-        if (draw, fold) not in kept:
-            n = drawn[draw] * (part.fold != fold)
-            kept[draw, fold] = n, _add(np.rint(part.w * _UNIT) * n, part.pattern_at) if loss != "logistic" else None
-        n, whole = kept[draw, fold]
-        if loss == "logistic":
-            p = 1.0 / (1.0 + np.exp(-margin[j]))
-            h[j] = _add(np.rint((p * (1.0 - p))[part.pattern] * part.w * _UNIT) * n, part.pattern_at)
-        else:
-            p, h[j] = margin[j], whole
-        x = p[part.pattern]
-        x -= part.y
-        x *= part.w
-        x *= _UNIT
-        np.rint(x, out=x)
-        x *= n
-        g[j] = _add(x, part.pattern_at)
+    active = np.flatnonzero(models.active(tree))
+    level = {j: 1.0 / (1.0 + np.exp(-margin[j])) if loss == "logistic" else margin[j] for j in active}
+    for rows, cells, patterns, cell_at, pattern_at in part.steps():
+        pattern, fold, y, w = part.pattern[cells], part.fold[cells], part.y[cells], part.w[cells]
+        weighed = bool((w != 1.0).any())
+        scrambled: dict[int, np.ndarray] = {}
+        drawn: dict[tuple, np.ndarray] = {}
+        kept: dict[tuple, tuple] = {}
+        for j in active:
+            s, out = models.settings[j], models.fold[j]
+            draw = (s.seed, s.rows) if s.rows < 1.0 else ()
+            if draw and s.seed not in scrambled:
+                scrambled[s.seed] = _scrambled(part.key[rows], s.seed * 1_000_003 + tree)
+            if draw not in drawn:
+                drawn[draw] = (_add(scrambled[s.seed] < _bound(s.rows), cell_at) if draw
+                               else np.diff(np.append(cell_at, rows.stop - rows.start)).astype(np.float64))
+            if (draw, out) not in kept:
+                n = drawn[draw] * (fold != out)
+                kept[draw, out] = n, _add(np.rint(w * _UNIT) * n if weighed else _UNIT * n, pattern_at) if loss != "logistic" else None
+            n, whole = kept[draw, out]
+            x = level[j].take(pattern)
+            if loss == "logistic":
+                whole = _add(np.rint(x * (1.0 - x) * w * _UNIT) * n, pattern_at)
+            h[j, patterns] += whole
+            x -= y
+            if weighed:
+                x *= w
+            x *= _UNIT
+            np.rint(x, out=x)
+            x *= n
+            g[j, patterns] += _add(x, pattern_at)
     return g, h
 
 
 def step_down(bins: np.ndarray, trees: Trees, node: np.ndarray, n_cats: int, models: Sequence[int]) -> None:
     """Move the patterns of some models to their next nodes; in a leaf they stay."""
     flat, places = bins.ravel(), np.arange(bins.shape[1])
+    nodes, bin_ = np.arange(trees.column.shape[1])[:, None], np.arange(int(bins.max(initial=0)) + 1)[None, :]
     for j in models:
-        at = node[j]
-        column, cut = trees.column[j].astype(np.int64), trees.cut[j]
+        column, cut = trees.column[j].astype(np.int64), trees.cut[j][:, None]
         if (column >= 0).any():
-            b, c = flat[(np.maximum(column, 0) * bins.shape[1])[at] + places], cut[at]
-            right = np.where((column < n_cats)[at], b == c, b >= c)
-            node[j] = np.where((column >= 0)[at], 2 * at + 1 + right, at)
+            right = np.where((column < n_cats)[:, None], bin_ == cut, bin_ >= cut)
+            to = np.where((column >= 0)[:, None], 2 * nodes + 1 + right, nodes)  # by node and bin
+            at = (np.maximum(column, 0) * bins.shape[1])[node[j]]
+            at += places
+            next_ = node[j] * to.shape[1]
+            next_ += flat[at]
+            node[j] = to.ravel()[next_]
+
+
+def joint_columns(sizes: Sequence[int]) -> list[list[int]]:
+    """Runs of columns with up to ``JOINT_BINS`` combinations of their bins (one column at least)."""
+    out: list[list[int]] = []
+    for c, n in enumerate(sizes):
+        if out and math.prod(sizes[k] for k in out[-1]) * n <= JOINT_BINS:
+            out[-1].append(c)
+        else:
+            out.append([c])
+    return out
+
+
+def joint_bins(bins: np.ndarray, sizes: Sequence[int]) -> list[np.ndarray]:
+    """The combination of bins of every pattern in each run of :func:`joint_columns`."""
+    out = []
+    for run in joint_columns(sizes):
+        joint = bins[run[0]].astype(np.int64)
+        for c in run[1:]:
+            joint *= sizes[c]
+            joint += bins[c]
+        out.append(joint)
+    return out
 
 
-def histograms(bins: np.ndarray, node: np.ndarray, level: int, g: np.ndarray, h: np.ndarray, sizes: list[int], live: Sequence[int]) -> np.ndarray:
-    """Sums of ``g`` and ``h`` of the nodes of a level: ``(live models, nodes, bins of all columns, 2)``."""
+def histograms(joint: Sequence[np.ndarray], node: np.ndarray, level: int, g: np.ndarray, h: np.ndarray, sizes: list[int], live: Sequence[int]) -> np.ndarray:
+    """Sums of ``g`` and ``h`` of the nodes of a level: ``(live models, nodes, bins of all columns, 2)``, from :func:`joint_bins`."""
     first, width = 2 ** level - 1, 2 ** level
     out = np.zeros((len(live), width, sum(sizes), 2))
+    runs = []
+    for run in joint_columns(sizes):
+        n = math.prod(sizes[c] for c in run)
+        each = np.unravel_index(np.arange(n), [sizes[c] for c in run])
+        # which combinations a bin has: sums of whole units stay exact
+        runs.append((n, np.concatenate([each[i][:, None] == np.arange(sizes[c]) for i, c in enumerate(run)], axis=1).astype(np.float64)))
     for i, j in enumerate(live):
         here = node[j] >= first
         rows = slice(None) if here.all() else np.flatnonzero(here)
         place, weights = node[j][rows] - first, (g[j][rows], h[j][rows])
         at = 0
-        for c, n in enumerate(sizes):
-            index = bins[c][rows] + place * n if level else bins[c][rows]
+        for b, (n, has) in zip(joint, runs):
+            index = b[rows] + place * n if level else b[rows]
             for k in (0, 1):
-                out[i, :, at:at + n, k] = np.bincount(index, weights[k], minlength=width * n).reshape(width, n)
-            at += n
+                out[i, :, at:at + has.shape[1], k] = np.bincount(index, weights[k], minlength=width * n).reshape(width, n) @ has
+            at += has.shape[1]
     return out
 
 
@@ -324,7 +392,7 @@ def allowed_columns(bins: Bins, models: Models, tree: int) -> np.ndarray:
 def _train_here(part: Part, bins: Bins, models: Models, loss: str, keep: bool) -> tuple[np.ndarray, list[Trees]]:
     """``(margins, trees)`` of a group whose rows lie in this part alone.  Trees are kept where asked for."""
     margin, out = np.full((len(models.settings), part.bins.shape[1]), _START[loss]), []
-    places = part.bins.astype(np.int64)
+    places, joint = part.bins.astype(np.int64), joint_bins(part.bins, bins.sizes)
     for t in range(max(s.trees for s in models.settings)):
         trees = Trees.empty(len(models.settings), models.depth())
         g, h = gradients(part, margin, models, t, loss)
@@ -332,7 +400,7 @@ def _train_here(part: Part, bins: Bins, models: Models, loss: str, keep: bool) -
         node = np.zeros(margin.shape, np.int64)
         for level in range(models.depth()):
             live = models.live(t, level)
-            found = best_splits(histograms(places, node, level, g, h, bins.sizes, live), bins, allowed[live])
+            found = best_splits(histograms(joint, node, level, g, h, bins.sizes, live), bins, allowed[live])
             if not grow(trees, level, found, bins, models, live):
                 break
             step_down(places, trees, node, len(bins.cats), live)
@@ -436,7 +504,7 @@ def train(df: DataFrame, bins: Bins, label: str, id_col: str, settings: Sequence
 
     if part_rows is not None:
         parts = max(1, math.ceil(n / part_rows))
-    elif n <= TABLE_ROWS:
+    elif n <= (SEARCH_ROWS if folds else TABLE_ROWS):
         parts = 1
     else:
         parts = max(min(slots, math.ceil(n / PART_ROWS)), math.ceil(n / TABLE_ROWS))
@@ -447,7 +515,7 @@ def train(df: DataFrame, bins: Bins, label: str, id_col: str, settings: Sequence
     chunks = packed.rdd.flatMap(lambda r: [(r[0] * n_groups + g, tuple(r[1:])) for g in range(n_groups)]).partitionBy(parts * n_groups, int)
 
     def here(index: int, items):
-        part = Part.of([c for _, c in items], n_columns)
+        part = Part.of((c for _, c in items), n_columns)
         margin, trees = _train_here(part, bins, groups[index], loss, keep)
         yield trees, _judged(part, margin, groups[index], loss)
 
@@ -456,7 +524,7 @@ def train(df: DataFrame, bins: Bins, label: str, id_col: str, settings: Sequence
         return Search(groups, bins, loss, [trees for trees, _ in done], {k: tuple(v.tolist()) for _, sums in done for k, v in sums})
 
     def unpack(index: int, items):
-        part = Part.of([c for _, c in items], n_columns)
+        part = Part.of((c for _, c in items), n_columns)
         yield index, part, np.full((len(groups[index % n_groups].settings), part.bins.shape[1]), _START[loss])
 
     def opened(t: int):
@@ -472,7 +540,7 @@ def train(df: DataFrame, bins: Bins, label: str, id_col: str, settings: Sequence
             live = groups[group].live(t, level)
             if not len(live):
                 return []
-            hist = histograms(places, _nodes(places, trees[group], level, n_cats), level, g, h, bins.sizes, live)
+            hist = histograms(joint_bins(places, bins.sizes), _nodes(places, trees[group], level, n_cats), level, g, h, bins.sizes, live)
             return [((group, int(j)), hist[i]) for i, j in enumerate(live)]
         return run
 

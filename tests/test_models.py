@@ -197,6 +197,63 @@ def test_training_is_one_job_for_all_trees(spark):
         assert len(sc.statusTracker().getJobIdsForGroup(group)) < 12
 
 
+def test_search_over_many_rows_waits_for_no_level(spark, monkeypatch):
+    """A search of more rows than ``TABLE_ROWS``, needs no Spark job a level and finds what parts find."""
+    monkeypatch.setattr(boosting, "TABLE_ROWS", 100)
+    monkeypatch.setattr(boosting, "PART_ROWS", 50)
+    df, sc = _rows(spark).withColumn("fold", (F.col("Customer_ID") % 2).cast("int")).cache(), spark.sparkContext
+    settings = [boosting.Setting(12, 3, 0.3, 0.8, 0.8, seed) for seed in (1, 2, 3)]
+    assert df.count() > boosting.TABLE_ROWS
+    sc.setJobGroup("boosting-many", "boosting-many")
+    try:
+        found = boosting.search(df, CATS, NUMS, "value", "Customer_ID", settings, "squared", 2)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("boosting-many")) < 12
+    parts = boosting.search(df, CATS, NUMS, "value", "Customer_ID", settings[:2], "squared", 2, part_rows=70)
+    assert np.allclose(found[:2], parts, rtol=1e-12)
+
+
+@pytest.mark.parametrize("loss", ["squared", "logistic"])
+def test_gradients_step_by_step(monkeypatch, loss):
+    """Cells and patterns that go on in the next step count once; sums as by the definition, row by row."""
+    rng = np.random.default_rng(8)
+    bins, key, fold = rng.integers(0, 2, (400, 3)).astype(np.uint8), rng.integers(-2**62, 2**62, 400), rng.integers(0, 3, 400).astype(np.int32)
+    y, w = rng.integers(0, 2, 400).astype(float), np.where(rng.random(400) < 0.5, 1.0, 1.3)
+    part = boosting.Part.of([[x.tobytes() for x in (bins, key, fold, y, w)]], 3)
+    models = boosting.Models([boosting.Setting(rows=r) for r in (0.7, 0.9, 1.0, 0.7)], np.array([0, 2, -1, 1]), np.arange(4))
+    margin = rng.normal(size=(4, part.bins.shape[1]))
+    unit = 2.0 ** 20
+    of = {tuple(b): i for i, b in enumerate(part.bins.T.tolist())}
+    p, hp = (1 / (1 + np.exp(-margin)),) * 2 if loss == "logistic" else (margin, None)
+    want = np.zeros((2, *margin.shape))
+    for j, s in enumerate(models.settings):
+        takes = (boosting._hash(key, s.seed * 1_000_003 + 5) < s.rows) & (fold != models.fold[j])
+        for r in np.flatnonzero(takes):
+            i = of[tuple(bins[r].tolist())]
+            want[0, j, i] += np.rint((p[j, i] - y[r]) * w[r] * unit)
+            want[1, j, i] += np.rint((hp[j, i] * (1 - hp[j, i]) if hp is not None else 1.0) * w[r] * unit)
+    for rows in (7, 150, 1 << 15):
+        monkeypatch.setattr(boosting, "STEP_ROWS", rows)
+        assert (np.stack(boosting.gradients(part, margin, models, 5, loss)) == want).all()
+
+
+def test_columns_are_summed_up_together(monkeypatch):
+    """Sums of joint columns, and of columns too large to be joined, are those of each column."""
+    rng = np.random.default_rng(9)
+    sizes = [3, 2, 5, 40, 4]
+    bins = np.stack([rng.integers(0, n, 600) for n in sizes])
+    node, g, h = rng.integers(0, 7, (2, 600)), rng.integers(-99, 99, (2, 600)).astype(float), rng.integers(0, 9, (2, 600)).astype(float)
+    want = np.zeros((2, 4, sum(sizes), 2))
+    for j in range(2):
+        for r in np.flatnonzero(node[j] >= 3):
+            for c, n in enumerate(sizes):
+                want[j, node[j, r] - 3, sum(sizes[:c]) + bins[c, r]] += g[j, r], h[j, r]
+    for limit in (1, 12, 256):
+        monkeypatch.setattr(boosting, "JOINT_BINS", limit)
+        assert (boosting.histograms(boosting.joint_bins(bins, sizes), node, 2, g, h, sizes, [0, 1]) == want).all()
+
+
 def test_large_sums_meet_in_tasks(spark, monkeypatch):
     """Sums of the parts that are too large for the driver are added by a shuffle, with the same trees."""
     df = _rows(spark).cache()
